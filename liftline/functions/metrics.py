@@ -45,7 +45,9 @@ def input_metric(value: Column, status: Column, reason: Column, value_type: str
 
 
 def clamp_pct(value: Column, delta: Column | int = 0) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), value + delta))
+    """``value + delta`` kept within 0..100; a missing value stays missing."""
+    moved = value + delta
+    return F.when(moved.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), moved)))
 
 
 def _single_or_mixed(values: Column) -> Column:
