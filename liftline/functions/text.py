@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from liftline import fixed_values as fixed
 
 # All white space, not only the space that trim() strips.
-_BLANK = (
-    r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+BLANKS = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_BLANK}|{_BLANK}\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:

@@ -41,13 +41,19 @@ def comparison_sites(sites: DataFrame) -> DataFrame:
     return sites.orderBy("id", "slug").offset(1).limit(fixed.COMPARISON_SITE_COUNT)
 
 
+def _comparison_array(sites: DataFrame) -> DataFrame:
+    listed = F.sort_array(F.collect_list(F.struct("id", "slug")))
+    return comparison_sites(sites).agg(listed.alias("others"))
+
+
 def comparison_list(sites: DataFrame) -> Column:
     """The comparison sites as one array value of at most three structs."""
-    return (
-        comparison_sites(sites)
-        .agg(F.sort_array(F.collect_list(F.struct("id", "slug"))))
-        .scalar()
-    )
+    return _comparison_array(sites).scalar()
+
+
+def comparison_slugs(sites: DataFrame) -> Column:
+    """Only the slugs of :func:`comparison_list`."""
+    return _comparison_array(sites).select(F.transform("others", lambda s: s["slug"])).scalar()
 
 
 def canonical_site_sets(selected: DataFrame, sites: DataFrame) -> DataFrame:

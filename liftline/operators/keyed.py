@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot from this share of all rows on, so there are at most 200 hot keys.
-HOT_SHARE = 0.005
+# At most this many keys are split; any other key has under 1 / 256 of all rows.
+HOT_KEYS = 256
 # Below this many rows a key is not worth splitting.
 HOT_ROWS = 200_000
 SALTS = 64
@@ -32,15 +32,14 @@ def top_k_per_key(
     return ranked.where(F.col(rank) <= k)
 
 
-def hot_keys(
-    rows: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = HOT_ROWS
-) -> DataFrame:
-    """Keys with more than ``share`` of all rows: at most ``1 / share`` of them."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = rows.agg(F.count("*")).scalar()
-    return counts.where((F.col("_n") > total * share) & (F.col("_n") >= least)).select(
-        *keys, F.lit(True).alias("_hot")
-    )
+def hot_keys(rows: DataFrame, keys: list[str], least: int = HOT_ROWS) -> DataFrame:
+    """The biggest keys of at least ``least`` rows, never more than ``HOT_KEYS``.
+
+    Counting is pre-aggregated in the input tasks and reads the key columns only.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    biggest = counts.orderBy(F.col("_n").desc(), *keys).limit(HOT_KEYS)
+    return biggest.select(*keys, F.lit(True).alias("_hot"))
 
 
 def skew_safe_join(
@@ -49,20 +48,22 @@ def skew_safe_join(
     keys: list[str],
     spread: list[str],
     how: str = "left",
-    share: float = HOT_SHARE,
     least: int = HOT_ROWS,
     salts: int = SALTS,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which hot keys of ``facts`` are split over ``salts`` tasks.
 
     The salt is a hash of the ``spread`` columns, which tell the rows of one key
     apart: a task that is run again gives the same salt. Only lookup rows of hot
     keys are repeated. Rows with a null key match nothing and are spread too.
+    ``count_from`` gives rows with the same keys that are cheaper to count than
+    ``facts``; it decides only which keys are split, never the result.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"Only left and inner joins can be salted, not {how}.")
-    # The hot list has at most 1 / share rows whatever the size of the data.
-    hot = F.broadcast(hot_keys(facts, keys, share, least))
+    # At most HOT_KEYS rows whatever the size of the data.
+    hot = F.broadcast(hot_keys(facts if count_from is None else count_from, keys, least))
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()

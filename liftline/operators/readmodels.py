@@ -117,20 +117,28 @@ _SUMMARY_COLUMNS = [
 ]
 
 
+def _request_items(requests: DataFrame, sites: DataFrame) -> DataFrame:
+    """One row per requested slug with its site id, null for an unknown slug."""
+    checked = requests.where(F.size("slugs") <= fixed.MAX_SUMMARY_SITES)
+    items = checked.select(
+        "request_id", "forecast_date", "slugs", F.posexplode("slugs").alias("slug_pos", "slug")
+    )
+    return items.join(sites.select("slug", F.col("id").alias("site_id")), "slug", "left")
+
+
 def resolve_sites(requests: DataFrame, sites: DataFrame) -> DataFrame:
-    """One row per requested slug with its site and the request's unknown count.
+    """Requested slugs with their site, the request's unknown count and the site order.
 
     ``requests`` has ``request_id``, ``forecast_date`` and ``slugs``, the checked
-    list of at most seven slugs, which bounds the per-request window.
+    list of at most seven slugs, which bounds the per-request windows.
     """
-    checked = requests.where(F.size("slugs") <= fixed.MAX_SUMMARY_SITES)
-    items = checked.select(
-        "request_id", "forecast_date", F.posexplode("slugs").alias("slug_pos", "slug")
+    request = Window.partitionBy("request_id")
+    return _request_items(requests, sites).withColumns(
+        {
+            "unknown_slugs": F.count_if(F.col("site_id").isNull()).over(request),
+            "pos": F.row_number().over(request.orderBy("site_id")) - 1,
+        }
     )
-    known = sites.select("slug", F.col("id").alias("site_id"))
-    joined = items.join(known, "slug", "left")
-    unknown = F.count_if(F.col("site_id").isNull()).over(Window.partitionBy("request_id"))
-    return joined.withColumn("unknown_slugs", unknown)
 
 
 def unknown_requests(resolved: DataFrame) -> DataFrame:
@@ -146,19 +154,24 @@ def unknown_requests(resolved: DataFrame) -> DataFrame:
 def batched_summaries(requests: DataFrame, sites: DataFrame, predictions: DataFrame) -> DataFrame:
     """Requested sites by one date: exactly one ``summary`` per requested site.
 
-    A request with any unknown slug gives no rows; see :func:`unknown_requests`.
+    ``pos`` is the place of the site in its response, by ascending site id whatever
+    the order of the request. A request with any unknown slug gives no rows; see
+    :func:`unknown_requests`.
     """
     wanted = resolve_sites(requests, sites).where("unknown_slugs = 0")
     joined = _with_presence(
         skew_safe_join(
-            wanted.select("request_id", "site_id", "slug", "forecast_date"),
+            wanted.select("request_id", "pos", "site_id", "slug", "forecast_date"),
             _marked(predictions, _SUMMARY_COLUMNS),
             PREDICTION_KEY,
             ["request_id"],
+            count_from=_request_items(requests, sites),
         )
     )
     summary = F.when(F.col("has_prediction"), available_summary()).otherwise(missing_summary())
-    return joined.select("request_id", "site_id", "slug", "forecast_date", summary.alias("summary"))
+    return joined.select(
+        "request_id", "pos", "site_id", "slug", "forecast_date", summary.alias("summary")
+    )
 
 
 def day_preview(requests: DataFrame, sites: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -289,6 +289,23 @@ def parse_slug_list(text: Column) -> Column:
     return F.transform(F.split(text, ",", -1), lambda item: X.trim_all(item))
 
 
+_ITEM = (
+    rf"[{X.BLANKS}]*(?=[a-z0-9-]{{1,{fixed.SLUG_MAX_LENGTH}}}(?![a-z0-9-]))"
+    rf"[a-z0-9]+(?:-[a-z0-9]+)*[{X.BLANKS}]*"
+)
+_LIST = rf"^{_ITEM}(?:,{_ITEM}){{0,{fixed.MAX_SUMMARY_SITES - 1}}}\z"
+_REPEAT = rf"(?:^|,)[{X.BLANKS}]*([a-z0-9-]+)[{X.BLANKS}]*,(?:.*,)?[{X.BLANKS}]*\1[{X.BLANKS}]*(?:,|\z)"
+
+
+def slug_list_valid(text: Column) -> Column:
+    """The list gives no issue, tested on the text itself.
+
+    A filter on the parsed list would be pushed below the parsing and repeat it;
+    two patterns on the text stay inside generated code.
+    """
+    return F.coalesce(text.rlike(_LIST) & ~text.rlike(_REPEAT), F.lit(False))
+
+
 def slug_list_issues(slugs: Column, path: str = "siteSlugs") -> Column:
     """Each item a slug, one to seven of them; uniqueness is tested on valid items."""
     bad_items = F.array_compact(
@@ -311,9 +328,19 @@ def slug_list_issues(slugs: Column, path: str = "siteSlugs") -> Column:
     )
 
 
-def check_summary_requests(requests: DataFrame) -> DataFrame:
-    """Raw requests (``date_text``, ``site_slugs``) with ``slugs`` and ``issues``."""
-    parsed = requests.withColumn("slugs", parse_slug_list(F.col("site_slugs")))
+def valid_summary_requests(requests: DataFrame) -> DataFrame:
+    """Requests (``date_text``, ``site_slugs``) that pass, with ``slugs`` and ``forecast_date``."""
+    date = parse_date(F.col("date_text"))
+    passed = requests.where(date.isNotNull() & slug_list_valid(F.col("site_slugs")))
+    return passed.withColumns(
+        {"slugs": parse_slug_list(F.col("site_slugs")), "forecast_date": date}
+    )
+
+
+def rejected_summary_requests(requests: DataFrame) -> DataFrame:
+    """Requests that do not pass, with their ``issues``."""
+    passed = parse_date(F.col("date_text")).isNotNull() & slug_list_valid(F.col("site_slugs"))
+    parsed = requests.where(~passed).withColumn("slugs", parse_slug_list(F.col("site_slugs")))
     return parsed.withColumn(
         "issues",
         F.concat(
