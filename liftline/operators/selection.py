@@ -73,6 +73,11 @@ def _pair(name: Column, value: Column) -> Column:
     return F.concat(F.url_encode(name), F.lit("="), F.url_encode(value))
 
 
+def requested_date() -> Column:
+    """The date of the URL where it is valid: the selection while the strip is unknown."""
+    return F.when(F.col("date_kind") == "valid", parse_date(F.col("date_value")))
+
+
 def resolve_selection(classified: DataFrame, sites: DataFrame, today: str | None) -> DataFrame:
     """``selected_slug`` and ``selected_date`` of classified views.
 
@@ -83,7 +88,7 @@ def resolve_selection(classified: DataFrame, sites: DataFrame, today: str | None
     known = sites.select(F.col("slug").alias("site_value"), F.lit(True).alias("_known"))
     fallback = default_site(sites).select("slug").scalar()
     joined = classified.join(known, "site_value", "left")
-    requested = F.when(F.col("date_kind") == "valid", parse_date(F.col("date_value")))
+    requested = requested_date()
     if today is None:
         date = requested
     else:

@@ -74,7 +74,7 @@ def site_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.predictions(spark, sf_dir).drop("run_id", "k")
+    rows = V.predictions(spark, sf_dir, inputs=True).drop("run_id", "k")
     return tables.conform(rows, schemas.PREDICTION).select(
         "site_id", "forecast_date", "generated_at", "provenance.source", "provenance.version",
         "data_status",
@@ -193,7 +193,8 @@ FROM preds JOIN sites_x ON preds.site_id = sites_x.id""",
 )
 def detailed_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = V.sites(spark, sf_dir).select(F.col("id").alias("site_id"), "slug")
-    records = V.predictions(spark, sf_dir).join(known, "site_id").select(*readmodels.detailed_record())
+    predictions = V.predictions(spark, sf_dir, inputs=True)
+    records = predictions.join(known, "site_id").select(*readmodels.detailed_record())
     return records.select(
         F.col("siteId").alias("site_id"), F.col("siteSlug").alias("slug"),
         F.col("forecastDate").alias("forecast_date"), F.col("generatedAt").alias("generated_at"),
@@ -418,7 +419,7 @@ def _sql_input_row(pos: int, name: str, label: str, text: str) -> str:
     ),
 )
 def input_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.input_panel(V.predictions(spark, sf_dir), ["run_id"])
+    return panels.input_panel(V.predictions(spark, sf_dir, inputs=True), ["run_id"])
 
 
 # --- Lookups ---------------------------------------------------------------------
@@ -555,7 +556,7 @@ LEFT JOIN preds p ON p.site_id = s.id AND p.forecast_date = r.request_date""",
 )
 def detailed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = V.requests(spark, sf_dir).select("request_id", "slug", F.col("request_date").alias("forecast_date"))
-    found = readmodels.detailed_lookup(asked, V.sites(spark, sf_dir), V.predictions(spark, sf_dir))
+    found = readmodels.detailed_lookup(asked, V.sites(spark, sf_dir), V.predictions(spark, sf_dir, inputs=True))
     return found.select(
         "request_id", "slug", "forecast_date", "outcome", "detail",
         F.col("record.outputs.chance100KmPct.value").alias("c100"),
