@@ -121,7 +121,8 @@ def _request_items(requests: DataFrame, sites: DataFrame) -> DataFrame:
     """One row per requested slug with its site id, null for an unknown slug."""
     checked = requests.where(F.size("slugs") <= fixed.MAX_SUMMARY_SITES)
     items = checked.select(
-        "request_id", "forecast_date", "slugs", F.posexplode("slugs").alias("slug_pos", "slug")
+        "request_id", "forecast_date", "slugs",
+        F.posexplode_outer("slugs").alias("slug_pos", "slug"),
     )
     return items.join(sites.select("slug", F.col("id").alias("site_id")), "slug", "left")
 

@@ -364,8 +364,14 @@ def unknown_field_issue(json: Column, allowed: list[str], path: str = "$") -> Co
 
 
 def issue_rows(rows: DataFrame, keys: list[str], issues: str = "issues") -> DataFrame:
-    """One row per issue; an empty path is the root ``$``."""
-    flat = rows.select(*keys, F.posexplode(issues).alias("issue_pos", "issue"))
+    """One row per issue; an empty path is the root ``$``.
+
+    The outer form is used because the plain one adds a filter on the size of the
+    array, which would be pushed below the rules and evaluate them twice.
+    """
+    flat = rows.select(*keys, F.posexplode_outer(issues).alias("issue_pos", "issue")).where(
+        "issue_pos IS NOT NULL"
+    )
     path = F.when(F.col("issue.path") == "", "$").otherwise(F.col("issue.path"))
     return flat.select(*keys, "issue_pos", path.alias("path"), F.col("issue.message").alias("message"))
 
