@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ISSUES_TYPE = "array<struct<path:string,message:string>>"
 
 
+def no_issues() -> Column:
+    return F.array().cast(ISSUES_TYPE)
+
+
 def issue(path: Column | str, message: Column | str) -> Column:
+    """A list of one issue; rules give such a list, or null when they hold."""
     path = F.lit(path) if isinstance(path, str) else path
     message = F.lit(message) if isinstance(message, str) else message
-    return F.struct(path.alias("path"), message.alias("message"))
+    return F.array(F.struct(path.alias("path"), message.alias("message")))
 
 
 def unless(rule: Column, path: Column | str, message: Column | str) -> Column:
@@ -20,7 +27,18 @@ def unless(rule: Column, path: Column | str, message: Column | str) -> Column:
 
 
 def issue_list(*candidates: Column) -> Column:
-    return F.array_compact(F.array(*candidates))
+    """The issues of all rules in order.
+
+    Joining short lists stays in generated code, which dropping nulls from one
+    array (a higher-order function) would not.
+    """
+    return F.concat(*[F.coalesce(c, no_issues()) for c in candidates])
+
+
+def issues_of_items(items: Column, rule: Callable[[Column, Column], Column]) -> Column:
+    """The issues of every item; ``rule`` takes the item and its position."""
+    found = F.flatten(F.transform(items, lambda x, i: F.coalesce(rule(x, i), no_issues())))
+    return F.coalesce(found, no_issues())
 
 
 def join_path(*parts: Column | str) -> Column:

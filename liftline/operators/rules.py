@@ -20,6 +20,7 @@ from liftline.functions.issues import (
     is_word,
     issue,
     issue_list,
+    issues_of_items,
     join_path,
     unless,
 )
@@ -85,7 +86,7 @@ def _metric_issue(metric: Column, path: str, value_rule: Column, with_confidence
     value_path, branch_path = join_path(path, "value"), F.lit(path)
     is_available = is_word(metric["dataStatus"], fixed.AVAILABLE_STATUSES)
     return (
-        F.when(metric_valid(metric, value_rule, with_confidence), F.lit(None))
+        F.when(metric_valid(metric, value_rule, with_confidence), F.lit(None).cast(ISSUES_TYPE))
         .when(
             ~is_available & ~F.coalesce(metric["dataStatus"] == fixed.MISSING, F.lit(False)),
             issue(join_path(path, "dataStatus"), fixed.WRONG_WORD),
@@ -199,16 +200,15 @@ def record_issues() -> Column:
         ),
         unless(F.size("topDrivers") >= 1, "topDrivers", fixed.WRONG_COUNT),
     )
-    drivers = F.transform(
-        F.coalesce(F.col("topDrivers"), F.array().cast("array<string>")),
+    drivers = issues_of_items(
+        F.col("topDrivers"),
         lambda text, i: F.when(
-            X.is_blank(text),
-            issue(join_path("topDrivers", i.cast("string")), fixed.WRONG_NAME),
+            X.is_blank(text), issue(join_path("topDrivers", i.cast("string")), fixed.WRONG_NAME)
         ),
     )
     return F.concat(
         identity,
-        F.array_compact(drivers),
+        drivers,
         output_metric_issues(F.col("outputs")),
         nesting_issues(F.col("outputs")),
         input_metric_issues(F.col("forecastInputs")),
@@ -225,7 +225,7 @@ def summary_batch_issues(summaries: Column, response_date: Column) -> Column:
         earlier = F.slice(summaries, 1, i)
         previous_id = F.when(i == 0, F.lit(0)).otherwise(F.get(summaries, i - 1)["siteId"])
         at = lambda field: join_path("summaries", i.cast("string"), field)
-        return F.array(
+        return issue_list(
             F.when(
                 ~item["forecastDate"].eqNullSafe(response_date),
                 issue(at("forecastDate"), fixed.SUMMARY_DATE_MESSAGE),
@@ -246,10 +246,7 @@ def summary_batch_issues(summaries: Column, response_date: Column) -> Column:
     size_issue = unless(
         F.size(summaries).between(1, fixed.MAX_SUMMARY_SITES), "summaries", fixed.WRONG_COUNT
     )
-    return F.concat(
-        issue_list(size_issue),
-        F.array_compact(F.flatten(F.transform(summaries, per_item))),
-    )
+    return issue_list(size_issue, issues_of_items(summaries, per_item))
 
 
 def strip_issues(zone: Column, today: Column, days: Column) -> Column:
@@ -258,7 +255,7 @@ def strip_issues(zone: Column, today: Column, days: Column) -> Column:
     ``days`` is an array of date texts; the dates are tested when there are five.
     """
     expected = F.transform(date_window(parse_date(today), 2, 2), iso_date)
-    wrong_dates = F.transform(
+    wrong_dates = issues_of_items(
         expected,
         lambda date, i: F.when(
             ~F.get(days, i).eqNullSafe(date),
@@ -269,15 +266,11 @@ def strip_issues(zone: Column, today: Column, days: Column) -> Column:
         ),
     )
     complete = F.size(days) == fixed.STRIP_DAYS
-    return F.concat(
-        issue_list(
-            unless(zone == fixed.FORECAST_ZONE, "timeZone", fixed.WRONG_ZONE),
-            date_issue(today, "todayDate"),
-            unless(complete, "days", fixed.WRONG_COUNT),
-        ),
-        F.coalesce(
-            F.when(complete, F.array_compact(wrong_dates)), F.array().cast(ISSUES_TYPE)
-        ),
+    return issue_list(
+        unless(zone == fixed.FORECAST_ZONE, "timeZone", fixed.WRONG_ZONE),
+        date_issue(today, "todayDate"),
+        unless(complete, "days", fixed.WRONG_COUNT),
+        F.when(complete, wrong_dates),
     )
 
 
@@ -311,22 +304,20 @@ def slug_list_valid(text: Column) -> Column:
 
 def slug_list_issues(slugs: Column, path: str = "siteSlugs") -> Column:
     """Each item a slug, one to seven of them; uniqueness is tested on valid items."""
-    bad_items = F.array_compact(
-        F.transform(
-            slugs,
-            lambda s, i: F.when(
-                ~X.is_slug(s), issue(join_path(path, i.cast("string")), fixed.WRONG_SLUG)
-            ),
-        )
+    bad_items = issues_of_items(
+        slugs,
+        lambda s, i: F.when(
+            ~X.is_slug(s), issue(join_path(path, i.cast("string")), fixed.WRONG_SLUG)
+        ),
+    )
+    repeated = ~F.exists(slugs, lambda s: ~X.is_slug(s)) & (
+        F.size(F.array_distinct(slugs)) < F.size(slugs)
     )
     whole = issue_list(
         unless(F.size(slugs) <= fixed.MAX_SUMMARY_SITES, path, fixed.WRONG_COUNT),
-        F.when(
-            (F.size(bad_items) == 0) & (F.size(F.array_distinct(slugs)) < F.size(slugs)),
-            issue(path, fixed.UNIQUE_SLUGS_MESSAGE),
-        ),
+        F.when(repeated, issue(path, fixed.UNIQUE_SLUGS_MESSAGE)),
     )
-    return F.when(slugs.isNull(), F.array(issue(path, fixed.REQUIRED))).otherwise(
+    return F.when(slugs.isNull(), issue(path, fixed.REQUIRED)).otherwise(
         F.concat(bad_items, whole)
     )
 
@@ -346,9 +337,7 @@ def rejected_summary_requests(requests: DataFrame) -> DataFrame:
     parsed = requests.where(~passed).withColumn("slugs", parse_slug_list(F.col("site_slugs")))
     return parsed.withColumn(
         "issues",
-        F.concat(
-            issue_list(date_issue(F.col("date_text"), "date")), slug_list_issues(F.col("slugs"))
-        ),
+        issue_list(date_issue(F.col("date_text"), "date"), slug_list_issues(F.col("slugs"))),
     )
 
 

@@ -13,28 +13,32 @@ from liftline.operators.keyed import latest_per_key, skew_safe_join
 def parse_soundings(raw: DataFrame, text: str = "raw_sounding_data") -> DataFrame:
     """Level lines (pressure, height, temp, dew point, direction, speed) to ``levels``.
 
-    ``quality_flag`` is ok, partial (some lines could not be read) or empty.
+    ``quality_flag`` is ok, partial (some lines could not be read) or empty. The
+    levels are read once, in a column of their own.
     """
     names = schemas.SOUNDING_LEVEL.names
 
-    def level(line: Column) -> Column:
-        tokens = F.split(F.trim(line), r"\s+")
-        values = F.transform(tokens, lambda t: t.try_cast("double"))
-        complete = (F.size(values) == len(names)) & F.forall(values, lambda v: v.isNotNull())
-        return F.when(
-            complete, F.struct(*[F.get(values, F.lit(i)).alias(n) for i, n in enumerate(names)])
-        )
-
-    lines = F.filter(F.split(F.col(text), "\n"), lambda line: F.trim(line) != "")
-    read = raw.withColumn("_levels", F.transform(lines, level))
-    return read.withColumns(
-        {
-            "levels": F.array_compact("_levels"),
-            "quality_flag": F.when(F.size(F.array_compact("_levels")) == 0, "empty")
-            .when(F.exists("_levels", lambda v: v.isNull()), "partial")
-            .otherwise("ok"),
-        }
-    ).drop("_levels")
+    def level(tokens: Column) -> Column:
+        values = [F.get(tokens, F.lit(i)).try_cast("double") for i in range(len(names))]
+        complete = F.size(tokens) == len(names)
+        for value in values:
+            complete = complete & value.isNotNull()
+        return F.when(complete, F.struct(*[v.alias(n) for v, n in zip(values, names)]))
+
+    def tokens_of(line: Column) -> Column:
+        return F.filter(F.split(line, " "), lambda token: token != "")
+
+    # Tabs and carriage returns count as blanks; splits on one plain character are cheap.
+    lines = F.split(F.translate(F.col(text), "\t\r", "  "), "\n")
+    tokens = F.filter(F.transform(lines, tokens_of), lambda t: F.size(t) > 0)
+    read = raw.withColumn("_levels", F.transform(tokens, level))
+    compact = read.withColumn("levels", F.array_compact("_levels"))
+    flag = (
+        F.when(F.size("levels") == 0, "empty")
+        .when(F.size("levels") < F.size("_levels"), "partial")
+        .otherwise("ok")
+    )
+    return compact.withColumn("quality_flag", flag).drop("_levels")
 
 
 def sounding_level_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,7 +48,7 @@ def sounding_level_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "quality_flag", "pos", "level.*")
 
 
-def level_features(levels: Column) -> dict[str, Column]:
+def with_level_features(rows: DataFrame, levels: str = "levels") -> DataFrame:
     """Features of a level array; null where two levels of different height are absent.
 
     Lapse rate: temperature drop from the lowest to the highest level per km. Wind
@@ -62,23 +66,30 @@ def level_features(levels: Column) -> dict[str, Column]:
             ),
         )
     )
-    low, high = F.get(by_height, F.lit(0)), F.get(by_height, F.size(by_height) - 1)
-    rise = (high["height_m"] - low["height_m"]) / 1000
-    count = F.size(by_height)
-    shear = F.zip_with(
-        F.slice(by_height, F.lit(1), F.greatest(count - 1, F.lit(0))),
-        F.slice(by_height, F.lit(2), F.greatest(count - 1, F.lit(0))),
-        lambda a, b: F.when(
-            b["height_m"] > a["height_m"],
-            F.sqrt(F.pow(b["u"] - a["u"], 2) + F.pow(b["v"] - a["v"], 2))
-            / ((b["height_m"] - a["height_m"]) / 1000),
-        ),
+    # Each step is a column that later steps use more than once.
+    stepped = rows.withColumn("_sorted", by_height)
+    ends = stepped.withColumns(
+        {
+            "_low": F.get("_sorted", F.lit(0)),
+            "_high": F.try_element_at("_sorted", F.lit(-1)),
+            "_above": F.slice("_sorted", F.lit(2), F.greatest(F.size("_sorted") - 1, F.lit(0))),
+        }
     )
-    return {
-        "lapse_rate_c_per_km": F.when(rise > 0, (low["temp_c"] - high["temp_c"]) / rise),
-        "wind_shear_mps_per_km": F.array_max(shear),
-        "dew_point_spread_c": low["temp_c"] - low["dew_point_c"],
-    }
+
+    def shear(above: Column, i: Column) -> Column:
+        below = F.get("_sorted", i)
+        rise = above["height_m"] - below["height_m"]
+        gap = F.sqrt(F.pow(above["u"] - below["u"], 2) + F.pow(above["v"] - below["v"], 2))
+        return F.when(rise > 0, gap / (rise / 1000))
+
+    rise = (F.col("_high.height_m") - F.col("_low.height_m")) / 1000
+    return ends.withColumns(
+        {
+            "lapse_rate_c_per_km": F.when(rise > 0, (F.col("_low.temp_c") - F.col("_high.temp_c")) / rise),
+            "wind_shear_mps_per_km": F.array_max(F.transform("_above", shear)),
+            "dew_point_spread_c": F.col("_low.temp_c") - F.col("_low.dew_point_c"),
+        }
+    ).drop("_sorted", "_low", "_high", "_above")
 
 
 def cut_off(date: Column, lead_days: int = 0, zone: str = fixed.FORECAST_ZONE) -> Column:

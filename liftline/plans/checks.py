@@ -227,7 +227,7 @@ FROM texts""",
 )
 def date_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _date_texts(spark, sf_dir).select(
-        "event_id", rules.date_issue(F.col("date_text"), "date")["message"].alias("message")
+        "event_id", rules.date_issue(F.col("date_text"), "date")[0]["message"].alias("message")
     )
 
 

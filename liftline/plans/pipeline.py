@@ -298,8 +298,7 @@ FROM orders o LEFT JOIN (SELECT sounding_id,
 )
 def level_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = weather_ops.parse_soundings(_sounding_texts(spark, sf_dir))
-    features = weather_ops.level_features(F.col("levels"))
-    rows = parsed.select("sounding_id", *[c.alias(n) for n, c in features.items()])
+    rows = weather_ops.with_level_features(parsed)
     return rows.select(
         "sounding_id",
         F.round("lapse_rate_c_per_km", 6).alias("lapse_rate_c_per_km"),
