@@ -13,7 +13,7 @@ MAX_SAFE_INTEGER = 9007199254740991
 # --- Patterns ----------------------------------------------------------------
 # \z instead of $: the dollar sign would also match before a final line break.
 DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}\z"
-INSTANT_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?Z\z"
+INSTANT_PATTERN = r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?Z\z"
 SLUG_PATTERN = r"^[a-z0-9]+(?:-[a-z0-9]+)*\z"
 SLUG_MAX_LENGTH = 80
 

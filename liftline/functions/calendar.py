@@ -37,9 +37,7 @@ def parse_date(text: Column) -> Column:
 
 def is_instant(text: Column) -> Column:
     return F.coalesce(
-        text.rlike(fixed.INSTANT_PATTERN)
-        & parse_date(F.substring(text, 1, 10)).isNotNull()
-        & F.try_to_timestamp(text).isNotNull(),
+        text.rlike(fixed.INSTANT_PATTERN) & parse_date(F.substring(text, 1, 10)).isNotNull(),
         F.lit(False),
     )
 
