@@ -151,11 +151,16 @@ def feature_scales(days: DataFrame) -> DataFrame:
 def _scaled(rows: DataFrame, scales: DataFrame) -> DataFrame:
     """Features in deviations; a constant feature counts as equal everywhere."""
     complete = rows.dropna(subset=FEATURES)
-    for name in FEATURES:
-        complete = complete.withColumn("_s", scales.select(f"scale_{name}").scalar()).withColumn(
-            f"z_{name}", F.when(F.col("_s") > 0, F.col(name) / F.col("_s")).otherwise(0.0)
-        )
-    return complete.drop("_s")
+    scale = scales.select(F.struct(*[f"scale_{name}" for name in FEATURES])).scalar()
+    with_scale = complete.withColumn("_scale", scale)
+    return with_scale.withColumns(
+        {
+            f"z_{name}": F.when(
+                F.col(f"_scale.scale_{name}") > 0, F.col(name) / F.col(f"_scale.scale_{name}")
+            ).otherwise(0.0)
+            for name in FEATURES
+        }
+    ).drop("_scale")
 
 
 def _gap(point: Column, low: Column, high: Column) -> Column:

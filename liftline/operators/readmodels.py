@@ -119,8 +119,7 @@ _SUMMARY_COLUMNS = [
 
 def _request_items(requests: DataFrame, sites: DataFrame) -> DataFrame:
     """One row per requested slug with its site id, null for an unknown slug."""
-    checked = requests.where(F.size("slugs") <= fixed.MAX_SUMMARY_SITES)
-    items = checked.select(
+    items = requests.select(
         "request_id", "forecast_date", "slugs",
         F.posexplode_outer("slugs").alias("slug_pos", "slug"),
     )
@@ -130,8 +129,8 @@ def _request_items(requests: DataFrame, sites: DataFrame) -> DataFrame:
 def resolve_sites(requests: DataFrame, sites: DataFrame) -> DataFrame:
     """Requested slugs with their site, the request's unknown count and the site order.
 
-    ``requests`` has ``request_id``, ``forecast_date`` and ``slugs``, the checked
-    list of at most seven slugs, which bounds the per-request windows.
+    ``requests`` has ``request_id``, ``forecast_date`` and ``slugs``, as the rules
+    give them for valid requests: at most seven slugs, which bounds the windows.
     """
     request = Window.partitionBy("request_id")
     return _request_items(requests, sites).withColumns(

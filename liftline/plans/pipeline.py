@@ -12,6 +12,7 @@ from liftline.operators import weather as weather_ops
 from liftline.plans import views as V
 from liftline.plans.oracle_views import SOFIA, day, integer_text, iso, with_views
 from liftline.plans.registry import query
+from liftline.session import cut_lineage
 from liftline.sources import zones
 from liftline.sources.tables import conform
 
@@ -447,7 +448,10 @@ WHERE u.valid_date >= DATE '2024-01-21' AND h.valid_date < DATE '2024-01-21' AND
     ),
 )
 def similar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = _days(spark, sf_dir).withColumn("spread_c", F.col("temp_c") - F.col("dew_point_c"))
+    # Scales, history and upcoming days all read the reduced days: one scan of the runs.
+    features = cut_lineage(
+        _days(spark, sf_dir).withColumn("spread_c", F.col("temp_c") - F.col("dew_point_c"))
+    )
     labelled = baselines.label_days(features, baselines.best_distances(V.flights(spark, sf_dir)))
     split = F.lit("2024-01-21").cast("date")
     history = labelled.where((F.col("valid_date") < split) & (F.col("best_km") >= 200))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only, so they can be applied to a session someone else made.
 SETTINGS = {
@@ -36,3 +38,20 @@ def local_session(cores: int | str = "*", app_name: str = "liftline") -> SparkSe
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def cut_lineage(rows: DataFrame) -> DataFrame:
+    """A reliable checkpoint, for a result that one job reads several times.
+
+    It is written to the shared folder in ``spark.checkpoint.dir``, so it survives
+    lost executors. Only a local session without that setting gets a folder of its own.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
+            folder = tempfile.mkdtemp(prefix="liftline-checkpoint-")
+        context.setCheckpointDir(folder)
+    return rows.checkpoint()

@@ -70,3 +70,26 @@ def test_latest_and_top_k(spark):
     assert sorted(r["id"] for r in latest.collect()) == [2, 3]
     tied = top_k_per_key(df, ["key"], [F.col("v").desc()], 1, ties=True)
     assert sorted(r["id"] for r in tied.collect()) == [1, 2, 3]
+
+
+def test_rows_of_a_hot_key_reach_several_tasks(spark):
+    """A third of all rows has one key; no broadcast and no runtime re-planning helps."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        right = spark.range(40).select(F.col("id").alias("key"), F.lit("v").alias("text"))
+        joined = skew_safe_join(facts(spark), right, ["key"], ["id"], least=500, salts=16)
+        tasks = joined.where("key = 1").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_repeated_ids_do_not_change_the_result(spark):
+    """Rows that share the spread column stay together but are all kept."""
+    left = facts(spark).withColumn("id", F.lit(1))
+    right = spark.range(40).select(F.col("id").alias("key"), F.lit("v").alias("text"))
+    assert skew_safe_join(left, right, ["key"], ["id"], least=100).count() == left.count()
