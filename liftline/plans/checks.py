@@ -84,8 +84,8 @@ def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_ops.bounding_box(V.sites(spark, sf_dir))
 
 
-_DIRTY_SQL = """SELECT c_custkey AS pos, c_custkey % 997 + 1 AS id,
-  'site-' || CAST(c_custkey % 1300 AS VARCHAR) AS slug FROM customer"""
+_DIRTY_SQL = """SELECT c_custkey AS pos, c_custkey % 97 + 1 AS id,
+  'site-' || CAST(c_custkey % 130 AS VARCHAR) AS slug FROM customer"""
 
 
 @query(
@@ -100,8 +100,8 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     dirty = V.table(spark, sf_dir, "customer").select(
         key.alias("pos"),
-        (key % 997 + 1).alias("id"),
-        F.concat(F.lit("site-"), (key % 1300).cast("string")).alias("slug"),
+        (key % 97 + 1).alias("id"),
+        F.concat(F.lit("site-"), (key % 130).cast("string")).alias("slug"),
     )
     return catalog_ops.duplicate_rows(dirty)
 
