@@ -120,7 +120,7 @@ def compare_runs(runs: DataFrame) -> DataFrame:
         known.select("run_id", "site_id", "forecast_date", "generated_at", *COMPARED),
         ["site_id", "forecast_date"],
         ["generated_at", "run_id"],
-        F.to_date("generated_at"),
+        F.date_trunc("hour", F.col("generated_at")),
         list(COMPARED),
     )
     return paired.select(

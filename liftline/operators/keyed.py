@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most this many keys are split; any other key has under 1 / 256 of all rows.
-HOT_KEYS = 256
-# Below this many rows a key is not worth splitting.
-HOT_ROWS = 200_000
-SALTS = 64
+# At most this many keys are split; any other key has under 1 / 4096 of all rows.
+HOT_KEYS = 4096
+# A key is split into pieces of about this many rows; a smaller key is left whole.
+PIECE_ROWS = 200_000
+MOST_PIECES = 4096
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
@@ -32,14 +32,15 @@ def top_k_per_key(
     return ranked.where(F.col(rank) <= k)
 
 
-def hot_keys(rows: DataFrame, keys: list[str], least: int = HOT_ROWS) -> DataFrame:
-    """The biggest keys of at least ``least`` rows, never more than ``HOT_KEYS``.
+def hot_keys(rows: DataFrame, keys: list[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """The biggest keys of more than one piece, never more than ``HOT_KEYS``, with ``_pieces``.
 
     Counting is pre-aggregated in the input tasks and reads the key columns only.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > piece_rows)
     biggest = counts.orderBy(F.col("_n").desc(), *keys).limit(HOT_KEYS)
-    return biggest.select(*keys, F.lit(True).alias("_hot"))
+    pieces = F.least(F.ceil(F.col("_n") / piece_rows), F.lit(MOST_PIECES)).cast("int")
+    return biggest.select(*keys, pieces.alias("_pieces"))
 
 
 def skew_safe_join(
@@ -48,11 +49,10 @@ def skew_safe_join(
     keys: list[str],
     spread: list[str],
     how: str = "left",
-    least: int = HOT_ROWS,
-    salts: int = SALTS,
+    piece_rows: int = PIECE_ROWS,
     count_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join in which hot keys of ``facts`` are split over ``salts`` tasks.
+    """Equi-join in which hot keys of ``facts`` are split into pieces by their size.
 
     The salt is a hash of the ``spread`` columns, which tell the rows of one key
     apart: a task that is run again gives the same salt. Only lookup rows of hot
@@ -63,21 +63,21 @@ def skew_safe_join(
     if how not in ("left", "inner"):
         raise ValueError(f"Only left and inner joins can be salted, not {how}.")
     # At most HOT_KEYS rows whatever the size of the data.
-    hot = F.broadcast(hot_keys(facts if count_from is None else count_from, keys, least))
+    hot = F.broadcast(hot_keys(facts if count_from is None else count_from, keys, piece_rows))
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    salted_facts = (
-        facts.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | null_key, salt).otherwise(0))
-        .drop("_hot")
+    row_hash = F.xxhash64(*spread)
+    salt = (
+        F.when(null_key, F.pmod(row_hash, F.lit(MOST_PIECES)))
+        .when(F.col("_pieces").isNotNull(), F.pmod(row_hash, F.col("_pieces")))
+        .otherwise(0)
+        .cast("int")
     )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted_facts = facts.join(hot, keys, "left").withColumn("_salt", salt).drop("_pieces")
+    every_salt = F.sequence(F.lit(0), F.coalesce(F.col("_pieces") - 1, F.lit(0)))
     salted_lookup = (
-        lookup.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        lookup.join(hot, keys, "left").withColumn("_salt", F.explode(every_salt)).drop("_pieces")
     )
     return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
 

@@ -289,14 +289,18 @@ _ITEM = (
 _LIST = rf"^{_ITEM}(?:,{_ITEM}){{0,{fixed.MAX_SUMMARY_SITES - 1}}}\z"
 
 
+def _parts_without_blanks(text: Column) -> Column:
+    """The items of a valid list: there is no white space inside a valid item."""
+    return F.split(F.translate(text, X.BLANKS, ""), ",", -1)
+
+
 def slug_list_valid(text: Column) -> Column:
     """The list gives no issue, tested on the text itself.
 
     A filter on the parsed list would be pushed below the parsing and repeat it. A
-    pattern on the text, and a split of the text without its white space (there is
-    none inside a valid item), stay within generated code.
+    pattern and a plain split of the text stay within generated code.
     """
-    parts = F.split(F.translate(text, X.BLANKS, ""), ",", -1)
+    parts = _parts_without_blanks(text)
     return F.coalesce(
         text.rlike(_LIST) & (F.size(F.array_distinct(parts)) == F.size(parts)), F.lit(False)
     )
@@ -327,7 +331,7 @@ def valid_summary_requests(requests: DataFrame) -> DataFrame:
     date = parse_date(F.col("date_text"))
     passed = requests.where(date.isNotNull() & slug_list_valid(F.col("site_slugs")))
     return passed.withColumns(
-        {"slugs": parse_slug_list(F.col("site_slugs")), "forecast_date": date}
+        {"slugs": _parts_without_blanks(F.col("site_slugs")), "forecast_date": date}
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from liftline.operators.keyed import (
     HOT_KEYS,
+    MOST_PIECES,
     hot_keys,
     latest_per_key,
     skew_safe_join,
@@ -30,7 +31,7 @@ def test_salted_join_equals_plain_join(spark):
     left = facts(spark)
     right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 40, 2)] + [(1, "hot")], "key long, text string")
     for how in ("left", "inner"):
-        salted = skew_safe_join(left, right, ["key"], ["id"], how, least=100, salts=8)
+        salted = skew_safe_join(left, right, ["key"], ["id"], how, piece_rows=100)
         assert rows_of(salted.select("id", "key", "text")) == rows_of(
             left.join(right, "key", how).select("id", "key", "text")
         )
@@ -39,12 +40,14 @@ def test_salted_join_equals_plain_join(spark):
 def test_hot_key_is_spread_and_only_hot_lookup_rows_repeat(spark):
     left = facts(spark)
     assert [r["key"] for r in hot_keys(left.dropna(), ["key"], 500).collect()] == [1]
-    assert hot_keys(left, ["key"], 1).count() <= HOT_KEYS
+    assert [r["_pieces"] for r in hot_keys(left.dropna(), ["key"], 500).collect()] == [2]
 
 
 def test_hot_list_is_bounded(spark):
-    many = spark.range(10_000).select((F.col("id") % 1000).alias("key"))
+    many = spark.range(20_000).select((F.col("id") % 5000).alias("key"))
     assert hot_keys(many, ["key"], 2).count() == HOT_KEYS
+    one = spark.range(20_000).select(F.lit(1).alias("key"))
+    assert hot_keys(one, ["key"], 2).first()["_pieces"] == MOST_PIECES
 
 
 def test_previous_row_equals_lag(spark):
@@ -80,7 +83,7 @@ def test_rows_of_a_hot_key_reach_several_tasks(spark):
         for k, v in settings.items():
             spark.conf.set(k, v)
         right = spark.range(40).select(F.col("id").alias("key"), F.lit("v").alias("text"))
-        joined = skew_safe_join(facts(spark), right, ["key"], ["id"], least=500, salts=16)
+        joined = skew_safe_join(facts(spark), right, ["key"], ["id"], piece_rows=100)
         tasks = joined.where("key = 1").select(F.spark_partition_id().alias("p")).distinct().count()
         assert tasks > 1
     finally:
@@ -92,4 +95,4 @@ def test_repeated_ids_do_not_change_the_result(spark):
     """Rows that share the spread column stay together but are all kept."""
     left = facts(spark).withColumn("id", F.lit(1))
     right = spark.range(40).select(F.col("id").alias("key"), F.lit("v").alias("text"))
-    assert skew_safe_join(left, right, ["key"], ["id"], least=100).count() == left.count()
+    assert skew_safe_join(left, right, ["key"], ["id"], piece_rows=100).count() == left.count()
