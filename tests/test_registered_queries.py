@@ -39,7 +39,8 @@ def test_every_inventory_item_is_registered():
 
 
 def test_entry_points(spark):
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(ENTRIES) <= set(entry_points.queries())
+    assert set(ENTRIES) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert entry_points.entry(spark).columns[:4] == ["request_id", "pos", "site_id", "slug"]
 
 
