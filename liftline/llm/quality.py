@@ -221,3 +221,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """
     stats = settle(document_statistics(docs), "statistics")
     return score_rows(stats, train(stats, labels, fit_rows))
+
+
+def keep_good(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, all columns as they are."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            good = [forest.score(statistics(piece)) >= least for piece in T.slices(column)]
+            yield batch.filter(pa.array(np.concatenate([*good, np.zeros(0, bool)])))
+
+    return docs.mapInArrow(passed, docs.schema)
