@@ -25,7 +25,10 @@ from liftline.llm.shared import components, settle
 
 COSINE = 0.98
 # A vector is in about so many caps; for a cosine of 0.98 two vectors share most of them.
-CAPS = 24
+CAPS = 16
+# How far below the nearest direction the threshold lies at least, as CAPS is for an
+# average vector: some standard deviations of the change to a vector at cosine 0.98.
+MARGIN = 0.6
 # There are directions enough for about so many vectors of a group in one cap.
 CAP_VECTORS = 32
 LEAST_DIRECTIONS = 4096
@@ -63,25 +66,20 @@ class ProductCode:
         return out
 
     def caps_of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and filter numbers of all caps of the unit vectors, in order.
-
-        Every vector is also in the cap of its nearest direction, so that none is left out.
-        """
+        """Row numbers and filter numbers of all caps of the unit vectors, in order."""
         dim = unit.shape[1]
         products = [(unit @ rotation) @ word.T for rotation, word in self.directions(dim)]
         best = [p.max(axis=1) for p in products]
-        needed = self.threshold / math.sqrt(dim)
+        # A vector far from all directions takes those about as near as its nearest one.
+        needed = np.minimum(self.threshold, sum(best) * math.sqrt(dim) - MARGIN) / math.sqrt(dim)
         row, word, score = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
         for k, p in enumerate(products):
             rest = sum((b[row] for b in best[k + 1 :]), start=np.zeros(len(row)))
             total = score[:, None] + p[row]
-            at, next_word = np.nonzero(total + rest[:, None] >= needed)
+            at, next_word = np.nonzero(total + rest[:, None] >= needed[row, None])
             row, word, score = row[at], word[at] * self.words + next_word, total[at, next_word]
-        nearest = np.zeros(len(unit), np.int64)
-        for p in products:
-            nearest = nearest * self.words + p.argmax(axis=1)
-        both = np.unique(np.column_stack([np.concatenate([row, np.arange(len(unit))]), np.concatenate([word, nearest])]), axis=0)
-        return both[:, 0], both[:, 1]
+        order = np.lexsort((word, row))
+        return row[order], word[order]
 
 
 def _units(lists: pa.ListArray, dim: int) -> np.ndarray:

@@ -231,10 +231,15 @@ def _meeting(sets: DataFrame, percent: int) -> DataFrame:
     return rarest.join(least, "item").select(F.col("key").alias("a"), "b").distinct()
 
 
-def similar_sets(sets: DataFrame, percent: int, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """``a``, ``b``: links that connect all similar sets of ``key``, ``n``, ``items``."""
-    # The graph is only about which sets can meet, so it is as exact as its rarest shingles.
-    meeting = components(_meeting(sets, percent), "meeting").withColumnRenamed("node", "key")
+def similar_sets(
+    sets: DataFrame, meeting: DataFrame, percent: int, chunk_shingles: int = CHUNK_SHINGLES
+) -> DataFrame:
+    """``a``, ``b``: links that connect all similar sets of ``key``, ``n``, ``items``.
+
+    ``meeting`` has edges ``a``, ``b`` that join at least all sets that are similar; sets
+    it does not join are never compared.
+    """
+    meeting = components(meeting, "meeting").withColumnRenamed("node", "key")
     grouped = sets.join(meeting, "key")
     volume = grouped.groupBy("component").agg(F.sum("n").alias("volume"))
     volume = settle(volume.withColumn("chunks", F.ceil(F.col("volume") / chunk_shingles).cast("int")), "volume")
@@ -294,7 +299,7 @@ def jaccard_components(
     texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text")
     rows = settle(shingle_sets(texts, k), "shingles")
     sets = _candidates(texts, rows, k, percent)
-    links = similar_sets(sets, percent, chunk_shingles)
+    links = similar_sets(sets, _meeting(sets, percent), percent, chunk_shingles)
     found = components(links, "linked")
     least = rows.where("n > 0").groupBy("key").agg(F.min(F.when(F.col("doc") > -(2**63), F.col("doc"))).alias("least"))
     tied = least.join(found.withColumnRenamed("node", "key"), "key", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm import caps, chat, exact_dedup, jaccard, language, mixing, pieces, quality
+from liftline.llm import caps, chat, exact_dedup, jaccard, language, mixing, paragraphs, pieces, quality
 from liftline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2n (chosen) and 2n + 1 (rejected) are a pair."""
     turns = table(spark, sf_dir, "conversations").select(
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op4_exact_dedup,
         op5_sentencepiece,
         op6_embedding_dedup,
+        op7_substring_dedup,
         op8_chat_formatting,
         op9_quality_classifier,
         op10_source_mixing,

@@ -44,3 +44,29 @@ def jaccard_components(rows: list[tuple], k: int, percent: int) -> list[tuple]:
                 links.append((i, j))
     found = least_reachable(len(rows), links, [d for d, _ in rows])
     return [(d, len(s), c) for (d, _), s, c in zip(rows, sets, found, strict=True)]
+
+
+def repeated_paragraphs(rows: list[tuple], percent: int = 80, least: int = 20) -> list[tuple]:
+    """(doc_id, n_lines, removed lines) for (doc_id, text) with different doc_ids."""
+    places, counts = [], {}
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        if len(lines) > 1 and lines[-1] == "":
+            lines.pop()
+        counts[doc] = len(lines)
+        for i, line in enumerate(lines):
+            words = _WORDS.findall(line.translate(_FOLD))
+            if len(words) >= least:
+                places.append((doc, i, shingles(line, 5)))
+    links = []
+    for i, a in enumerate(places):
+        for j in range(i):
+            b = places[j]
+            if 100 * len(a[2] & b[2]) >= percent * len(a[2] | b[2]):
+                links.append((i, j))
+    keep = least_reachable(len(places), links, [p[:2] for p in places])
+    gone: dict = {doc: [] for doc, _ in rows}
+    for (doc, line, _), k in zip(places, keep, strict=True):
+        if (doc, line) != k:
+            gone[doc].append(line)
+    return [(doc, counts[doc], tuple(gone[doc])) for doc, _ in rows]
