@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm import caps, chat, exact_dedup, jaccard, language, mixing, paragraphs, pieces, quality
+from liftline.llm import caps, chat, exact_dedup, jaccard, language, mixing, paragraphs, pieces, quality, suffixes
 from liftline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(~held_out(F.col("doc_id"))))
@@ -82,6 +86,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_language_id,
         op3_ngram_jaccard,
         op4_exact_dedup,

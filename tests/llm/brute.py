@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,3 +71,24 @@ def repeated_paragraphs(rows: list[tuple], percent: int = 80, least: int = 20) -
         if (doc, line) != k:
             gone[doc].append(line)
     return [(doc, counts[doc], tuple(gone[doc])) for doc, _ in rows]
+
+
+def repeated_bytes(rows: list[tuple], length: int = 50) -> list[tuple]:
+    """(doc_id, n_bytes, n_removed, n_spans, sha256) for (doc_id, text)."""
+    smallest: dict = {}
+    for doc, text in rows:
+        raw = (text or "").encode()
+        for i in range(len(raw) - length + 1):
+            s = raw[i : i + length]
+            smallest[s] = min(smallest.get(s, doc), doc)
+    out = []
+    for doc, text in rows:
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if smallest[raw[i : i + length]] < doc:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        spans = len(bytes(gone).replace(b"\0", b" ").split())
+        out.append((doc, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
