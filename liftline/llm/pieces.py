@@ -13,16 +13,16 @@ its neighbours and are remembered in a table of bounded size.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Words whose ids a task remembers before it starts over.
-REMEMBERED = 400_000
+# Words whose ids a worker remembers before it starts over.
+REMEMBERED = 1_000_000
 # The search looks for a common boundary whenever so many positions are open.
 OPEN_POSITIONS = 64
 _UNKNOWN_LOSS = 10.0
@@ -34,6 +34,7 @@ class Vocabulary:
 
     pieces: list[str]
     ids: dict[str, tuple[int, float]]
+    tree: dict  # the pieces by their characters; a piece's (id, score) under ""
     bytes_at: int
     byte_score: float
     longest: int
@@ -50,7 +51,13 @@ class Vocabulary:
         inner = any(" " in p.lstrip(" ") or "\n" in p for p in ids)
         longest = max(map(len, ids), default=1)
         texts = [piece for piece, _, _ in pieces]
-        return cls(texts, ids, bytes_at, least - _UNKNOWN_LOSS, longest, not inner)
+        tree: dict = {}
+        for piece, found in ids.items():
+            node = tree
+            for letter in piece:
+                node = node.setdefault(letter, {})
+            node[""] = found
+        return cls(texts, ids, tree, bytes_at, least - _UNKNOWN_LOSS, longest, not inner)
 
 
 def load(path: str) -> Vocabulary:
@@ -76,59 +83,76 @@ def viterbi(text: str, vocabulary: Vocabulary) -> Iterator[int]:
     Equal sums go to the path whose last piece is longer. A character that is no piece
     costs a fixed score and gives the pieces of its UTF-8 bytes.
     """
-    ids, longest = vocabulary.ids, vocabulary.longest
-    # Per position from ``base`` on: best sum, length of the last piece, its id (-1: bytes).
-    base, sums, lengths, last = 0, [0.0], [0], [0]
+    longest, size = vocabulary.longest, len(text)
+    loss, none = vocabulary.byte_score, float("-inf")
+    # Per position from ``base`` on: best sum, start of the last piece, its id (-1: bytes).
+    base = 0
+    sums, starts, last = [none] * (longest + 1), [0] * (longest + 1), [0] * (longest + 1)
+    sums[0] = 0.0
 
     def path(to: int) -> list[int]:
         out, at = [], to
         while at > base:
-            i, n = last[at - base], lengths[at - base]
+            i = last[at - base]
             if i >= 0:
                 out.append(i)
             else:
-                out += [vocabulary.bytes_at + b for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
-            at -= n
+                raw = text[at - 1].encode("utf-8", "surrogatepass")
+                out += [vocabulary.bytes_at + b for b in reversed(raw)]
+            at = starts[at - base]
         out.reverse()
         return out
 
-    for end in range(1, len(text) + 1):
-        best, best_n, best_id = sums[-1] + vocabulary.byte_score, 1, -1
-        for n in range(1, min(longest, end - base) + 1):
-            found = ids.get(text[end - n : end])
+    for start in range(size):
+        at = start - base
+        so_far = sums[at]
+        sums.append(none)
+        starts.append(0)
+        last.append(0)
+        if so_far == none:
+            continue
+        if so_far + loss > sums[at + 1]:
+            sums[at + 1], starts[at + 1], last[at + 1] = so_far + loss, start, -1
+        node, to = vocabulary.tree, at
+        for letter in text[start : start + longest]:
+            node = node.get(letter)
+            if node is None:
+                break
+            to += 1
+            found = node.get("")
             if found is not None:
-                total = sums[end - n - base] + found[1]
-                if total > best or (total == best and n >= best_n):
-                    best, best_n, best_id = total, n, found[0]
-        sums.append(best)
-        lengths.append(best_n)
-        last.append(best_id)
-        if end - base >= OPEN_POSITIONS and end % (OPEN_POSITIONS // 2) == 0:
-            open_nodes = set(range(max(base, end - longest + 1), end + 1))
+                total = so_far + found[1]
+                # Longer pieces come first at any end; a piece is better than bytes.
+                if total > sums[to] or (total == sums[to] and last[to] < 0):
+                    sums[to], starts[to], last[to] = total, start, found[0]
+        if at >= OPEN_POSITIONS and start % (OPEN_POSITIONS // 2) == 0:
+            end = min(start + longest, size)
+            open_nodes = {p for p in range(start + 1, end + 1) if sums[p - base] > none}
             while len(open_nodes) > 1:
                 top = max(open_nodes)
                 open_nodes.remove(top)
-                open_nodes.add(top - lengths[top - base])
+                open_nodes.add(starts[top - base])
             common = open_nodes.pop()
-            if common > base:
+            if base < common <= start:
                 yield from path(common)
-                cut = common - base
-                base = common
-                sums, lengths, last = sums[cut:], lengths[cut:], last[cut:]
-    yield from path(len(text))
+                cut, base = common - base, common
+                sums, starts, last = sums[cut:], starts[cut:], last[cut:]
+    yield from path(size)
 
 
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 
 
 class _Remembered(dict):
+    """Ids of words, as bytes of 32-bit numbers."""
+
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        found = tuple(viterbi(unit, self.vocabulary))
-        if len(unit) <= 64:
+    def __missing__(self, unit: str) -> bytes:
+        found = array("i", viterbi(unit, self.vocabulary)).tobytes()
+        if len(unit) <= OPEN_POSITIONS:
             self[unit] = found
         return found
 
@@ -138,7 +162,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.known = vocabulary, _Remembered(vocabulary)
-        self.bytes = {f"<0x{b:02X}>": b for b in range(256)}
+        first = vocabulary.bytes_at
+        self.raw = [piece.encode("utf-8", "surrogatepass") for piece in vocabulary.pieces]
+        self.raw[first : first + 256] = [bytes([b]) for b in range(256)]
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -148,20 +174,23 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         units = _UNITS.findall(" " + text)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, units)), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        first, pieces = self.vocabulary.bytes_at, self.vocabulary.pieces
-        raw = (ids >= first) & (ids < first + 256)
-        if not raw.any():
-            return "".join(map(pieces.__getitem__, ids.tolist()))[1:]
-        out = bytearray()
-        for i in ids.tolist():
-            if first <= i < first + 256:
-                out.append(i - first)
-            else:
-                out += pieces[i].encode()
-        return out.decode("utf-8", "surrogatepass")[1:]
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        return raw.decode("utf-8", "surrogatepass")[1:]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(shared) -> Encoder:
+    """The encoder of this worker, which keeps its remembered words from task to task."""
+    name = str(shared.value.bytes_at) + str(hash(tuple(shared.value.pieces)))
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(shared.value)
+    return _ENCODERS[name]
 
 
 def encode_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -173,7 +202,7 @@ def encode_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -196,7 +225,7 @@ def decode_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
             lists = batch.column("ids").to_pylist()
             texts = [None if x is None else encoder.decode(np.array(x, np.int32)) for x in lists]
