@@ -2,7 +2,8 @@
 
 A task gathers the fingerprints of many texts, sorts them and sends each range of values
 as one front-coded block: differences of sorted values, byte planes, compressed. A range
-meets in one group, which sorts its blocks and answers per text. A fingerprint is sent
+meets in one group, which sorts its parts of blocks and answers each block; the answers
+to a block are put together into one row per text. A fingerprint is sent
 once per block however many of its texts hold it, so a very frequent one reaches a group
 once per block and not once per text.
 
@@ -57,8 +58,8 @@ class _Block:
         self.texts += len(docs)
         self.size += len(values)
 
-    def rows(self, groups: int, with_values: bool) -> Iterator[tuple]:
-        """(group, docs, values, owners) blocks and (doc, n, values) answers found inside."""
+    def rows(self, groups: int, with_values: bool) -> Iterator[dict]:
+        """Parts of the block, one per group, and the answer found inside."""
         if self.size == 0:
             return
         docs = np.concatenate(self.docs)
@@ -70,7 +71,10 @@ class _Block:
         same = np.zeros(len(value) + 1, bool)
         same[1:-1] = value[1:] == value[:-1]
         inside = same[:-1] | same[1:]
-        answers = list(_answers(docs, owner[inside], value[inside], with_values))
+        # Blocks have different first values or texts; a task that runs again makes the same.
+        number = int(T.mix(packed[:1] + T.mix(docs[:1].astype(np.uint64) + np.uint64(len(docs))))[0].astype(np.int64))
+        if inside.any():
+            yield {"block": number} | _answer(docs, owner[inside], value[inside], with_values)
         # A value of several texts goes on once, for the others to learn of it.
         first = ~same[:-1]
         value, owner = value[first], np.where(same[1:], _MANY, owner)[first]
@@ -84,22 +88,27 @@ class _Block:
             rank = np.empty(len(used), np.int64)
             rank[order] = np.arange(len(used))
             short = np.where(own == _MANY, 0, 1 + rank[np.minimum(np.searchsorted(used, own), max(len(used) - 1, 0))]) if len(used) else np.zeros(len(own), np.int64)
-            ids = ids[order].astype(np.uint64)
-            yield int(g), pack(np.diff(ids, prepend=np.uint64(0))), pack(np.diff(part, prepend=np.uint64(0))), pack(short)
-        yield from answers
+            yield {
+                "grp": int(g), "block": number, "docs": pack(_steps(ids[order])), "vals": pack(_steps(part)),
+                "owners": pack(short),
+            }
 
 
-def _answers(docs: np.ndarray, owner: np.ndarray, value: np.ndarray, with_values: bool) -> Iterator[tuple]:
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+
+
+def _answer(docs: np.ndarray, owner: np.ndarray, value: np.ndarray, with_values: bool) -> dict:
+    """Texts with their numbers of values, and the values text by text."""
     order = np.argsort(owner, kind="stable")
-    owner, value = owner[order], value[order]
-    which, at, n = np.unique(owner, return_index=True, return_counts=True)
-    for k, start, size in zip(which, at, n, strict=True):
-        yield int(docs[k]), int(size), pack(value[start : start + size]) if with_values else None
+    which, n = np.unique(owner[order], return_counts=True)
+    values = pack(value[order]) if with_values else None
+    return {"docs": pack(_steps(docs[which])), "owners": pack(n), "vals": values}
 
 
-_BLOCKS = pa.schema([("grp", pa.int64()), ("docs", pa.binary()), ("vals", pa.binary()), ("owners", pa.binary()),
-                     ("doc", pa.int64()), ("n", pa.int64())])
-_ANSWERS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("vals", pa.binary())])
+_PARTS = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("docs", pa.binary()), ("vals", pa.binary()), ("owners", pa.binary())])
+_ANSWERS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("vals", pa.binary()), ("owners", pa.binary())])
+_TOTALS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("vals", pa.binary())])
 
 
 def repeated_fingerprints(
@@ -122,13 +131,8 @@ def repeated_fingerprints(
         block = _Block()
 
         def out() -> Iterator[pa.RecordBatch]:
-            table = {name: [] for name in _BLOCKS.names}
-            for row in block.rows(groups, with_values):
-                is_block = len(row) == 4
-                filled = (*row, None, None) if is_block else (None, None, row[2], None, row[0], row[1])
-                for name, value in zip(_BLOCKS.names, filled, strict=True):
-                    table[name].append(value)
-            yield pa.RecordBatch.from_pydict(table, schema=_BLOCKS)
+            rows = list(block.rows(groups, with_values))
+            yield pa.RecordBatch.from_pylist(rows, schema=_PARTS)
 
         for batch in batches:
             ids = batch.column("doc").to_numpy()
@@ -147,28 +151,40 @@ def repeated_fingerprints(
         yield from out()
 
     def answer(table: pa.Table) -> pa.Table:
-        blocks = [
-            (np.cumsum(unpack(d)), np.cumsum(unpack(v)), unpack(o).astype(np.int64))
-            for d, v, o in zip(*[table.column(c).to_pylist() for c in ("docs", "vals", "owners")], strict=True)
+        parts = [
+            (row["block"], np.cumsum(unpack(row["docs"])), np.cumsum(unpack(row["vals"])), unpack(row["owners"]).astype(np.int64))
+            for row in table.to_pylist()
         ]
-        values = np.sort(np.concatenate([b[1] for b in blocks]))
+        values = np.sort(np.concatenate([p[2] for p in parts]))
         twice = np.unique(values[1:][values[1:] == values[:-1]])
-        rows: list[tuple] = []
-        for ids, value, owner in blocks:
-            if len(twice) == 0:
-                break
-            at = np.minimum(np.searchsorted(twice, value), len(twice) - 1)
-            hit = (twice[at] == value) & (owner > 0)
-            rows += _answers(ids.astype(np.int64), owner[hit] - 1, value[hit], with_values)
-        columns = [[r[i] for r in rows] for i in range(3)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANSWERS, strict=True)], schema=_ANSWERS)
-
-    schema = "grp long, docs binary, vals binary, owners binary, doc long, n long"
+        rows = []
+        for block, ids, value, owner in parts:
+            if len(twice):
+                at = np.minimum(np.searchsorted(twice, value), len(twice) - 1)
+                hit = (twice[at] == value) & (owner > 0)
+                if hit.any():
+                    rows.append({"block": block} | _answer(ids.astype(np.int64), owner[hit] - 1, value[hit], with_values))
+        return pa.Table.from_pylist(rows, schema=_ANSWERS)
+
+    def total(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        docs = np.concatenate([np.cumsum(unpack(r["docs"])).astype(np.int64) for r in rows])
+        n = np.concatenate([unpack(r["owners"]) for r in rows]).astype(np.int64)
+        ids, own = np.unique(docs, return_inverse=True)
+        sums = np.bincount(own, n, len(ids)).astype(np.int64)
+        blobs = [None] * len(ids)
+        if with_values:
+            values = np.concatenate([unpack(r["vals"]) for r in rows])
+            values = values[np.argsort(np.repeat(own, n), kind="stable")]
+            blobs = [pack(part) for part in np.split(values, np.cumsum(sums)[:-1])]
+        return pa.Table.from_arrays([pa.array(ids), pa.array(sums), pa.array(blobs, pa.binary())], schema=_TOTALS)
+
+    schema = "grp long, block long, docs binary, vals binary, owners binary"
+    answers = "block long, docs binary, vals binary, owners binary"
     sent = docs.select("doc", "text").mapInArrow(send, schema)
-    answers = "doc long, n long, vals binary"
     far = sent.where("grp is not null").groupBy("grp").applyInArrow(answer, answers)
-    near = sent.where("grp is null").select("doc", "n", "vals")
-    return far.union(near)
+    near = sent.where("grp is null").drop("grp")
+    return far.unionByName(near).groupBy("block").applyInArrow(total, "doc long, n long, vals binary")
 
 
 def total_bytes(docs: DataFrame) -> int:
