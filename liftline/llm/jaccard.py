@@ -31,8 +31,8 @@ from liftline.llm import text as T
 from liftline.llm.fingerprints import repeated_fingerprints, total_bytes
 from liftline.llm.shared import components, settle
 
-# A chunk is expected to hold about so many shingles.
-CHUNK_SHINGLES = 40_000
+# A chunk is expected to hold about so many shingles, and so many sets.
+CHUNK_SHINGLES, CHUNK_SETS = 40_000, 400
 # Weight of a binary probe against a step of the heap, in the choice of long lists.
 PROBE_COST = 0.01
 
@@ -241,7 +241,9 @@ def similar_sets(
     """
     meeting = components(meeting, "meeting").withColumnRenamed("node", "key")
     grouped = sets.join(meeting, "key")
-    volume = grouped.groupBy("component").agg(F.sum("n").alias("volume"))
+    # A set counts as an even share of a chunk at least: short sets are many to compare.
+    share = F.greatest("n", F.lit(chunk_shingles // CHUNK_SETS))
+    volume = grouped.groupBy("component").agg(F.sum(share).alias("volume"))
     volume = settle(volume.withColumn("chunks", F.ceil(F.col("volume") / chunk_shingles).cast("int")), "volume")
     small = volume.where("chunks = 1").agg(F.coalesce(F.sum("volume"), F.lit(0))).first()[0]
     packs = max(1, -(-small // chunk_shingles))
@@ -268,7 +270,7 @@ def similar_sets(
     main = weight.groupBy("grp").agg(F.max(F.struct("volume", "label")).alias("main"))
     main = main.select("grp", F.col("main.label").alias("main"))
     rest = big.join(main, "grp").where("label <> main")
-    turns = rest.groupBy("grp").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("turns"))
+    turns = rest.groupBy("grp").agg(F.ceil(F.sum(share) / chunk_shingles).cast("int").alias("turns"))
     ask = rest.join(turns, "grp").select(
         "grp", "key", "items", "label", F.lit(True).alias("query"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
