@@ -32,14 +32,22 @@ _LOW = np.uint64(0xFFFF)
 _16 = np.uint64(16)
 
 
+_SMALL = 16
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Compresses integers by planes of equal significance."""
-    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.T).tobytes())
+    """Compresses integers by planes of equal significance; a few are left as they are."""
+    wide = np.ascontiguousarray(values.astype("<u8"))
+    if len(wide) < _SMALL:
+        return b"=" + wide.tobytes()
+    return b"z" + _ZIP.compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    if blob[:1] == b"=":
+        return np.frombuffer(blob, "<u8", offset=1)
+    planes = np.frombuffer(_UNZIP.decompress(blob[1:]), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
@@ -74,7 +82,8 @@ class _Block:
         # Blocks have different first values or texts; a task that runs again makes the same.
         number = int(T.mix(packed[:1] + T.mix(docs[:1].astype(np.uint64) + np.uint64(len(docs))))[0].astype(np.int64))
         if inside.any():
-            yield {"block": number} | _answer(docs, owner[inside], value[inside], with_values)
+            own = _answer(docs, owner[inside], value[inside], with_values)
+            yield {"grp": -1 - number % groups, "block": number} | own
         # A value of several texts goes on once, for the others to learn of it.
         first = ~same[:-1]
         value, owner = value[first], np.where(same[1:], _MANY, owner)[first]
@@ -151,6 +160,8 @@ def repeated_fingerprints(
         yield from out()
 
     def answer(table: pa.Table) -> pa.Table:
+        if table.column("grp")[0].as_py() < 0:  # answers found inside blocks
+            return table.select(_ANSWERS.names)
         parts = [
             (row["block"], np.cumsum(unpack(row["docs"])), np.cumsum(unpack(row["vals"])), unpack(row["owners"]).astype(np.int64))
             for row in table.to_pylist()
@@ -182,9 +193,8 @@ def repeated_fingerprints(
     schema = "grp long, block long, docs binary, vals binary, owners binary"
     answers = "block long, docs binary, vals binary, owners binary"
     sent = docs.select("doc", "text").mapInArrow(send, schema)
-    far = sent.where("grp is not null").groupBy("grp").applyInArrow(answer, answers)
-    near = sent.where("grp is null").drop("grp")
-    return far.unionByName(near).groupBy("block").applyInArrow(total, "doc long, n long, vals binary")
+    found = sent.groupBy("grp").applyInArrow(answer, answers)
+    return found.groupBy("block").applyInArrow(total, "doc long, n long, vals binary")
 
 
 def total_bytes(docs: DataFrame) -> int:

@@ -195,9 +195,8 @@ class LoserTree:
         self.size = 1
         while self.size < len(runs):
             self.size *= 2
-        self.head: list[bytes | None] = [r[0][0] if r[0] else None for r in runs]
-        self.head += [None] * (self.size - len(runs))
-        self.shared = [0] * self.size
+        self.head = [r[0][0] if r[0] else b"" for r in runs] + [b""] * (self.size - len(runs))
+        self.shared = [0 if r[0] else -1 for r in runs] + [-1] * (self.size - len(runs))
         self.next = [1] * self.size
         self.loser = [0] * self.size
         self.winner = self._build(1) if self.size > 1 else 0
@@ -209,20 +208,17 @@ class LoserTree:
         return winner
 
     def _play(self, a: int, b: int) -> tuple[int, int]:
-        x, y = self.head[a], self.head[b]
-        if y is None:
-            return a, b
-        if x is None:
-            return b, a
+        """(winner, loser); a run that has ended shares -1 and loses."""
         n, m = self.shared[a], self.shared[b]
-        if n != m:
-            return (a, b) if n > m else (b, a)
+        if n != m or n < 0:
+            return (a, b) if n >= m else (b, a)
+        x, y = self.head[a], self.head[b]
         if n:
             x, y = x[n:], y[n:]
         size = min(len(x), len(y))
         odd = int.from_bytes(x[:size]) ^ int.from_bytes(y[:size])
         n += size - (odd.bit_length() + 7) // 8
-        if (x, a) < (y, b):
+        if x < y or (x == y and a < b):
             self.shared[b] = n
             return a, b
         self.shared[a] = n
@@ -231,8 +227,8 @@ class LoserTree:
     def __iter__(self) -> Iterator[tuple[int, int]]:
         """(run, prefix shared with the string before) in sorted order."""
         head, shared, following, loser, runs = self.head, self.shared, self.next, self.loser, self.runs
-        play, winner = self._play, self.winner
-        while head[winner] is not None:
+        winner, size = self.winner, self.size
+        while shared[winner] >= 0:
             yield winner, shared[winner]
             strings, prefixes = runs[winner]
             at = following[winner]
@@ -240,10 +236,15 @@ class LoserTree:
                 head[winner], shared[winner] = strings[at], prefixes[at]
                 following[winner] = at + 1
             else:
-                head[winner] = None
-            node = (winner + self.size) // 2
+                head[winner], shared[winner] = b"", -1
+            node = (winner + size) // 2
             while node:
-                winner, loser[node] = play(winner, loser[node])
+                other = loser[node]
+                n, m = shared[winner], shared[other]
+                if n < m:
+                    winner, loser[node] = other, winner
+                elif n == m and n >= 0:
+                    winner, loser[node] = self._play(winner, other)
                 node //= 2
 
 
@@ -266,6 +267,8 @@ def _decoded(shape: bytes, rest: bytes, left: bytes, where: bytes) -> tuple:
 
 
 def _merge(table: pa.Table) -> pa.Table:
+    if table.column("grp")[0].as_py() < 0:  # settled inside a run
+        return table.select(["doc", "row", "first", "last"])
     blocks = [_decoded(*x) for x in zip(*[table.column(c).to_pylist() for c in ("shape", "rest", "left", "where")], strict=True)]
     base = np.cumsum([0, *[len(b[0]) for b in blocks]])
     following = base[:-1].tolist()
@@ -310,6 +313,8 @@ def _row_keys(piece: T.Slice) -> np.ndarray:
 
 
 def _sorted_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
+    ranges = len(splitters) + 1
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = _Run()
 
@@ -317,7 +322,7 @@ def _sorted_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
             columns: list[list] = [[] for _ in _SENT]
             for sent in run.sent(splitters):
                 is_block = len(sent) == 5
-                row = (*sent, None, None, None, None) if is_block else (None,) * 5 + sent
+                row = (*sent, None, None, None, None) if is_block else (-1 - sent[0] % ranges, *(None,) * 4, *sent)
                 for values, value in zip(columns, row, strict=True):
                     values.append(value)
             arrays = [pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)]
@@ -383,9 +388,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     splitters = _splitters(texts, max(1, -(-total // RANGE_SUFFIXES)), rows)
     per_doc = seen.groupBy("doc").agg(F.collect_list("vals").alias("seen"))
     sent = _sorted_runs(texts.join(per_doc, "doc"), splitters)
-    far = sent.where("grp is not null").groupBy("grp").applyInArrow(_merge, _ANSWER)
-    near = sent.where("grp is null").select("doc", "row", "first", "last")
-    answers = settle(far.union(near), "repeats")
+    answers = sent.groupBy("grp").applyInArrow(_merge, _ANSWER)
     ranges = answers.groupBy("doc").agg(F.collect_list(F.struct("row", "first", "last")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
