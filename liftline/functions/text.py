@@ -37,7 +37,12 @@ def number_text(value: Column) -> Column:
     raw = value.cast("string")
     size = F.abs(value)
     exponent = F.lower(F.regexp_replace(raw, r"\.0E", "E"))
-    plain = F.regexp_replace(raw.try_cast("decimal(38,14)").cast("string"), r"\.?0+\z", "")
+    # Large numbers have few places behind the point and small ones none before it, so
+    # either type holds all 17 digits of a double.
+    places = F.when(size < 1, raw.try_cast("decimal(38,30)").cast("string")).otherwise(
+        raw.try_cast("decimal(38,14)").cast("string")
+    )
+    plain = F.regexp_replace(places, r"\.?0+\z", "")
     return (
         F.when(value == 0, "0")
         .when(size >= 1e21, F.regexp_replace(exponent, "e", "e+"))

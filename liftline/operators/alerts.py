@@ -58,7 +58,7 @@ def new_alerts(candidates: DataFrame, sent: DataFrame, refresh_pct: float = 10.0
         sent.groupBy(*ALERT_KEY)
         .agg(F.max_by("chance_pct", F.struct("generated_at", "run_id")).alias("sent_pct"))
     )
-    joined = skew_safe_join(candidates, last_sent, ALERT_KEY, ["run_id"])
+    joined = skew_safe_join(candidates, last_sent, ALERT_KEY)
     open_ = joined.where(
         F.col("sent_pct").isNull() | (F.col("chance_pct") >= F.col("sent_pct") + refresh_pct)
     )

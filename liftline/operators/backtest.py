@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftline.operators.flights import DISTANCE_THRESHOLDS
-from liftline.operators.keyed import skew_safe_join, top_k_per_key
+from liftline.operators.keyed import top_k_per_key
 
 # Squared errors are summed in whole millionths of a squared percent, so that the
-# sum does not depend on the order of rows.
+# sum does not depend on the order of rows. Decimals, as a long would be full after some
+# hundred million rows.
 _SCALE = 1_000_000
 
 
+def _whole(value: Column) -> Column:
+    return F.floor(value * _SCALE).cast("decimal(28,0)")
+
+
 def judged(predictions: DataFrame, best: DataFrame) -> DataFrame:
     """One row per prediction and threshold: chance in percent and what was flown.
 
@@ -20,10 +25,9 @@ def judged(predictions: DataFrame, best: DataFrame) -> DataFrame:
     as not reached. Missing chances are left out.
     """
     actual = best.withColumnRenamed("valid_date", "forecast_date")
-    joined = skew_safe_join(
-        predictions.select("run_id", "site_id", "forecast_date", "p100", "p200", "p300"),
-        actual, ["site_id", "forecast_date"], ["run_id"],
-    )
+    # One prediction per site and date, so no key can be hot.
+    chances = predictions.select("site_id", "forecast_date", "p100", "p200", "p300")
+    joined = chances.join(actual, ["site_id", "forecast_date"], "left")
     rows = F.array(
         *[
             F.struct(
@@ -47,7 +51,7 @@ def backtest_report(rows: DataFrame, alarm_pct: float = 50.0) -> DataFrame:
         F.count_if(said & ~reached).alias("fp"),
         F.count_if(~said & reached).alias("fn"),
         F.count_if(~said & ~reached).alias("tn"),
-        F.sum(F.floor(error * _SCALE)).alias("_error"),
+        F.sum(_whole(error)).alias("_error"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return counted.withColumns(
@@ -68,7 +72,7 @@ def calibration(rows: DataFrame) -> DataFrame:
     counted = rows.groupBy("threshold_km", bin_.alias("bin")).agg(
         F.count("*").alias("n_examples"),
         F.count_if(F.col("reached")).alias("n_reached"),
-        F.sum(F.floor(F.col("chance_pct") * _SCALE)).alias("_chance"),
+        F.sum(_whole(F.col("chance_pct"))).alias("_chance"),
     )
     return counted.withColumns(
         {

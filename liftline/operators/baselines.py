@@ -137,7 +137,9 @@ def feature_scales(days: DataFrame) -> DataFrame:
     sums = []
     for name in FEATURES:
         cents = F.round(F.col(name) * 100).cast("bigint")
-        sums += [F.sum(cents).alias(f"s_{name}"), F.sum(cents * cents).alias(f"q_{name}")]
+        # Squares do not fit a long once there are tens of millions of days.
+        exact = cents.cast("decimal(19,0)")
+        sums += [F.sum(exact).alias(f"s_{name}"), F.sum((exact * exact).cast("decimal(28,0)")).alias(f"q_{name}")]
     total = days.agg(F.count("*").alias("n"), *sums)
     n = F.col("n").cast("double")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftline import fixed_values as fixed
-from liftline.operators.keyed import with_first_position
+from liftline.operators.keyed import skew_safe_join, with_first_position
 
 _SITE = ["id", "slug", "name", "latitude", "longitude"]
 
@@ -28,8 +28,10 @@ def bounding_box(sites: DataFrame) -> DataFrame:
 
 def duplicate_rows(catalog: DataFrame) -> DataFrame:
     """Rows that repeat the id or slug of an earlier ``pos``; the id rule comes first."""
+    # Both minima come from the catalog itself; each is joined once.
+    first_slug = catalog.groupBy("slug").agg(F.min("pos").alias("_first_slug"))
     marked = with_first_position(catalog, ["id"], "pos", "_first_id")
-    marked = with_first_position(marked, ["slug"], "pos", "_first_slug")
+    marked = skew_safe_join(marked, first_slug, ["slug"])
     message = F.when(
         F.col("pos") > F.col("_first_id"), F.format_string(fixed.DUPLICATE_ID_MESSAGE, F.col("id").cast("string"))
     ).when(F.col("pos") > F.col("_first_slug"), F.format_string(fixed.DUPLICATE_SLUG_MESSAGE, F.col("slug")))

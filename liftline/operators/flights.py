@@ -30,10 +30,15 @@ def distance_band(distance: Column) -> Column:
     return band.otherwise("below 100")
 
 
+def _blank_or(rule: Column, field: str) -> Column:
+    return X.is_blank(F.col(field)) | F.coalesce(rule, F.lit(False))
+
+
 def ingest_flights(raw: DataFrame) -> DataFrame:
     """Raw text columns of :data:`schemas.FLIGHT_RECORD` to typed ``record`` and ``issues``.
 
-    A text that does not parse becomes null in ``record`` and an issue in ``issues``;
+    A text that does not parse becomes null in ``record`` and an issue in ``issues``; a
+    blank optional field is null without an issue, and landing points keep their bounds.
     use :func:`liftline.operators.rules.split_by_issues` for good rows and quarantine.
     """
     typed = {}
@@ -56,6 +61,10 @@ def ingest_flights(raw: DataFrame) -> DataFrame:
         unless(is_number(r["start_latitude"], -90, 90), "start_latitude", fixed.WRONG_NUMBER),
         unless(is_number(r["start_longitude"], -180, 180), "start_longitude", fixed.WRONG_NUMBER),
         unless(is_number(r["distance_km"], 0), "distance_km", fixed.WRONG_NUMBER),
+        unless(_blank_or(is_number(r["duration_min"], 0), "duration_min"), "duration_min", fixed.WRONG_NUMBER),
+        unless(_blank_or(is_number(r["landing_latitude"], -90, 90), "landing_latitude"), "landing_latitude", fixed.WRONG_NUMBER),
+        unless(_blank_or(is_number(r["landing_longitude"], -180, 180), "landing_longitude"), "landing_longitude", fixed.WRONG_NUMBER),
+        unless(_blank_or(r["retrieved_at"].isNotNull(), "retrieved_at"), "retrieved_at", fixed.WRONG_INSTANT),
     )
     return parsed.select("record", issues.alias("issues"))
 
@@ -132,8 +141,10 @@ def assign_launches(flights: DataFrame, launches: DataFrame, aliases: DataFrame)
     lower case, launch_id. A flight outside all catchments stays, without launch.
     The range join is an equality join on grid cells with an exact distance test.
     """
-    named = flights.withColumn("alias", F.lower(X.trim_all(F.col("launch_area")))).join(
-        aliases.select("alias", F.col("launch_id").alias("alias_launch")), "alias", "left"
+    # A name of several launches means the one with the least id.
+    names = aliases.groupBy("alias").agg(F.min("launch_id").alias("alias_launch"))
+    named = skew_safe_join(
+        flights.withColumn("alias", F.lower(X.trim_all(F.col("launch_area")))), names, ["alias"]
     )
     placed = named.withColumns(
         {
@@ -141,8 +152,13 @@ def assign_launches(flights: DataFrame, launches: DataFrame, aliases: DataFrame)
             "cell_column": F.pmod(_cell(F.col("start_longitude")), F.lit(_CELLS_AROUND)),
         }
     )
+    # A written name decides by itself; only the other flights meet the grid.
+    written = F.col("alias_launch").isNotNull()
+    by_name = placed.where(written).select(
+        "flight_id", "alias_launch", F.lit(None).cast("struct<_km:double,launch_id:bigint>").alias("near")
+    )
     pairs = skew_safe_join(
-        placed, _launch_cells(launches), ["cell_row", "cell_column"], ["flight_id"]
+        placed.where(~written), _launch_cells(launches), ["cell_row", "cell_column"]
     )
     distance = haversine_km(
         F.col("start_latitude"), F.col("start_longitude"), F.col("_lat"), F.col("_lon")
@@ -151,7 +167,8 @@ def assign_launches(flights: DataFrame, launches: DataFrame, aliases: DataFrame)
     near = pairs.withColumn("_km", F.round(distance, 6)).withColumn(
         "_near", F.when(F.col("_km") <= F.col("radius_km"), F.struct("_km", "launch_id"))
     )
-    nearest = near.groupBy("flight_id", "alias_launch").agg(F.min("_near").alias("near"))
+    by_place = near.groupBy("flight_id", "alias_launch").agg(F.min("_near").alias("near"))
+    nearest = by_name.unionByName(by_place)
     method = (
         F.when(F.col("alias_launch").isNotNull(), "name")
         .when(F.col("near").isNotNull(), "radius")

@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most this many keys are split; any other key has under 1 / 4096 of all rows.
-HOT_KEYS = 4096
-# A key is split into pieces of about this many rows; a smaller key is left whole.
-PIECE_ROWS = 200_000
-MOST_PIECES = 4096
-
 
 def latest_per_key(rows: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
     """Last row per key.
@@ -32,54 +26,19 @@ def top_k_per_key(
     return ranked.where(F.col(rank) <= k)
 
 
-def hot_keys(rows: DataFrame, keys: list[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """The biggest keys of more than one piece, never more than ``HOT_KEYS``, with ``_pieces``.
-
-    Counting is pre-aggregated in the input tasks and reads the key columns only.
-    """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > piece_rows)
-    biggest = counts.orderBy(F.col("_n").desc(), *keys).limit(HOT_KEYS)
-    pieces = F.least(F.ceil(F.col("_n") / piece_rows), F.lit(MOST_PIECES)).cast("int")
-    return biggest.select(*keys, pieces.alias("_pieces"))
-
-
-def skew_safe_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    spread: list[str],
-    how: str = "left",
-    piece_rows: int = PIECE_ROWS,
-    count_from: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join in which hot keys of ``facts`` are split into pieces by their size.
+def skew_safe_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join of ``facts`` in which a key may hold any share of the rows.
 
-    The salt is a hash of the ``spread`` columns, which tell the rows of one key
-    apart: a task that is run again gives the same salt. Only lookup rows of hot
-    keys are repeated. Rows with a null key match nothing and are spread too.
-    ``count_from`` gives rows with the same keys that are cheaper to count than
-    ``facts``; it decides only which keys are split, never the result.
+    A small lookup is broadcast after Spark's own size check. Otherwise both sides are
+    shuffled once, and adaptive execution splits the partition of a hot key, or of null
+    keys, by the sizes the shuffle has measured: as many pieces as it takes, each with a
+    copy of the lookup rows. :func:`liftline.session.configure` keeps that on even where
+    it costs another shuffle. Only rows of ``facts`` are split, so ``how`` must not ask
+    for unmatched lookup rows.
     """
-    if how not in ("left", "inner"):
-        raise ValueError(f"Only left and inner joins can be salted, not {how}.")
-    # At most HOT_KEYS rows whatever the size of the data.
-    hot = F.broadcast(hot_keys(facts if count_from is None else count_from, keys, piece_rows))
-    null_key = F.lit(False)
-    for key in keys:
-        null_key = null_key | F.col(key).isNull()
-    row_hash = F.xxhash64(*spread)
-    salt = (
-        F.when(null_key, F.pmod(row_hash, F.lit(MOST_PIECES)))
-        .when(F.col("_pieces").isNotNull(), F.pmod(row_hash, F.col("_pieces")))
-        .otherwise(0)
-        .cast("int")
-    )
-    salted_facts = facts.join(hot, keys, "left").withColumn("_salt", salt).drop("_pieces")
-    every_salt = F.sequence(F.lit(0), F.coalesce(F.col("_pieces") - 1, F.lit(0)))
-    salted_lookup = (
-        lookup.join(hot, keys, "left").withColumn("_salt", F.explode(every_salt)).drop("_pieces")
-    )
-    return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"The rows of facts cannot be split in a {how} join.")
+    return facts.join(lookup, keys, how)
 
 
 def with_first_position(rows: DataFrame, keys: list[str], position: str, name: str) -> DataFrame:
@@ -89,7 +48,7 @@ def with_first_position(rows: DataFrame, keys: list[str], position: str, name: s
     has to hold all rows of a key.
     """
     first = rows.groupBy(*keys).agg(F.min(position).alias(name))
-    return skew_safe_join(rows, first, keys, [position])
+    return skew_safe_join(rows, first, keys)
 
 
 def with_previous_row(

@@ -27,9 +27,9 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def point_lookup(lookups: DataFrame, predictions: DataFrame, spread: list[str]) -> DataFrame:
+def point_lookup(lookups: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predictions at exactly (site_id, forecast_date) of each lookup row."""
-    return skew_safe_join(lookups, predictions, PREDICTION_KEY, spread, how="inner")
+    return skew_safe_join(lookups, predictions, PREDICTION_KEY, "inner")
 
 
 def read_site_lists(requests: DataFrame, predictions: DataFrame, request_id: str) -> DataFrame:
@@ -41,10 +41,10 @@ def read_site_lists(requests: DataFrame, predictions: DataFrame, request_id: str
     items = requests.select(
         request_id, "forecast_date", F.posexplode("site_ids").alias("pos", "site_id")
     )
-    return point_lookup(items, predictions, [request_id, "pos"])
+    return point_lookup(items, predictions)
 
 
-def read_date_ranges(ranges: DataFrame, predictions: DataFrame, spread: list[str]) -> DataFrame:
+def read_date_ranges(ranges: DataFrame, predictions: DataFrame) -> DataFrame:
     """One site and an inclusive range ``from_date`` .. ``through_date`` per row.
 
     The range becomes its days, so the read is an equality join on site and date
@@ -54,7 +54,7 @@ def read_date_ranges(ranges: DataFrame, predictions: DataFrame, spread: list[str
         F.col("from_date") <= F.col("through_date"), F.sequence("from_date", "through_date")
     )
     slots = ranges.withColumn("forecast_date", F.explode(days))
-    return point_lookup(slots, predictions, [*spread, "forecast_date"])
+    return point_lookup(slots, predictions)
 
 
 def strip_slots(requests: DataFrame, today: str = "today") -> DataFrame:

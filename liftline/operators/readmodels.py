@@ -151,6 +151,22 @@ def unknown_requests(resolved: DataFrame) -> DataFrame:
     )
 
 
+def with_predictions(wanted: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Resolved sites with the columns of a summary and ``has_prediction``."""
+    slots = wanted.select("request_id", "pos", "site_id", "slug", "forecast_date")
+    return _with_presence(
+        skew_safe_join(slots, _marked(predictions, _SUMMARY_COLUMNS), PREDICTION_KEY)
+    )
+
+
+def missing_sites(requests: DataFrame, sites: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The missing summaries of :func:`batched_summaries` alone; no outputs are built."""
+    joined = with_predictions(resolve_sites(requests, sites).where("unknown_slugs = 0"), predictions)
+    return joined.where("NOT has_prediction").select(
+        "request_id", "pos", "site_id", "slug", "forecast_date", missing_summary().alias("summary")
+    )
+
+
 def batched_summaries(requests: DataFrame, sites: DataFrame, predictions: DataFrame) -> DataFrame:
     """Requested sites by one date: exactly one ``summary`` per requested site.
 
@@ -159,15 +175,10 @@ def batched_summaries(requests: DataFrame, sites: DataFrame, predictions: DataFr
     :func:`unknown_requests`.
     """
     wanted = resolve_sites(requests, sites).where("unknown_slugs = 0")
-    joined = _with_presence(
-        skew_safe_join(
-            wanted.select("request_id", "pos", "site_id", "slug", "forecast_date"),
-            _marked(predictions, _SUMMARY_COLUMNS),
-            PREDICTION_KEY,
-            ["request_id"],
-            count_from=_request_items(requests, sites),
-        )
-    )
+    return summaries_of(with_predictions(wanted, predictions))
+
+
+def summaries_of(joined: DataFrame) -> DataFrame:
     summary = F.when(F.col("has_prediction"), available_summary()).otherwise(missing_summary())
     return joined.select(
         "request_id", "pos", "site_id", "slug", "forecast_date", summary.alias("summary")
@@ -183,7 +194,6 @@ def day_preview(requests: DataFrame, sites: DataFrame, predictions: DataFrame) -
             slots,
             _marked(predictions, ["data_status", "confidence", "p100"]),
             PREDICTION_KEY,
-            ["request_id", "pos"],
         )
     )
     return joined.select(
@@ -205,7 +215,6 @@ def detailed_lookup(requests: DataFrame, sites: DataFrame, predictions: DataFram
             resolved,
             _marked(predictions, [*_SUMMARY_COLUMNS, "inputs", "top_drivers"]),
             PREDICTION_KEY,
-            ["request_id"],
         )
     )
     outcome = (

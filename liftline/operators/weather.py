@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from liftline import fixed_values as fixed
 from liftline import schemas
+from liftline.functions.issues import is_number
 from liftline.operators.keyed import latest_per_key, skew_safe_join
 
 
 def parse_soundings(raw: DataFrame, text: str = "raw_sounding_data") -> DataFrame:
     """Level lines (pressure, height, temp, dew point, direction, speed) to ``levels``.
 
-    ``quality_flag`` is ok, partial (some lines could not be read) or empty. The
+    ``quality_flag`` is ok, partial (some lines could not be read, or hold a number that
+    is not finite) or empty. The
     levels are read once, in a column of their own.
     """
     names = schemas.SOUNDING_LEVEL.names
@@ -22,7 +24,7 @@ def parse_soundings(raw: DataFrame, text: str = "raw_sounding_data") -> DataFram
         values = [F.get(tokens, F.lit(i)).try_cast("double") for i in range(len(names))]
         complete = F.size(tokens) == len(names)
         for value in values:
-            complete = complete & value.isNotNull()
+            complete = complete & is_number(value)
         return F.when(complete, F.struct(*[v.alias(n) for v, n in zip(values, names)]))
 
     def tokens_of(line: Column) -> Column:
@@ -112,7 +114,7 @@ def weather_known_then(
 def flights_with_weather(flights: DataFrame, known: DataFrame) -> DataFrame:
     """Left join: a flight without weather stays."""
     renamed = known.withColumnRenamed("valid_date", "flight_date")
-    return skew_safe_join(flights, renamed, ["site_id", "flight_date"], ["flight_id"])
+    return skew_safe_join(flights, renamed, ["site_id", "flight_date"])
 
 
 def cloudbase_m(temp: Column, dew_point: Column, elevation: Column) -> Column:

@@ -12,7 +12,6 @@ from liftline.operators import weather as weather_ops
 from liftline.plans import views as V
 from liftline.plans.oracle_views import SOFIA, day, integer_text, iso, with_views
 from liftline.plans.registry import query
-from liftline.session import cut_lineage
 from liftline.sources import zones
 from liftline.sources.tables import conform
 
@@ -33,13 +32,13 @@ def _raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         "launch_area": F.concat(F.lit("area "), (pilot % 15).cast("string")),
         "start_latitude": F.when(kind == 3, "95.0").otherwise(F.concat((pilot % 4 + 41).cast("string"), F.lit(".5"))),
         "start_longitude": F.concat((pilot % 6 + 22).cast("string"), F.lit(".25")),
-        "landing_latitude": F.lit(None).cast("string"),
-        "landing_longitude": F.lit(None).cast("string"),
+        "landing_latitude": F.when(kind == 5, "north").when(kind == 6, "44.5"),
+        "landing_longitude": F.when(kind == 6, "181"),
         "distance_km": F.when(kind == 4, "far").otherwise(F.concat((key % 400).cast("string"), F.lit(".5"))),
-        "duration_min": (key % 600).cast("string"),
+        "duration_min": F.when(kind == 7, "1 h").when(kind != 8, (key % 600).cast("string")),
         "track_url": F.lit(None).cast("string"),
         "quality_note": F.lit("as flown"),
-        "retrieved_at": F.lit("2024-03-01 00:00:00"),
+        "retrieved_at": F.when(kind == 9, "yesterday").otherwise("2024-03-01 00:00:00"),
     }
     return V.table(spark, sf_dir, "orders").select(*[c.alias(n) for n, c in text.items()])
 
@@ -48,8 +47,9 @@ def _raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     "b01_flight_records",
     f"""SELECT id AS flight_id, CASE WHEN kind <> 1 THEN {day("DATE '2024-01-01' + CAST((id - 1) % 30 AS INT)")} END AS flight_date,
   'pilot-' || o_custkey AS pilot, CASE WHEN kind <> 4 THEN (id - 1) % 400 + 0.5::DOUBLE END AS distance_km,
-  (id - 1) % 600 AS duration_min, CASE kind WHEN 1 THEN 'flight_date' WHEN 2 THEN 'source_url'
-    WHEN 3 THEN 'start_latitude' WHEN 4 THEN 'distance_km' END AS issue_path,
+  CASE WHEN kind NOT IN (7, 8) THEN (id - 1) % 600 END AS duration_min, CASE kind WHEN 1 THEN 'flight_date' WHEN 2 THEN 'source_url'
+    WHEN 3 THEN 'start_latitude' WHEN 4 THEN 'distance_km' WHEN 5 THEN 'landing_latitude' WHEN 6 THEN 'landing_longitude'
+    WHEN 7 THEN 'duration_min' WHEN 9 THEN 'retrieved_at' END AS issue_path,
   CASE WHEN kind = 4 THEN NULL WHEN (id - 1) % 400 >= 300 THEN '300+' WHEN (id - 1) % 400 >= 200 THEN '200+'
     WHEN (id - 1) % 400 >= 100 THEN '100+' ELSE 'below 100' END AS distance_band
 FROM (SELECT o_orderkey + 1 AS id, o_orderkey % 13 AS kind, o_custkey FROM orders) t""",
@@ -226,6 +226,8 @@ def _sounding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
         if i == 2:
             values[5] = F.when(kind != 2, values[5].cast("string"))
+        if i == 3:
+            values[3] = F.when(kind == 4, "NaN").when(kind == 5, "Infinity").otherwise(values[3].cast("string"))
         return F.concat_ws(" ", *[v.cast("string") for v in values])
 
     text = F.when(kind == 3, " ").otherwise(F.concat_ws("\n", *[line(i) for i in (3, 0, 1, 2)]))
@@ -233,14 +235,14 @@ def _sounding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The levels that can be read, with their place among them.
-_LEVELS_SQL = """SELECT sounding_id, CASE WHEN kind = 3 THEN 'empty' WHEN kind IN (1, 2) THEN 'partial' ELSE 'ok' END AS quality_flag,
+_LEVELS_SQL = """SELECT sounding_id, CASE WHEN kind = 3 THEN 'empty' WHEN kind IN (1, 2, 4, 5) THEN 'partial' ELSE 'ok' END AS quality_flag,
   row_number() OVER (PARTITION BY sounding_id ORDER BY place) - 1 AS pos, CAST(1000 - 100 * i AS DOUBLE) AS pressure_hpa,
   CAST(100 + 900 * i + sounding_id % 50 AS DOUBLE) AS height_m, CAST(20 - 6 * i + sounding_id % 7 AS DOUBLE) AS temp_c,
   CAST(20 - 6 * i + sounding_id % 7 - sounding_id % 9 AS DOUBLE) AS dew_point_c,
   CAST((sounding_id * 7 + 10 * i) % 360 AS DOUBLE) AS wind_direction_deg, CAST(5 + i + sounding_id % 4 AS DOUBLE) AS wind_speed_mps
 FROM (SELECT o_orderkey AS sounding_id, o_orderkey % 11 AS kind FROM orders) o
 CROSS JOIN (VALUES (0, 3), (1, 0), (2, 1), (3, 2)) AS l(place, i)
-WHERE kind <> 3 AND NOT (kind = 1 AND i = 1) AND NOT (kind = 2 AND i = 2)"""
+WHERE kind <> 3 AND NOT (kind = 1 AND i = 1) AND NOT (kind = 2 AND i = 2) AND NOT (kind IN (4, 5) AND i = 3)"""
 
 
 @query(
@@ -343,24 +345,41 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known_weather(spark, sf_dir, 0).select("site_id", "valid_date", "temp_c", "dew_point_c", "cape_j_per_kg")
 
 
+# Counted on the days before, used from this day on: no day is scored with its own outcome.
+SCORED_FROM = "2024-01-21"
+
+_SCORED = {
+    "known": _known_sql(0),
+    "best": _BEST_SQL,
+    "bucketed": _BUCKETED_SQL,
+    "scored": f"""SELECT b.*, h.n, (n100 + 1) / (n + 2) * 100 AS p100, (n200 + 1) / (n + 2) * 100 AS p200, (n300 + 1) / (n + 2) * 100 AS p300
+  FROM bucketed b LEFT JOIN (SELECT cape_bucket, spread_bucket, count(*) AS n, count(*) FILTER (WHERE best_km >= 100) AS n100,
+    count(*) FILTER (WHERE best_km >= 200) AS n200, count(*) FILTER (WHERE best_km >= 300) AS n300
+    FROM bucketed WHERE valid_date < DATE '{SCORED_FROM}' GROUP BY cape_bucket, spread_bucket) h
+  ON h.cape_bucket = b.cape_bucket AND h.spread_bucket = b.spread_bucket WHERE b.valid_date >= DATE '{SCORED_FROM}'""",
+}
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days, split = _days(spark, sf_dir), F.lit(SCORED_FROM).cast("date")
+    best = baselines.best_distances(V.flights(spark, sf_dir))
+    history = days.where(F.col("valid_date") < split)
+    probabilities = baselines.bucket_probabilities(baselines.label_days(history, best))
+    return baselines.score_days(days.where(F.col("valid_date") >= split), probabilities)
+
+
 @query(
     "b11_xc_probability",
     with_views(
         ("flights_x", "weather_x"),
         f"""SELECT site_id, {day('valid_date')} AS valid_date, cape_bucket, spread_bucket, n AS n_examples,
-  (n100 + 1) / (n + 2) * 100 AS p100, (n200 + 1) / (n + 2) * 100 AS p200, (n300 + 1) / (n + 2) * 100 AS p300,
-  CASE WHEN n < 30 THEN 'low' WHEN n < 200 THEN 'medium' ELSE 'high' END AS confidence_level
-FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE best_km >= 100) OVER w AS n100,
-  count(*) FILTER (WHERE best_km >= 200) OVER w AS n200, count(*) FILTER (WHERE best_km >= 300) OVER w AS n300
-  FROM bucketed WINDOW w AS (PARTITION BY cape_bucket, spread_bucket)) t""",
-        known=_known_sql(0), best=_BEST_SQL, bucketed=_BUCKETED_SQL,
+  p100, p200, p300, CASE WHEN n < 30 THEN 'low' WHEN n < 200 THEN 'medium' WHEN n IS NOT NULL THEN 'high' END AS confidence_level
+FROM scored""",
+        **_SCORED,
     ),
 )
 def xc_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _days(spark, sf_dir)
-    best = baselines.best_distances(V.flights(spark, sf_dir))
-    probabilities = baselines.bucket_probabilities(baselines.label_days(days, best))
-    return baselines.score_days(days, probabilities).select(
+    return _scored(spark, sf_dir).select(
         "site_id", "valid_date", "cape_bucket", "spread_bucket", "n_examples", "p100", "p200", "p300", "confidence_level"
     )
 
@@ -448,10 +467,7 @@ WHERE u.valid_date >= DATE '2024-01-21' AND h.valid_date < DATE '2024-01-21' AND
     ),
 )
 def similar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Scales, history and upcoming days all read the reduced days: one scan of the runs.
-    features = cut_lineage(
-        _days(spark, sf_dir).withColumn("spread_c", F.col("temp_c") - F.col("dew_point_c"))
-    )
+    features = _days(spark, sf_dir).withColumn("spread_c", F.col("temp_c") - F.col("dew_point_c"))
     labelled = baselines.label_days(features, baselines.best_distances(V.flights(spark, sf_dir)))
     split = F.lit("2024-01-21").cast("date")
     history = labelled.where((F.col("valid_date") < split) & (F.col("best_km") >= 200))
@@ -492,6 +508,29 @@ def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.backtest_report(_judged(spark, sf_dir))
 
 
+@query(
+    "b15_baseline_backtest",
+    with_views(
+        ("flights_x", "weather_x"),
+        """SELECT threshold_km, n_examples, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall, CAST(e AS DOUBLE) / n_examples / 1e10::DOUBLE AS brier FROM (
+SELECT threshold_km, count(*) AS n_examples, count(*) FILTER (WHERE chance >= 50 AND reached) AS tp,
+  count(*) FILTER (WHERE chance >= 50 AND NOT reached) AS fp, count(*) FILTER (WHERE chance < 50 AND reached) AS fn,
+  count(*) FILTER (WHERE chance < 50 AND NOT reached) AS tn,
+  CAST(sum(CAST(floor(pow(chance - CASE WHEN reached THEN 100 ELSE 0 END, 2) * 1000000) AS BIGINT)) AS BIGINT) AS e
+FROM tried GROUP BY threshold_km) t""",
+        **_SCORED,
+        tried="""SELECT t.km AS threshold_km, CASE t.km WHEN 100 THEN p100 WHEN 200 THEN p200 ELSE p300 END AS chance,
+  coalesce(best_km >= t.km, false) AS reached FROM scored CROSS JOIN (VALUES (100), (200), (300)) AS t(km) WHERE p100 IS NOT NULL""",
+    ),
+)
+def baseline_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline of B11, counted on earlier days, judged on the days it was given for."""
+    scored = _scored(spark, sf_dir).withColumnRenamed("valid_date", "forecast_date")
+    best = baselines.best_distances(V.flights(spark, sf_dir))
+    return backtest.backtest_report(backtest.judged(scored, best))
+
+
 @query(
     "b15_calibration",
     with_views(

@@ -267,7 +267,10 @@ FROM sums WHERE run_id IS NULL""",
     ),
 )
 def missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries(spark, sf_dir).where("summary.availability = 'missing'").select(
+    missing = readmodels.missing_sites(
+        checked_requests(spark, sf_dir), V.sites(spark, sf_dir), V.predictions(spark, sf_dir)
+    )
+    return missing.select(
         "request_id", "summary.availability", F.col("summary.siteId").alias("site_id"),
         F.col("summary.siteSlug").alias("slug"), F.col("summary.forecastDate").alias("forecast_date"),
         F.col("summary.missingReason").alias("missing_reason"),
@@ -456,7 +459,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = V.requests(spark, sf_dir).select(
         "request_id", (F.col("user_id") + 1).alias("site_id"), F.col("request_date").alias("forecast_date")
     )
-    found = lookups.point_lookup(asked, V.predictions(spark, sf_dir), ["request_id"])
+    found = lookups.point_lookup(asked, V.predictions(spark, sf_dir))
     return found.select("request_id", "site_id", "forecast_date", "run_id", "p100")
 
 
@@ -495,7 +498,7 @@ def date_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         shift_days(F.col("request_date"), -2).alias("from_date"),
         shift_days(F.col("request_date"), F.col("k") % 4).alias("through_date"),
     )
-    found = lookups.read_date_ranges(asked, V.predictions(spark, sf_dir), ["request_id"])
+    found = lookups.read_date_ranges(asked, V.predictions(spark, sf_dir))
     return found.select("request_id", "site_id", "forecast_date", "p100")
 
 
@@ -608,10 +611,9 @@ LEFT JOIN sums s ON s.request_id = c.request_id AND s.slug = c.slug""",
 def three_state_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards: the requested sites and the comparison sites, which a response may leave out."""
     site_rows = V.sites(spark, sf_dir)
-    response = summaries(spark, sf_dir)
-    answered = readmodels.resolve_sites(checked_requests(spark, sf_dir), site_rows).where(
-        "unknown_slugs = 0 AND slug_pos = 0"
-    )
+    resolved = readmodels.resolve_sites(checked_requests(spark, sf_dir), site_rows).where("unknown_slugs = 0")
+    response = readmodels.summaries_of(readmodels.with_predictions(resolved, V.predictions(spark, sf_dir)))
+    answered = resolved.where("slug_pos = 0").select("request_id", "slugs")
     cards = answered.withColumn("others", catalog_ops.comparison_slugs(site_rows)).select(
         "request_id", F.explode(F.array_union("slugs", "others")).alias("slug")
     )

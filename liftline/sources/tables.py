@@ -31,12 +31,12 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """One directory per forecast date; a date that is written again is replaced.
 
-    Rows are first brought together by date and site hash, so a date becomes a few
-    files of even size and not one file per task.
+    Rows are first brought together by date; adaptive execution splits a large date by
+    its size, so a date becomes as many files as it needs and not one per task.
     """
     rows = conform(predictions, schemas.PREDICTION)
     (
-        rows.repartition("forecast_date", F.pmod(F.xxhash64("site_id"), F.lit(16)))
+        rows.hint("rebalance", "forecast_date")
         .sortWithinPartitions("forecast_date", "site_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -48,11 +48,11 @@ def write_raw(rows: DataFrame, root: str, table: str, batch: str) -> None:
 
 
 def write_zone(rows: DataFrame, root: str, zone: str, table: str, partitions: list[str]) -> None:
-    """Replaces only the partitions that ``rows`` carries."""
+    """Replaces only the partitions that ``rows`` carries; large ones are split by size."""
     if zone == "raw":
         raise ValueError("Raw input is immutable; use write_raw.")
     (
-        rows.repartition(*partitions, F.pmod(F.xxhash64(*_spread(rows, partitions)), F.lit(16)))
+        rows.hint("rebalance", *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
@@ -60,10 +60,5 @@ def write_zone(rows: DataFrame, root: str, zone: str, table: str, partitions: li
     )
 
 
-def _spread(rows: DataFrame, partitions: list[str]) -> list[str]:
-    """Columns that tell the rows of one partition apart, so none is written by one task."""
-    return [name for name in rows.columns if name not in partitions]
-
-
 def read_zone(spark: SparkSession, root: str, zone: str, table: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(zone_path(root, zone, table))

@@ -1,6 +1,7 @@
 """Golden values of dates, labels and numbers."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,11 @@ def test_clamp_keeps_missing_missing(spark):
 
 def test_year_changes_are_real_dates(spark):
     assert one(spark, C.parse_date(F.lit("2026-12-31"))) == dt.date(2026, 12, 31)
+
+
+def test_number_text_keeps_all_digits(spark):
+    values = [1.2345678901234567e-4, 3.3333333333333337e-6, 1e-6, 9.999999999999999e-4, 12345678.125, 1e20, 1.5e-3]
+    want = [format(Decimal(repr(v)).normalize(), "f") for v in values]
+    assert want[0] == "0.00012345678901234567" and want[2] == "0.000001"
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in rows.select(X.number_text(F.col("x"))).collect()] == want

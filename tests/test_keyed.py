@@ -2,13 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from liftline.operators.keyed import (
-    HOT_KEYS,
-    MOST_PIECES,
-    hot_keys,
     latest_per_key,
     skew_safe_join,
     top_k_per_key,
@@ -27,29 +25,6 @@ def facts(spark):
     return spark.createDataFrame(rows, "id long, key long")
 
 
-def test_salted_join_equals_plain_join(spark):
-    left = facts(spark)
-    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 40, 2)] + [(1, "hot")], "key long, text string")
-    for how in ("left", "inner"):
-        salted = skew_safe_join(left, right, ["key"], ["id"], how, piece_rows=100)
-        assert rows_of(salted.select("id", "key", "text")) == rows_of(
-            left.join(right, "key", how).select("id", "key", "text")
-        )
-
-
-def test_hot_key_is_spread_and_only_hot_lookup_rows_repeat(spark):
-    left = facts(spark)
-    assert [r["key"] for r in hot_keys(left.dropna(), ["key"], 500).collect()] == [1]
-    assert [r["_pieces"] for r in hot_keys(left.dropna(), ["key"], 500).collect()] == [2]
-
-
-def test_hot_list_is_bounded(spark):
-    many = spark.range(20_000).select((F.col("id") % 5000).alias("key"))
-    assert hot_keys(many, ["key"], 2).count() == HOT_KEYS
-    one = spark.range(20_000).select(F.lit(1).alias("key"))
-    assert hot_keys(one, ["key"], 2).first()["_pieces"] == MOST_PIECES
-
-
 def test_previous_row_equals_lag(spark):
     random.seed(3)
     rows = [(random.randrange(4), random.randrange(300), i, random.random()) for i in range(900)]
@@ -75,24 +50,41 @@ def test_latest_and_top_k(spark):
     assert sorted(r["id"] for r in tied.collect()) == [1, 2, 3]
 
 
-def test_rows_of_a_hot_key_reach_several_tasks(spark):
-    """A third of all rows has one key; no broadcast and no runtime re-planning helps."""
-    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    before = {k: spark.conf.get(k) for k in settings}
+@pytest.mark.parametrize("hot", ["key = 1", "key IS NULL"])
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
+def test_hot_key_is_split_by_its_size(spark, hot, how):
+    """Half of all rows have one key; the lookup side is not broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "20",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        right = spark.range(40).select(F.col("id").alias("key"), F.lit("v").alias("text"))
-        joined = skew_safe_join(facts(spark), right, ["key"], ["id"], piece_rows=100)
-        tasks = joined.where("key = 1").select(F.spark_partition_id().alias("p")).distinct().count()
-        assert tasks > 1
+        hot_value = "1" if "1" in hot else "cast(null as bigint)"
+        left = spark.range(0, 60_000, numPartitions=8).selectExpr(
+            "id", f"if(id % 2 = 0, {hot_value}, id % 400) as key", "repeat('x', 20) as more"
+        )
+        right = spark.range(200).selectExpr("id * 2 + 1 as key", "concat('v', id) as text")
+        joined = skew_safe_join(left, right, ["key"], how)
+        plain = left.join(right, "key", how)
+        assert joined.groupBy("key").count().orderBy("key").collect() == plain.groupBy("key").count().orderBy("key").collect()
+        if how == "left":
+            rows = joined.withColumn("task", F.spark_partition_id())
+            hot_key = 1 if "1" in hot else None
+            assert len({r["task"] for r in rows.collect() if r["key"] == hot_key}) > 1
+            assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_repeated_ids_do_not_change_the_result(spark):
-    """Rows that share the spread column stay together but are all kept."""
-    left = facts(spark).withColumn("id", F.lit(1))
-    right = spark.range(40).select(F.col("id").alias("key"), F.lit("v").alias("text"))
-    assert skew_safe_join(left, right, ["key"], ["id"], piece_rows=100).count() == left.count()
+def test_joins_that_cannot_be_split_are_refused(spark):
+    with pytest.raises(ValueError):
+        skew_safe_join(spark.range(2), spark.range(2), ["id"], "right")

@@ -199,3 +199,34 @@ def test_zones(spark, tmp_path):
     zones.write_zone(done.where("id = 4").withColumn("value", F.lit(8.0)), root, "processed", "flights", ["version", "d"])
     back = zones.read_zone(spark, root, "processed", "flights", done.schema)
     assert sorted((r["id"], r["value"], r["units"]) for r in back.collect()) == [(1, 5.0, "km"), (4, 8.0, "km")]
+
+
+def test_sums_beyond_a_long(spark):
+    """Three values that each just fit a long."""
+    total = spark.range(3).select(F.sum(backtest._whole(F.lit(9.0e12))).alias("t")).first()["t"]
+    assert total == 27 * 10**18
+    days = spark.range(4).selectExpr("cast(id % 2 as double) * 9e9 as cape_j_per_kg", "1.0D as temp_c", "0.0D as spread_c")
+    scales = baselines.feature_scales(days).first()
+    assert scales["scale_cape_j_per_kg"] == pytest.approx(4.5e9) and scales["scale_temp_c"] == 0
+
+
+def test_name_of_two_launches_is_the_least(spark):
+    flown = spark.createDataFrame([(1, "Sopot", 43.0, 23.0)], "flight_id long, launch_area string, start_latitude double, start_longitude double")
+    launches = spark.createDataFrame([(8, 43.0, 23.0, 5.0)], "launch_id long, latitude double, longitude double, radius_km double")
+    names = spark.createDataFrame([("sopot", 5), ("sopot", 3)], "alias string, launch_id long")
+    assert [(r["launch_id"], r["method"]) for r in flights.assign_launches(flown, launches, names).collect()] == [(3, "name")]
+
+
+def test_unreadable_optional_fields_are_issues(spark):
+    names = schemas.FLIGHT_RECORD.names
+    good = {n: "1" for n in names} | {"flight_date": "2024-01-02", "retrieved_at": "2024-01-02 03:04:05"}
+    bad = [{"duration_min": "x"}, {"landing_latitude": "91"}, {"landing_longitude": "e"}, {"retrieved_at": "now-ish"}, {"duration_min": None}, {"duration_min": " "}]
+    rows = [tuple((good | b)[n] for n in names) for b in bad]
+    got = flights.ingest_flights(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))).collect()
+    assert [[i["path"] for i in r["issues"]] for r in got] == [[k] for b in bad[:4] for k in b] + [[], []]
+
+
+def test_levels_must_be_finite(spark):
+    text = "1000 100 20 10 180 5\n900 1000 NaN 5 180 6\n800 2000 9 Infinity 180 7"
+    got = weather.parse_soundings(spark.createDataFrame([(text,)], "raw_sounding_data string")).first()
+    assert got["quality_flag"] == "partial" and len(got["levels"]) == 1

@@ -95,7 +95,7 @@ def test_date_range_is_inclusive(spark, predictions):
     asked = spark.createDataFrame([(1, 3, "2026-07-16", "2026-07-18"), (2, 3, "2026-07-18", "2026-07-16")], "request_id long, site_id long, a string, b string").select(
         "request_id", "site_id", F.col("a").cast("date").alias("from_date"), F.col("b").cast("date").alias("through_date")
     )
-    rows = lookups.read_date_ranges(asked, predictions, ["request_id"]).orderBy("forecast_date").collect()
+    rows = lookups.read_date_ranges(asked, predictions).orderBy("forecast_date").collect()
     assert [(r["request_id"], r["p100"]) for r in rows] == [(1, 60), (1, 65), (1, 73)]
 
 
