@@ -81,19 +81,41 @@ def metric_valid(metric: Column, value_rule: Column, with_confidence: bool = Tru
     return F.coalesce(available, F.lit(False)) | F.coalesce(missing, F.lit(False))
 
 
-def _metric_issue(metric: Column, path: str, value_rule: Column, with_confidence: bool) -> Column:
-    """One issue per broken metric, at the field that breaks it."""
-    value_path, branch_path = join_path(path, "value"), F.lit(path)
-    is_available = is_word(metric["dataStatus"], fixed.AVAILABLE_STATUSES)
-    return (
-        F.when(metric_valid(metric, value_rule, with_confidence), F.lit(None).cast(ISSUES_TYPE))
-        .when(
-            ~is_available & ~F.coalesce(metric["dataStatus"] == fixed.MISSING, F.lit(False)),
-            issue(join_path(path, "dataStatus"), fixed.WRONG_WORD),
+def _metric_list(metrics: list[tuple[str, Column, Column]], with_confidence: bool) -> Column:
+    """One issue per broken metric of (path, metric, value rule), at the field that breaks it.
+
+    What the rules ask of a metric is computed once, into an array of small structs; one
+    expression then judges all of them. So the size of the plan and of the generated code
+    does not multiply by the branches of the rules.
+    """
+    facts = []
+    for path, metric, value_rule in metrics:
+        fields = {
+            "path": F.lit(path),
+            "status": metric["dataStatus"],
+            "empty": metric["value"].isNull(),
+            "fits": F.coalesce(value_rule, F.lit(False)),
+            "plain": metric["missingReason"].isNull(),
+            "told": ~X.is_blank(metric["missingReason"]),
+        }
+        if with_confidence:
+            fields["unsure"] = metric["confidence"].isNull()
+            fields["sure"] = F.coalesce(_confidence_rule(metric), F.lit(False))
+        facts.append(F.struct(*[c.alias(name) for name, c in fields.items()]))
+
+    def judged(m: Column) -> Column:
+        known, gone = is_word(m["status"], fixed.AVAILABLE_STATUSES), is_word(m["status"], [fixed.MISSING])
+        available, missing = known & m["fits"] & m["plain"], gone & m["empty"] & m["told"]
+        if with_confidence:
+            available, missing = available & m["sure"], missing & m["unsure"]
+        fault = (
+            F.when(~known & ~gone, F.struct(join_path(m["path"], "dataStatus").alias("path"), F.lit(fixed.WRONG_WORD).alias("message")))
+            .when(known & ~m["fits"], F.struct(join_path(m["path"], "value").alias("path"), F.lit(fixed.WRONG_NUMBER).alias("message")))
+            .otherwise(F.struct(m["path"].alias("path"), F.lit(fixed.WRONG_BRANCH).alias("message")))
         )
-        .when(is_available & ~value_rule, issue(value_path, fixed.WRONG_NUMBER))
-        .otherwise(issue(branch_path, fixed.WRONG_BRANCH))
-    )
+        return F.when(~(available | missing), fault)
+
+    return F.filter(F.transform(F.array(*facts), judged), lambda fault: fault.isNotNull())
 
 
 def output_value_rule(name: str, value: Column) -> Column:
@@ -122,24 +144,22 @@ def input_value_rule(name: str, value: Column) -> Column:
 
 
 def output_metric_issues(outputs: Column, path: str = "outputs") -> Column:
-    return issue_list(
-        *[
-            _metric_issue(
-                outputs[name], f"{path}.{name}", output_value_rule(name, outputs[name]["value"]), True
-            )
+    return _metric_list(
+        [
+            (f"{path}.{name}", outputs[name], output_value_rule(name, outputs[name]["value"]))
             for name, _label, _unit in fixed.OUTPUT_PANEL
-        ]
+        ],
+        True,
     )
 
 
 def input_metric_issues(inputs: Column, path: str = "forecastInputs") -> Column:
-    return issue_list(
-        *[
-            _metric_issue(
-                inputs[name], f"{path}.{name}", input_value_rule(name, inputs[name]["value"]), False
-            )
+    return _metric_list(
+        [
+            (f"{path}.{name}", inputs[name], input_value_rule(name, inputs[name]["value"]))
             for name, _label, _unit, _kind in fixed.INPUT_PANEL
-        ]
+        ],
+        False,
     )
 
 
@@ -152,26 +172,29 @@ def nesting_issues(outputs: Column, path: str = "outputs") -> Column:
             metric["dataStatus"] != fixed.MISSING
         )
 
-    ok100, ok200, ok300 = (
-        usable(metric, f"chance{km}KmPct") for metric, km in ((c100, 100), (c200, 200), (c300, 300))
-    )
-    return issue_list(
-        F.when(
-            ok100 & ok200 & (c100["value"] < c200["value"]),
-            issue(f"{path}.chance100KmPct.value", fixed.CHANCE_100_200_MESSAGE),
-        ),
-        F.when(
-            ok200 & ok300 & (c200["value"] < c300["value"]),
-            issue(f"{path}.chance200KmPct.value", fixed.CHANCE_200_300_MESSAGE),
-        ),
-        F.when(
-            (c200["dataStatus"] == fixed.MISSING)
-            & ok100
-            & ok300
-            & (c100["value"] < c300["value"]),
-            issue(f"{path}.chance100KmPct.value", fixed.CHANCE_100_300_MESSAGE),
-        ),
-    )
+    facts = {f"ok{km}": usable(m, f"chance{km}KmPct") for km, m in ((100, c100), (200, c200), (300, c300))}
+    facts |= {f"v{km}": m["value"] for km, m in ((100, c100), (200, c200), (300, c300))}
+    facts["gone200"] = c200["dataStatus"] == fixed.MISSING
+
+    def judged(m: Column) -> Column:
+        return issue_list(
+            F.when(
+                m["ok100"] & m["ok200"] & (m["v100"] < m["v200"]),
+                issue(f"{path}.chance100KmPct.value", fixed.CHANCE_100_200_MESSAGE),
+            ),
+            F.when(
+                m["ok200"] & m["ok300"] & (m["v200"] < m["v300"]),
+                issue(f"{path}.chance200KmPct.value", fixed.CHANCE_200_300_MESSAGE),
+            ),
+            F.when(
+                m["gone200"] & m["ok100"] & m["ok300"] & (m["v100"] < m["v300"]),
+                issue(f"{path}.chance100KmPct.value", fixed.CHANCE_100_300_MESSAGE),
+            ),
+        )
+
+    # In an array of one, so that each verdict is computed once.
+    once = F.array(F.struct(*[c.alias(name) for name, c in facts.items()]))
+    return F.flatten(F.transform(once, judged))
 
 
 # --- Documents -------------------------------------------------------------------
