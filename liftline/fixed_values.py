@@ -180,3 +180,4 @@ WRONG_BRANCH = "Expected the fields of one branch: available or missing."
 WRONG_ZONE = "Expected the time zone Europe/Sofia."
 REQUIRED = "Expected a single value."
 UNKNOWN_FIELD = "Unrecognized field: %s"
+WRONG_TYPE = "Expected another JSON type."

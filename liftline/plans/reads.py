@@ -87,15 +87,15 @@ def prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAYLOAD = T.StructType(
     [
-        T.StructField("k", T.LongType()),
-        T.StructField("tag", T.StructType([T.StructField("type", T.StringType())])),
+        T.StructField("k", T.LongType(), False),
+        T.StructField("tag", T.StructType([T.StructField("type", T.StringType(), False)]), False),
     ]
 )
 
 
 def _raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event payloads with a nested tag; some cut short, some with other keys or types."""
-    kind = F.col("event_id") % 8
+    kind = F.col("event_id") % 12
     tag = F.concat(F.lit('"tag": {"type": "'), F.col("event_type"), F.lit('"'))
     body = F.regexp_replace("props", r"\}\s*\z", "")
     raw = (
@@ -105,6 +105,10 @@ def _raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.concat(F.lit('{"k": "'), F.col("k").cast("string"), F.lit('", '), tag, F.lit("}}")))
         .when(kind == 4, F.col("props"))
         .when(kind == 5, F.lit("[1, 2]"))
+        .when(kind == 8, F.concat(body, F.lit(', "tag": {"type": 5}}')))
+        .when(kind == 9, F.concat(body, F.lit(', "tag": {"type": null}}')))
+        .when(kind == 10, F.concat(F.lit('{"k": null, '), tag, F.lit("}}")))
+        .when(kind == 11, F.concat(F.lit('{"k": 1.5, '), tag, F.lit("}}")))
         .otherwise(F.concat(body, F.lit(", "), tag, F.lit("}}")))
     )
     return V.event_rows(spark, sf_dir).select("event_id", raw.alias("raw"))
@@ -122,12 +126,14 @@ SELECT event_id, raw, CASE WHEN NOT json_valid(raw) THEN 'malformed-json'
     OR json_type(raw, '$.k') NOT IN ('UBIGINT', 'BIGINT') OR json_type(raw, '$.tag') <> 'OBJECT'
     OR json_keys(raw, '$.tag') <> ['type'] OR json_type(raw, '$.tag.type') <> 'VARCHAR'
   THEN 'schema-validation' END AS failure_reason FROM raws) t""",
-        raws="""SELECT event_id, CASE event_id % 8
+        raws="""SELECT event_id, CASE event_id % 12
   WHEN 0 THEN '{"k": ' || k || ', "tag": {"type": "' || event_type || '"}'
   WHEN 1 THEN '{"k": ' || k || ', "tag": {"type": "' || event_type || '"}, "x": 1}'
   WHEN 2 THEN '{"k": ' || k || ', "tag": {"type": "' || event_type || '", "y": null}}'
   WHEN 3 THEN '{"k": "' || k || '", "tag": {"type": "' || event_type || '"}}'
   WHEN 4 THEN props WHEN 5 THEN '[1, 2]'
+  WHEN 8 THEN '{"k": ' || k || ', "tag": {"type": 5}}' WHEN 9 THEN '{"k": ' || k || ', "tag": {"type": null}}'
+  WHEN 10 THEN '{"k": null, "tag": {"type": "' || event_type || '"}}' WHEN 11 THEN '{"k": 1.5, "tag": {"type": "' || event_type || '"}}'
   ELSE '{"k": ' || k || ', "tag": {"type": "' || event_type || '"}}' END AS raw FROM ev""",
     ),
 )

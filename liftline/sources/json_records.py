@@ -42,17 +42,51 @@ def _object_issues(json: Column, schema: T.StructType, path: str) -> list[Column
     return found
 
 
+def _kinds(field: T.StructField) -> list[str]:
+    """The JSON types, as a variant names them, that a field may have."""
+    kind = field.dataType
+    if isinstance(kind, T.StructType):
+        found = ["OBJECT"]
+    elif isinstance(kind, T.ArrayType):
+        found = ["ARRAY"]
+    elif isinstance(kind, T.BooleanType):
+        found = ["BOOLEAN"]
+    elif isinstance(kind, T.IntegralType):
+        found = ["BIGINT"]
+    elif isinstance(kind, (T.FractionalType, T.DecimalType)):
+        found = ["BIGINT", "DECIMAL", "DOUBLE"]
+    else:
+        found = ["STRING"]
+    return [*found, "VOID"] if field.nullable else found
+
+
+def _type_issues(variant: Column, schema: T.StructType, path: str, at: str = "$") -> list[Column]:
+    """Fields with a value of another JSON type, or null where the schema does not allow it."""
+    found = []
+    for field in schema:
+        here, name = f"{at}.{field.name}", f"{path}.{field.name}" if path else field.name
+        kind = F.regexp_extract(F.schema_of_variant(F.try_variant_get(variant, here, "variant")), r"^\w+", 0)
+        # An absent field is reported as such.
+        found.append(F.when(kind.isNotNull() & ~kind.isin(_kinds(field)), issue(name, fixed.WRONG_TYPE)))
+        if isinstance(field.dataType, T.StructType):
+            found += _type_issues(variant, field.dataType, name, here)
+    return found
+
+
 def parse_strict(rows: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
     """``record`` of a flat or nested object whose keys are exactly those of ``schema``.
 
-    ``failure_reason`` is null, ``malformed-json`` or ``schema-validation``. A value
-    of another JSON type is a schema failure.
+    ``failure_reason`` is null, ``malformed-json`` or ``schema-validation``. A value of
+    another JSON type is a schema failure, at every level, and so is null unless the field
+    of ``schema`` is nullable; items of arrays are read by ``schema`` alone. An object that
+    repeats a key is malformed.
     """
     text = F.col(raw)
     corrupt = "_corrupt_record"
     with_corrupt = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     parsed = rows.withColumn("_parsed", F.from_json(text, with_corrupt))
-    issues = issue_list(*_object_issues(text, schema, ""))
+    variant = F.try_parse_json(text)
+    issues = issue_list(*_object_issues(text, schema, ""), *_type_issues(variant, schema, ""))
     reason = (
         F.when(F.try_parse_json(text).isNull(), MALFORMED)
         .when(F.json_object_keys(text).isNull(), SCHEMA)
