@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftline.operators.flights import DISTANCE_THRESHOLDS
-from liftline.operators.keyed import top_k_per_key
+from liftline.operators.keyed import best_with_ties, top_k_per_key
 
 # --- Probability -----------------------------------------------------------------
 
@@ -116,12 +116,12 @@ def overdevelopment() -> dict[str, Column]:
 def best_days_per_site(predictions: DataFrame, reference: Column, k: int) -> DataFrame:
     """The ``k`` best dates of each site from the reference date on; ties share a rank."""
     upcoming = predictions.where((F.col("forecast_date") >= reference) & F.col("p100").isNotNull())
-    return top_k_per_key(upcoming, ["site_id"], [F.col("p100").desc()], k, ties=True)
+    return best_with_ties(upcoming, ["site_id"], "p100", k)
 
 
 def best_sites_per_day(predictions: DataFrame, reference: Column, k: int) -> DataFrame:
     upcoming = predictions.where((F.col("forecast_date") >= reference) & F.col("p100").isNotNull())
-    return top_k_per_key(upcoming, ["forecast_date"], [F.col("p100").desc()], k, ties=True)
+    return best_with_ties(upcoming, ["forecast_date"], "p100", k)
 
 
 # --- Similar days ----------------------------------------------------------------

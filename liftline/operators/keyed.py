@@ -17,15 +17,25 @@ def latest_per_key(rows: DataFrame, keys: list[str], newest_first: list[Column])
 
 
 def top_k_per_key(
-    rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
-    ties: bool = False,
+    rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
-    """The first ``k`` rows per key with their rank; ``ties`` keeps equal rows."""
-    function = F.rank() if ties else F.row_number()
-    ranked = rows.withColumn(rank, function.over(Window.partitionBy(*keys).orderBy(*order)))
+    """The first ``k`` rows per key with their rank, cut to ``k`` before the shuffle."""
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(rank) <= k)
 
 
+def best_with_ties(rows: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
+    """Rows per key whose ``value`` is among the ``k`` largest, with ``rank``; ties share one.
+
+    A ranked window would bring all ties of a key into one task. Here the ``k`` best rows,
+    which hold every value that counts, give its rank, and all rows with such a value are
+    found by a join on key and value.
+    """
+    best = top_k_per_key(rows.select(*keys, value), keys, [F.col(value).desc()], k)
+    ranks = best.groupBy(*keys, value).agg(F.min("rank").alias("rank"))
+    return skew_safe_join(rows, ranks, [*keys, value], "inner")
+
+
 def skew_safe_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join of ``facts`` in which a key may hold any share of the rows.
 

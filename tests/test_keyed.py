@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from liftline.operators.keyed import (
+    best_with_ties,
     latest_per_key,
     skew_safe_join,
     top_k_per_key,
@@ -46,8 +47,19 @@ def test_latest_and_top_k(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("b", 3, 1), ("a", 4, 2)], "key string, id int, v int")
     latest = latest_per_key(df, ["key"], [F.col("v").desc(), F.col("id").desc()])
     assert sorted(r["id"] for r in latest.collect()) == [2, 3]
-    tied = top_k_per_key(df, ["key"], [F.col("v").desc()], 1, ties=True)
-    assert sorted(r["id"] for r in tied.collect()) == [1, 2, 3]
+    assert sorted(r["id"] for r in top_k_per_key(df, ["key"], [F.col("v").desc(), F.col("id")], 1).collect()) == [1, 3]
+    assert sorted(r["id"] for r in best_with_ties(df, ["key"], "v", 1).collect()) == [1, 2, 3]
+
+
+def test_best_with_ties_equals_rank(spark):
+    random.seed(9)
+    rows = [(random.randrange(3), random.randrange(6), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, v long, id long")
+    for k in (1, 3, 50):
+        window = Window.partitionBy("key").orderBy(F.col("v").desc())
+        want = df.withColumn("rank", F.rank().over(window)).where(F.col("rank") <= k)
+        names = ["key", "v", "id", "rank"]
+        assert rows_of(best_with_ties(df, ["key"], "v", k).select(*names)) == rows_of(want.select(*names))
 
 
 @pytest.mark.parametrize("hot", ["key = 1", "key IS NULL"])
