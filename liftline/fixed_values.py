@@ -158,6 +158,9 @@ OTHER_DETAIL_MESSAGE = (
 CARD_UNAVAILABLE = "100 or more kilometre chance unavailable. "
 CARD_CHANCE = " percent chance of 100 or more kilometres. "
 
+# A request id has 1 to 128 of these characters.
+REQUEST_ID_PATTERN = r"\A[A-Za-z0-9._:-]{1,128}\z"
+
 # --- Problem codes: code, title, status ----------------------------------------
 PROBLEM_CODES = [
     ("VALIDATION_ERROR", "Invalid request", 400),
@@ -181,3 +184,4 @@ WRONG_ZONE = "Expected the time zone Europe/Sofia."
 REQUIRED = "Expected a single value."
 UNKNOWN_FIELD = "Unrecognized field: %s"
 WRONG_TYPE = "Expected another JSON type."
+WRONG_REQUEST_ID = "Expected 1 to 128 letters, digits, dots, dashes, colons or underscores."

@@ -368,6 +368,29 @@ def rejected_summary_requests(requests: DataFrame) -> DataFrame:
     )
 
 
+def slug_issue(text: Column, path: str) -> Column:
+    """A request names a slug, with blanks around it or not."""
+    return F.when(text.isNull(), issue(path, fixed.REQUIRED)).otherwise(
+        unless(X.is_slug(X.trim_all(text)), path, fixed.WRONG_SLUG)
+    )
+
+
+def site_request_issues(with_date: bool) -> Column:
+    """Rules of the detail route (``site_slug``, ``date_text``) or the days route (``site_slug``)."""
+    rules = [slug_issue(F.col("site_slug"), "siteSlug")]
+    if with_date:
+        rules.append(date_issue(F.col("date_text"), "date"))
+    return issue_list(*rules)
+
+
+def valid_site_requests(requests: DataFrame, with_date: bool) -> DataFrame:
+    """Requests that pass, with the trimmed ``slug`` and, for the detail route, ``forecast_date``."""
+    slug, date = X.trim_all(F.col("site_slug")), parse_date(F.col("date_text")) if with_date else None
+    rule = X.is_slug(slug) & date.isNotNull() if with_date else X.is_slug(slug)
+    passed = requests.where(rule).withColumn("slug", slug)
+    return passed.withColumn("forecast_date", date) if with_date else passed
+
+
 def unknown_field_issue(json: Column, allowed: list[str], path: str = "$") -> Column:
     """Extra keys of one JSON object, reported at the object."""
     extra = F.array_except(
@@ -445,3 +468,16 @@ def problem_issues(namespace: str) -> Column:
         ],
         unless(~X.is_blank(F.col("detail")), "detail", fixed.WRONG_NAME),
     )
+
+
+def problem_envelope_issues() -> Column:
+    """The ``request_id`` of a problem, and its ``issues``: a message for each, a path if only empty."""
+    each = issues_of_items(
+        F.col("issues"),
+        lambda item, i: issue_list(
+            F.when(item["path"].isNull(), issue(join_path("issues", i.cast("string"), "path"), fixed.REQUIRED)),
+            F.when(X.is_blank(item["message"]), issue(join_path("issues", i.cast("string"), "message"), fixed.WRONG_NAME)),
+        ),
+    )
+    known = F.coalesce(F.col("request_id").rlike(fixed.REQUEST_ID_PATTERN), F.lit(False))
+    return F.concat(issue_list(unless(known, "requestId", fixed.WRONG_REQUEST_ID)), each)

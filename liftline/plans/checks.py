@@ -530,6 +530,75 @@ def problem_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.issue_rows(checked, ["event_id"]).drop("issue_pos")
 
 
+@query(
+    "a43_problem_envelope",
+    with_views(
+        ("ev",),
+        f"""SELECT event_id, 'requestId' AS path, '{fixed.WRONG_REQUEST_ID}' AS message FROM ev WHERE event_id % 8 IN (1, 2, 3, 4)
+UNION ALL SELECT event_id, 'issues.1.message', '{fixed.WRONG_NAME}' FROM ev WHERE event_id % 8 IN (4, 5)
+UNION ALL SELECT event_id, 'issues.0.path', '{fixed.REQUIRED}' FROM ev WHERE event_id % 8 = 6""",
+    ),
+)
+def problem_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request ids that are empty, too long, spaced or absent; issues without a message or path."""
+    kind = F.col("event_id") % 8
+    request = (
+        F.when(kind == 1, "").when(kind == 2, F.repeat(F.lit("a"), 129)).when(kind == 3, "a b")
+        .when(kind == 4, F.lit(None).cast("string")).otherwise(F.concat(F.lit("req-1:"), F.col("event_id").cast("string")))
+    )
+    path = F.when(kind != 6, "siteSlug")
+    message = F.when(~kind.isin(4, 5), "Message.").otherwise(" ")
+    issues = F.array(
+        F.struct(path.alias("path"), F.lit("Message.").alias("message")),
+        F.struct(F.lit("").alias("path"), message.alias("message")),
+    )
+    rows = V.event_rows(spark, sf_dir).select(
+        "event_id", request.alias("request_id"), F.when(kind != 7, issues).alias("issues")
+    )
+    checked = rows.select("event_id", rules.problem_envelope_issues().alias("found"))
+    return rules.issue_rows(checked, ["event_id"], "found").drop("issue_pos")
+
+
+def _site_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail and days requests; some padded, some with a broken slug or date."""
+    kind = F.col("k") % 6
+    slug = (
+        F.when(kind == 1, F.concat(F.lit(" \t"), F.col("slug"), F.lit(" "))).when(kind == 2, F.upper("slug"))
+        .when(kind == 3, F.lit(None).cast("string")).otherwise(F.col("slug"))
+    )
+    date = F.when(kind == 4, "2024-02-30").when(kind == 5, "1.2.2024").otherwise(F.col("request_date").cast("string"))
+    return V.requests(spark, sf_dir).select("request_id", slug.alias("site_slug"), date.alias("date_text"))
+
+
+_REQUEST_ISSUES_SQL = f"""SELECT request_id, CASE WHEN k % 6 IN (2, 3) THEN 'siteSlug' ELSE 'date' END AS path,
+  CASE k % 6 WHEN 2 THEN '{fixed.WRONG_SLUG}' WHEN 3 THEN '{fixed.REQUIRED}' WHEN 4 THEN '{fixed.DATE_REAL_MESSAGE}'
+    ELSE '{fixed.DATE_FORMAT_MESSAGE}' END AS message FROM reqs"""
+
+
+@query("a20_detail_request_rules", with_views(("reqs",), f"{_REQUEST_ISSUES_SQL} WHERE k % 6 IN (2, 3, 4, 5)"))
+def detail_request_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = _site_requests(spark, sf_dir).withColumn("issues", rules.site_request_issues(with_date=True))
+    return rules.issue_rows(checked, ["request_id"]).drop("issue_pos")
+
+
+@query("a19_days_request_rules", with_views(("reqs",), f"{_REQUEST_ISSUES_SQL} WHERE k % 6 IN (2, 3)"))
+def days_request_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = _site_requests(spark, sf_dir).withColumn("issues", rules.site_request_issues(with_date=False))
+    return rules.issue_rows(checked, ["request_id"]).drop("issue_pos")
+
+
+@query(
+    "a20_valid_detail_requests",
+    with_views(
+        ("reqs",),
+        "SELECT request_id, slug, strftime(request_date, '%Y-%m-%d') AS forecast_date FROM reqs WHERE k % 6 IN (0, 1)",
+    ),
+)
+def valid_detail_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = rules.valid_site_requests(_site_requests(spark, sf_dir), with_date=True)
+    return good.select("request_id", "slug", "forecast_date")
+
+
 # --- Selection -------------------------------------------------------------------
 
 
