@@ -88,30 +88,45 @@ def _words(rows: np.ndarray) -> np.ndarray:
 
 _SENT = pa.schema(
     [("grp", pa.int64()), ("shape", pa.binary()), ("rest", pa.binary()), ("left", pa.binary()),
-     ("where", pa.binary()), ("doc", pa.int64()), ("row", pa.int64()), ("first", pa.binary()), ("last", pa.binary())]
+     ("where", pa.binary()), ("part", pa.int64()), ("found", pa.binary())]
 )
-_ANSWER = "doc long, row long, first binary, last binary"
+_FOUND = pa.schema([("part", pa.int64()), ("found", pa.binary())])
 
 
-def _answers(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple]:
-    """(doc, row, first, last): ranges of string starts per text, joined where they touch."""
+def _answers(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> Iterator[dict]:
+    """Ranges of string starts, joined where they touch, in one blob per part of the texts."""
     if len(doc) == 0:
         return
     order = np.lexsort((start, row, doc))
     doc, row, start, end = doc[order], row[order], start[order], end[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
-    reach = end.copy()
     # String starts of a text are far below 2^40, so later texts lie above earlier ones.
     lift = (np.cumsum(new) - 1) << 40
-    reach = np.maximum.accumulate(reach + lift) - lift
+    reach = np.maximum.accumulate(end + lift) - lift
     cut = new.copy()
     cut[1:] |= start[1:] > reach[:-1] + 1
     begin = np.flatnonzero(cut)
     stop = np.append(begin[1:], len(doc)) - 1
-    texts = np.flatnonzero(new[begin])
-    for a, b in zip(texts, np.append(texts[1:], len(begin)), strict=True):
-        yield int(doc[begin[a]]), int(row[begin[a]]), pack(start[begin[a:b]]), pack(reach[stop[a:b]])
+    ranges = np.stack([doc[begin], row[begin], start[begin], reach[stop]])
+    part = (T.mix(ranges[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    which, first = np.unique(part[order], return_index=True)
+    for p, own in zip(which.tolist(), np.split(order, first[1:]), strict=True):
+        yield {"part": p, "found": pack(ranges[:, own].ravel())}
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """One row per text of a part, with all its ranges."""
+    found = [unpack(blob).astype(np.int64).reshape(4, -1) for blob in table.column("found").to_pylist()]
+    doc, row, first, last = np.concatenate(found, axis=1)
+    order = np.lexsort((first, row, doc))
+    doc, row, first, last = doc[order], row[order], first[order], last[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(new)
+    blobs = [pa.array([pack(x) for x in np.split(values, begin[1:])], pa.binary()) for values in (first, last)]
+    return pa.Table.from_arrays([pa.array(doc[begin]), pa.array(row[begin]), *blobs], ["doc", "row", "first", "last"])
 
 
 class _Run:
@@ -131,7 +146,8 @@ class _Run:
         self.parts.append((rights, right, lefts, at - first, doc[text], row[text], at - base))
         self.size += len(at)
 
-    def sent(self, splitters: np.ndarray) -> Iterator[tuple]:
+    def sent(self, splitters: np.ndarray) -> Iterator[dict]:
+        """Front-coded blocks, one per range, and what is settled here, one blob per part."""
         if self.size == 0:
             return
         rights, right, lefts, left, doc, row, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -147,7 +163,9 @@ class _Run:
         smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         # A string that a smaller document of this run has is settled here.
         gone = doc > smallest
-        yield from _answers(doc[gone], row[gone], (at - left)[gone], (at + right - LENGTH)[gone])
+        settled = _answers(doc[gone], row[gone], (at - left)[gone], (at + right - LENGTH)[gone], len(splitters) + 1)
+        for answer in settled:
+            yield answer | {"grp": -1 - answer["part"]}
         keep = ~gone
         rights, right, lefts, left, doc, row, at = (x[keep] for x in (rights, right, lefts, left, doc, row, at))
         # A block is front-coded from its own first suffix on.
@@ -168,8 +186,10 @@ class _Run:
             shape = np.stack([shared[a:b], right[a:b], left[a:b]]).astype(np.uint64).ravel()
             texts, own = np.unique(np.stack([doc[a:b], row[a:b]]), axis=1, return_inverse=True)
             where = np.concatenate([[texts.shape[1]], texts.ravel(), own.ravel(), at[a:b]])
-            blobs = pack(shape), _bytes(rights[a:b][rest[a:b]]), _bytes(lefts[a:b][kept_left[a:b]])
-            yield int(group[a]), *blobs, pack(where)
+            yield {
+                "grp": int(group[a]), "shape": pack(shape), "rest": _bytes(rights[a:b][rest[a:b]]),
+                "left": _bytes(lefts[a:b][kept_left[a:b]]), "where": pack(where),
+            }
 
 
 def _bytes(values: np.ndarray) -> bytes:
@@ -266,9 +286,9 @@ def _decoded(shape: bytes, rest: bytes, left: bytes, where: bytes) -> tuple:
     return strings, shared.tolist(), right, matrix, lefts, doc, row, numbers[1 + 2 * n + count :]
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, parts: int) -> pa.Table:
     if table.column("grp")[0].as_py() < 0:  # settled inside a run
-        return table.select(["doc", "row", "first", "last"])
+        return table.select(_FOUND.names)
     blocks = [_decoded(*x) for x in zip(*[table.column(c).to_pylist() for c in ("shape", "rest", "left", "where")], strict=True)]
     base = np.cumsum([0, *[len(b[0]) for b in blocks]])
     following = base[:-1].tolist()
@@ -299,12 +319,11 @@ def _merge(table: pa.Table) -> pa.Table:
         smallest = np.minimum.reduceat(docs, begin)[np.cumsum(new) - 1]
         gone = has[sort[docs > smallest]]
         found.append((doc[gone], row[gone], at[gone] - offset))
-    rows: list[tuple] = []
+    rows: list[dict] = []
     if found:
         docs, texts, start = (np.concatenate(x) for x in zip(*found, strict=True))
-        rows = list(_answers(docs, texts, start, start))
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc", "row", "first", "last"])
+        rows = list(_answers(docs, texts, start, start, parts))
+    return pa.Table.from_pylist(rows, schema=_FOUND)
 
 
 def _row_keys(piece: T.Slice) -> np.ndarray:
@@ -313,20 +332,11 @@ def _row_keys(piece: T.Slice) -> np.ndarray:
 
 
 def _sorted_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
-    ranges = len(splitters) + 1
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = _Run()
 
         def out() -> Iterator[pa.RecordBatch]:
-            columns: list[list] = [[] for _ in _SENT]
-            for sent in run.sent(splitters):
-                is_block = len(sent) == 5
-                row = (*sent, None, None, None, None) if is_block else (-1 - sent[0] % ranges, *(None,) * 4, *sent)
-                for values, value in zip(columns, row, strict=True):
-                    values.append(value)
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_SENT)
+            yield pa.RecordBatch.from_pylist(list(run.sent(splitters)), schema=_SENT)
 
         for batch in batches:
             ids, seen = batch.column("doc").to_numpy(), batch.column("seen").to_pylist()
@@ -348,8 +358,8 @@ def _sorted_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
                     run = _Run()
         yield from out()
 
-    schema = "grp long, shape binary, rest binary, left binary, where binary, " + _ANSWER
-    return texts.mapInArrow(send, schema.replace(" left ", " `left` ").replace(" where ", " `where` "))
+    schema = "grp long, shape binary, rest binary, `left` binary, `where` binary, part long, found binary"
+    return texts.mapInArrow(send, schema)
 
 
 def _splitters(texts: DataFrame, ranges: int, rows: int) -> np.ndarray:
@@ -388,7 +398,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     splitters = _splitters(texts, max(1, -(-total // RANGE_SUFFIXES)), rows)
     per_doc = seen.groupBy("doc").agg(F.collect_list("vals").alias("seen"))
     sent = _sorted_runs(texts.join(per_doc, "doc"), splitters)
-    answers = sent.groupBy("grp").applyInArrow(_merge, _ANSWER)
+    parts = len(splitters) + 1
+    found = sent.groupBy("grp").applyInArrow(lambda table: _merge(table, parts), "part long, found binary")
+    answers = found.groupBy("part").applyInArrow(_by_text, "doc long, row long, first binary, last binary")
     ranges = answers.groupBy("doc").agg(F.collect_list(F.struct("row", "first", "last")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
