@@ -25,7 +25,7 @@ from liftline.llm import text as T
 
 # A block holds at most so many fingerprints and texts; a group is expected to hold those
 # of so many bytes of text.
-BLOCK_VALUES, BLOCK_TEXTS = 3_000_000, 60_000
+BLOCK_VALUES, BLOCK_TEXTS = 2_000_000, 60_000
 GROUP_BYTES = 16 << 20
 _MANY = 0xFFFF
 _LOW = np.uint64(0xFFFF)

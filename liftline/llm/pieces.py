@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Words whose ids a worker remembers before it starts over.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 # The search looks for a common boundary whenever so many positions are open.
 OPEN_POSITIONS = 64
 _UNKNOWN_LOSS = 10.0
