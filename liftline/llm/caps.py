@@ -140,14 +140,16 @@ def _compared(cosine: float):
         else:
             linked &= (piece == left)[:, None] != (piece == left)[None, :]
         # A link is counted in the first cap that both ends share.
-        counted = linked.copy()
         caps = table.column("caps").combine_chunks()
         flat, sizes = caps.flatten().to_numpy(), pc.list_value_length(caps).to_numpy()
-        owner = np.repeat(np.arange(len(cls)), sizes)
-        for earlier in np.unique(flat[flat < cap]).tolist():
-            rows = owner[flat == earlier]
-            if len(rows) > 1:
-                counted[np.ix_(rows, rows)] = False
+        owner = np.repeat(np.arange(len(cls)), sizes)[flat < cap]
+        number = np.unique(flat[flat < cap], return_inverse=True)[1]
+        counted = linked.copy()
+        for start in range(0, int(number.max(initial=-1)) + 1, PIECE):
+            here = (number >= start) & (number < start + PIECE)
+            member = np.zeros((len(cls), PIECE), np.float32)
+            member[owner[here], number[here] - start] = 1
+            counted &= member @ member.T == 0
         n = counted @ copies
         some = np.flatnonzero(n)
         edges = list(_forest(linked))
