@@ -35,6 +35,8 @@ LEAST_DIRECTIONS = 4096
 MOST_WORDS = 512
 # A cap with more vectors is compared in pieces of this size, every two of them once.
 PIECE = 1024
+# A group of cells is expected to have about so many vectors.
+GROUP_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -125,9 +127,23 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
 def _compared(cosine: float):
-    """Links of one cell: piece ``left`` of a cap against piece ``right``, or within one."""
+    """Links of the cells of a group: piece ``left`` of a cap against ``right``, or within one."""
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        names = ["label", "dim", "cap", "left", "right"]
+        order = pc.sort_indices(table, [(name, "ascending") for name in names])
+        table = table.take(order).combine_chunks()
+        new = np.zeros(len(table), bool)
+        new[0] = True
+        for name in names:
+            values = table.column(name).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        begin = np.flatnonzero(new)
+        cells = zip(begin, np.append(begin[1:], len(table)), strict=True)
+        return pa.concat_tables([compare_cell(table.slice(a, b - a)) for a, b in cells])
+
+    def compare_cell(table: pa.Table) -> pa.Table:
         cap = table.column("cap")[0].as_py()
         lists = table.column("vector").combine_chunks()
         unit = _units(lists, len(lists[0]))
@@ -214,9 +230,12 @@ def embedding_components(
         .withColumn("cell", F.explode(cells))
         .select(*key, "cls", "vector", "copies", "caps", "piece", "cell.left", "cell.right")
     )
+    # Cells are many and mostly small, so several go into a group.
+    members = crowd.select(F.sum("n")).first()[0] or 0
+    groups = max(1, members // GROUP_ROWS)
+    placed = placed.withColumn("grp", F.pmod(F.xxhash64(*key, "left", "right"), F.lit(groups)))
     found = settle(
-        placed.groupBy(*key, "left", "right").applyInArrow(_compared(cosine), "a long, b long, n long"),
-        "links",
+        placed.groupBy("grp").applyInArrow(_compared(cosine), "a long, b long, n long"), "links"
     )
     links = found.where("a = b").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "cls")
     tied = components(found.where("a <> b"), "linked").withColumnRenamed("node", "cls")
