@@ -157,13 +157,12 @@ def mix_plan(
     )
 
 
-def with_positions(
+def passes(
     plan: DataFrame, shapes: tuple[Knots, ...] = SHAPES, most_passes: int = MOST_PASSES
 ) -> DataFrame:
-    """One row per pass in which a row is taken: ``turn``, ``words`` and ``position``.
+    """The rows of ``plan``, once per pass in which they are taken: ``turn``, ``words``, ``position``.
 
-    Rows of which nothing is taken have no pass. The result is range-sorted by position,
-    then by source and doc_id, so that its files follow each other in training order.
+    Rows of which nothing is taken have no pass.
     """
     turns = F.explode(F.sequence(F.lit(0), F.lit(most_passes - 1))).alias("turn")
     begin = F.col("turn") * F.col("source_size") + F.col("start")
@@ -173,6 +172,38 @@ def with_positions(
     for n, knots in enumerate(shapes):
         here = F.col("place") % len(shapes) == n
         position = F.when(here, position_of(begin / F.col("target"), knots)).otherwise(position)
+    return each.withColumn("position", position)
+
+
+def with_positions(
+    plan: DataFrame, shapes: tuple[Knots, ...] = SHAPES, most_passes: int = MOST_PASSES
+) -> DataFrame:
+    """``passes``, range-sorted by position, then by source and doc_id.
+
+    So the files of the result follow each other in training order.
+    """
     order = ["position", "source", "doc_id", "turn"]
-    ranged = each.withColumn("position", position).repartitionByRange(*order)
-    return ranged.sortWithinPartitions(*order)
+    return passes(plan, shapes, most_passes).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def training_order(
+    plan: DataFrame, shapes: tuple[Knots, ...] = SHAPES, most_passes: int = MOST_PASSES
+) -> DataFrame:
+    """``plan`` with the ``positions`` of every row, an array with one per pass, in order.
+
+    ``taken`` is the sum of the words of these passes. Rows are range-sorted by their first
+    position; the ones that are not taken have no positions and come last.
+    """
+    rows = settle(plan.withColumn("row", F.monotonically_increasing_id()), "plan")
+    placed = passes(rows, shapes, most_passes).groupBy("row").agg(
+        F.sum("words").alias("words"), F.array_sort(F.collect_list("position")).alias("positions")
+    )
+    none = F.array().cast("array<double>")
+    joined = rows.join(placed, "row", "left").select(
+        *[c for c in plan.columns if c != "taken"],
+        F.coalesce("words", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("positions", none).alias("positions"),
+    )
+    first = F.get("positions", F.lit(0)).asc_nulls_last()
+    order = [first, F.col("source"), F.col("doc_id"), F.col("start")]
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -79,7 +79,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    """Rows in training order; the SQL twin has no positions, so they are not among the columns."""
+    plan = mixing.training_order(mixing.mix_plan(table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "start")
 
 

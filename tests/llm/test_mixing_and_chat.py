@@ -101,6 +101,26 @@ def test_positions_invert_the_demand(spark):
             assert taken.get(r.doc_id, 0) == r.taken
 
 
+def test_training_order(spark):
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, source string")
+    plan = mixing.mix_plan(docs)
+    rows = mixing.training_order(plan).collect()
+    key = ["doc_id", "source", "size", "start", "taken"]
+    assert sorted(map(repr, plan.select(key).collect())) == sorted(repr(r) for r in mixing.training_order(plan).select(key).collect())
+    first = [r.positions[0] if r.positions else math.inf for r in rows]
+    assert first == sorted(first) and first[0] < math.inf
+    assert all(bool(r.positions) == (r.taken > 0) for r in rows)
+    placed = [(r.source, r.start, r.position) for r in mixing.with_positions(plan).collect()]
+    assert sorted(map(repr, placed)) == sorted(repr((r.source, r.start, p)) for r in rows for p in r.positions)
+
+
+def test_query_is_in_training_order(spark):
+    plan = mixing.with_positions(mixing.mix_plan(Q.table(spark, SF_DIR, "documents"))).collect()
+    want = list(dict.fromkeys(r.doc_id for r in plan))
+    got = [r.doc_id for r in Q.op10_source_mixing(spark, SF_DIR).collect() if r.taken]
+    assert got == want
+
+
 def _value(knots, t):
     for (t0, m0), (t1, m1) in zip(knots, knots[1:], strict=False):
         if t <= t1:
