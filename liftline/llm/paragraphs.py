@@ -5,6 +5,12 @@ and stay. Equal paragraphs (words, A-Z lower-cased) are one from the start. Diff
 collide if all minima of a band agree; the number of bands follows from the recall wanted
 at the threshold. Paragraphs joined by collisions are compared by exact Jaccard, linked
 ones form components, and of each component only the first occurrence stays.
+
+What is left is compared without regard to lines, so that wrapped text, lists and passages
+inside longer lines count too: of every ``WINDOW`` runs of ``LEAST_WORDS`` words in
+sequence the one of least hash is a unit, and the first and last run of a text are. These
+runs cover every word of a text that is not shorter than one of them. Equal units are
+found wherever they stand; all but the first occurrence are cut out.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftline.llm import text as T
@@ -23,6 +29,9 @@ from liftline.llm.shared import components, settle
 
 WORDS, PERCENT, LEAST_WORDS = 5, 80, 20
 BAND_ROWS, RECALL = 3, 0.999
+# Not above LEAST_WORDS, or words between two units would belong to none. Texts that share
+# LEAST_WORDS + WINDOW - 1 words in sequence share a unit.
+WINDOW = 20
 
 _NULL = -(2**63)
 
@@ -124,17 +133,112 @@ def _sets(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("text", "wanted").mapInArrow(sets, "key long, items array<long>")
 
 
+def unit_runs(h: np.ndarray, word: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the runs of ``length`` words that are units, in order.
+
+    ``h`` has the hash of every word, ``word`` per text the index of its first one.
+    """
+    place = np.arange(len(h) - length + 1)
+    if len(place) <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = np.zeros(len(place), np.uint64)
+    for j in range(length):
+        value += h[j : j + len(place)] * (T.mix(np.uint64([j + 1])) | np.uint64(1))
+    value = T.mix(value)
+    fits = np.diff(word) >= length
+    ends = np.repeat(word[1:], np.diff(word))[: len(place)]
+    inside = place + length <= ends
+    rank = np.where(inside, value, np.uint64(2**64 - 1))
+    picked = np.zeros(len(place), bool)
+    if len(place) >= window:
+        view = np.lib.stride_tricks.sliding_window_view(rank, window)
+        for start in range(0, len(view), 1 << 16):
+            part = view[start : start + (1 << 16)]
+            picked[start + np.arange(len(part)) + part.argmin(axis=1)] = True
+    else:
+        picked[:] = True
+    at = np.flatnonzero(picked & inside)
+    # Repeats of a short period have many least runs; one in half a window is enough.
+    same = np.zeros(len(at), bool)
+    same[1:] = (value[at[1:]] == value[at[:-1]]) & (np.diff(at) <= window // 2)
+    begin = at[np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))] if len(at) else at
+    turn = (at - begin) // max(1, window // 2)
+    thin = same.copy()
+    thin[1:] &= turn[1:] == turn[:-1]
+    edges = np.concatenate([word[:-1][fits], word[1:][fits] - length])
+    at = np.union1d(at[~thin], edges).astype(np.int64)
+    return at, value[at].view(np.int64)
+
+
+def _units(docs: DataFrame, length: int, window: int) -> DataFrame:
+    """A row per unit: its hash, its bytes in the text, its first and last line."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc").to_numpy()
+            for piece in T.slices(batch.column("text")):
+                starts, ends, word = T.words(piece)
+                at, value = unit_runs(T.span_hashes(piece.data, starts, ends), word, length, window)
+                text = np.searchsorted(word, at, "right") - 1
+                row = T.span_hashes(piece.data, piece.offsets[:-1], piece.offsets[1:], fold=False).view(np.int64)
+                feeds = np.flatnonzero(piece.data == 10)
+                ahead = np.searchsorted(feeds, piece.offsets[text])
+                first, last = starts[at], ends[at + length - 1]
+                arrays = [
+                    ids[piece.first + text], row[text], first - piece.offsets[text], last - piece.offsets[text],
+                    np.searchsorted(feeds, first) - ahead, np.searchsorted(feeds, last) - ahead, value,
+                ]
+                names = ["doc", "row", "start", "end", "line", "last", "unit"]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names)
+
+    schema = "doc long, row long, start long, end long, line long, last long, unit long"
+    return docs.select("doc", "text").mapInArrow(units, schema)
+
+
+def _repeated_spans(texts: DataFrame, removed: DataFrame, length: int, window: int) -> DataFrame:
+    """``doc``, ``row``, ``spans``: bytes of units that stand at an earlier place too.
+
+    Units on a line that ``removed`` (``doc``, ``row``, ``line``) names neither go nor let
+    others go. A unit that overlaps its own first occurrence stays.
+    """
+    units = settle(_units(texts, length, window), "units")
+    often = units.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
+    again = settle(units.join(often, "unit"), "repeated-units")
+    for line in ("line", "last"):
+        lines = removed.select("doc", "row", F.col("line").alias(line)).distinct()
+        again = again.join(lines, ["doc", "row", line], "left_anti")
+    again = settle(again, "left-units")
+    keep = again.groupBy("unit").agg(
+        F.min(F.struct("doc", "row", "start", "end")).alias("keep"), F.count("*").alias("n")
+    )
+    text, own = F.struct("doc", "row"), F.struct("keep.doc", "keep.row")
+    later = (text > own) | (F.col("start") >= F.col("keep.end"))
+    gone = again.join(keep.where("n > 1"), "unit").where(later).select("doc", "row", "start", "end").distinct()
+    # Spans that touch are one.
+    here = Window.partitionBy("doc", "row").orderBy("start", "end")
+    so_far = here.rowsBetween(Window.unboundedPreceding, -1)
+    apart = gone.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(so_far), F.lit(True)).cast("int"))
+    spans = apart.withColumn("span", F.sum("new").over(here)).groupBy("doc", "row", "span").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")
+    )
+    return spans.groupBy("doc", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def repeated_paragraphs(
     docs: DataFrame,
     percent: int = PERCENT,
     least_words: int = LEAST_WORDS,
     chunk_shingles: int = CHUNK_SHINGLES,
+    window: int = WINDOW,
 ) -> DataFrame:
-    """``doc_id``, ``n_lines``, ``n_removed``, ``removed`` per row of ``doc_id``, ``text``.
+    """``doc_id``, ``n_lines``, ``n_removed``, ``removed``, ``n_cut``, ``spans`` per row of ``doc_id``, ``text``.
 
     ``removed`` has the numbers, from 0, of the lines that go: paragraphs that equal or
     resemble (Jaccard of five-word shingles, ``percent`` or more, also by way of others)
-    one at an earlier (doc_id, line). Null and empty texts have one empty line. Rows that
+    one at an earlier (doc_id, line). ``spans`` has what goes besides, the bytes ``start`` to
+    ``end`` of the UTF-8 text in which it repeats an earlier one over lines or inside of
+    them, and ``n_cut`` their number of bytes; spans do not touch removed lines. Texts of
+    fewer than ``least_words`` words stay. Null and empty texts have one empty line. Rows that
     repeat a doc_id and its text count as one place, so neither loses a line to the other;
     with another text they are separate rows. A null doc_id comes before all others. More
     columns are ignored; an empty table gives an empty result.
@@ -166,15 +270,21 @@ def repeated_paragraphs(
     tied = tied.select("key", "place", "n", F.coalesce("component", "key").alias("component"))
     first = tied.groupBy("component").agg(F.min("place").alias("keep"), F.sum("n").alias("places"))
     gone = tied.join(first.where("places > 1"), "component").select("key", "keep")
-    removed = places.drop("bands").join(gone, "key").where(place != F.col("keep"))
+    removed = settle(
+        places.drop("bands").join(gone, "key").where(place != F.col("keep")).select("doc", "row", "line"), "removed"
+    )
     lists = removed.groupBy("doc", "row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    spans = _repeated_spans(texts, removed, least_words, window)
     rows = found.where("key is null").select("doc", "row", F.col("line").alias("n_lines"))
-    none = F.array().cast("array<bigint>")
-    return rows.join(lists, ["doc", "row"], "left").select(
+    none, uncut = F.array().cast("array<bigint>"), F.array().cast("array<struct<start:bigint,end:bigint>>")
+    n_cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.join(lists, ["doc", "row"], "left").join(spans, ["doc", "row"], "left").select(
         F.when(F.col("doc") > _NULL, F.col("doc")).alias("doc_id"),
         "n_lines",
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"),
+        F.coalesce(n_cut, F.lit(0)).cast("long").alias("n_cut"),
+        F.coalesce("spans", uncut).alias("spans"),
     )
 
 
@@ -186,3 +296,23 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
+
+
+def without_repeats(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """``without_lines``, and without the ``spans`` of ``removed``; line feeds inside of them stay."""
+    wanted = removed.where("n_cut > 0").select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
+    raw, spans = F.col("text").cast("binary"), F.col("_spans")
+
+    def between(start: Column, end: Column) -> Column:
+        return F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
+
+    def part(span: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, (i - 1).cast("int"))["end"])
+        feeds = F.regexp_replace(between(span["start"], span["end"]), "[^\n]", "")
+        return F.concat(between(before, span["start"]), feeds)
+
+    rest = between(F.element_at(spans, -1)["end"], F.octet_length("text").cast("long"))
+    cut = F.concat(F.array_join(F.transform(spans, part), ""), rest)
+    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    text = F.when(spans.isNull(), F.col("text")).otherwise(cut)
+    return without_lines(joined.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns]), removed)

@@ -177,6 +177,46 @@ def test_paragraphs_of_nothing_and_repeated_rows(spark):
     assert got == [(0, 1, ()), (1, 1, (0,)), (1, 1, (0,)), (1, 2, (1,))]
 
 
+def test_wrapped_and_embedded_passages(spark):
+    random.seed(5)
+    passage = [f"p{i}é" for i in range(60)]
+    wrap = lambda n: "\n".join(" ".join(passage[i : i + n]) for i in range(0, 60, n))
+    own = lambda n: " ".join(f"u{random.randrange(10**9)}" for _ in range(n))
+    texts = [own(30) + "\n" + wrap(12), own(9) + "\n\n" + wrap(9).upper().replace("É", "é"), own(40) + " " + wrap(60) + " " + own(70), wrap(12)]
+    texts += [own(12) + "\n" + own(12), own(3), wrap(19).rsplit("\n", 3)[0], "a " * 200, own(25) + "\n" + own(5)]
+    texts += [texts[8] + " " + own(3)]
+    rows = list(enumerate(texts)) + [(90, None), (91, "")]
+    found = paragraphs.repeated_paragraphs(frame(spark, rows))
+    got = {r.doc_id: r for r in found.collect()}
+    left = {r.doc_id: r.text for r in paragraphs.without_repeats(frame(spark, rows), found).collect()}
+    for doc in (0, 4, 5, 6, 90, 91):
+        assert got[doc].n_cut == got[doc].n_removed == 0 and left[doc] == dict(rows)[doc]
+    assert got[3].n_lines == 5
+    for doc in (1, 2, 3):
+        text = dict(rows)[doc]
+        words, kept = text.lower().split(), left[doc].lower().split()
+        assert [w for w in kept if w[0] == "u"] == [w for w in words if w[0] == "u"]
+        # At least one unit of 20 words goes, at most 19 words stay at either end.
+        assert sum(w[0] == "p" for w in kept) <= 38 and left[doc].count("\n") == text.count("\n")
+        assert got[doc].n_cut == sum(s.end - s.start for s in got[doc].spans)
+    assert 20 <= left[7].count("a") < 60
+
+
+def test_units_cover_every_word():
+    rng = np.random.default_rng(2)
+    sizes = [0, 3, 19, 20, 21, 39, 400, 0, 1000]
+    word = np.concatenate([[0], np.cumsum(sizes)])
+    for h in (rng.integers(0, 2**63, word[-1]).astype(np.uint64), np.ones(word[-1], np.uint64)):
+        at, _ = paragraphs.unit_runs(h, word, 20, 20)
+        covered = np.zeros(word[-1], bool)
+        for a in at.tolist():
+            covered[a : a + 20] = True
+            assert np.searchsorted(word, a, "right") == np.searchsorted(word, a + 19, "right")
+        for i, n in enumerate(sizes):
+            assert covered[word[i] : word[i + 1]].all() == (n >= 20 or n == 0)
+        assert len(at) < word[-1] / 5
+
+
 def byte_rows():
     random.seed(2)
     rows = [(i, "".join(random.choice("abc é") for _ in range(random.randint(0, 400)))) for i in range(40)]
