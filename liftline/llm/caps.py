@@ -182,6 +182,12 @@ def _usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & ~odd & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def group_count(crowd: DataFrame, piece: int) -> int:
+    """Groups for about ``GROUP_ROWS`` rows each; every one of the ``n`` vectors of a cap is a row per piece."""
+    rows = crowd.select(F.sum(F.col("n") * F.ceil(F.col("n") / piece))).first()[0] or 0
+    return max(1, -(-rows // GROUP_ROWS))
+
+
 def embedding_components(
     vectors: DataFrame, cosine: float = COSINE, caps: int = CAPS, piece: int = PIECE
 ) -> DataFrame:
@@ -231,8 +237,7 @@ def embedding_components(
         .select(*key, "cls", "vector", "copies", "caps", "piece", "cell.left", "cell.right")
     )
     # Cells are many and mostly small, so several go into a group.
-    members = crowd.select(F.sum("n")).first()[0] or 0
-    groups = max(1, members // GROUP_ROWS)
+    groups = group_count(crowd, piece)
     placed = placed.withColumn("grp", F.pmod(F.xxhash64(*key, "left", "right"), F.lit(groups)))
     found = settle(
         placed.groupBy("grp").applyInArrow(_compared(cosine), "a long, b long, n long"), "links"

@@ -129,6 +129,25 @@ def test_embedding_components(spark, piece):
     assert caps.embedding_components(df.limit(0)).collect() == []
 
 
+def test_groups_of_a_large_cap_stay_small(spark, monkeypatch):
+    crowd = spark.createDataFrame([(1, 100_000), (2, 2)], "cap int, n long")
+    assert caps.group_count(crowd, 1024) == -(-(100_000 * 98 + 2) // caps.GROUP_ROWS)
+    assert caps.group_count(crowd.limit(0), 1024) == 1
+    # One cap of near-equal vectors, in pieces of 20.
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    rows = [(i, [float(np.float32(x)) for x in base + rng.normal(size=16) * 0.01], 0) for i in range(300)]
+    found = []
+    counted = caps.group_count
+    monkeypatch.setattr(caps, "GROUP_ROWS", 500)
+    monkeypatch.setattr(caps, "group_count", lambda c, p: found.append((c.agg({"n": "max"}).first()[0], counted(c, p))) or found[-1][1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = Counter(map(tuple, caps.embedding_components(df, piece=20).collect()))
+    assert got == Counter(vectors_brute(rows, 0.98))
+    largest, groups = found[0]
+    assert largest > 100 and groups >= largest * -(-largest // 20) / 500
+
+
 def test_cap_recall(spark):
     table = spark.read.parquet("/root/testdata/check_h/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding), r.label) for r in table.where("label in (1, 2)").collect()]
