@@ -6,7 +6,7 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftline.llm import exact_dedup, jaccard, mixing, pieces, quality
@@ -35,32 +35,59 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.dropDuplicates(["_doc", "_sha"]).select(*[f"`{c}`" for c in docs.columns])
 
 
+def row_identity() -> Column:
+    """Tells rows apart by doc_id, text and source, nulls included; never null."""
+    parts = [F.coalesce(F.concat(F.lit("a"), F.sha2(F.col(c).cast("string"), 256)), F.lit("b")) for c in ("doc_id", "text", "source")]
+    return F.sha2(F.concat(*parts), 256)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles, similarity 0.8, the least doc_id stays."""
+    """Of documents linked by five-word shingles, similarity 0.8, the least doc_id stays.
+
+    Null is after all others. Of rows that share the least doc_id one stays, unless they
+    are equal in doc_id, text and source.
+    """
     prepare(spark)
-    found = jaccard.jaccard_components(docs, k=5, percent=80)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc"))
-    return docs.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    number = F.xxhash64(row_identity())
+    found = jaccard.jaccard_components(docs.select(number.alias("doc_id"), "text"), k=5, percent=80)
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("place")
+    places = docs.select("doc_id", number.alias("_row")).distinct().select("_row", place)
+    tied = places.join(found.distinct(), "_row")
+    first = tied.groupBy("_component").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
+    kept = docs.withColumn("_row", number).join(first, "_row", "left_semi")
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, once per pass; the one at a source's end is cut.
 
-    A text that is taken in part keeps its first words, with single spaces between.
+    A text that is taken in part keeps its first words, with single spaces between. Rows
+    may repeat a doc_id or have none; equal ones are numbered.
     """
     prepare(spark)
-    plan = settle(mixing.mix_plan(docs), "plan")
-    if plan.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        raise ValueError("doc_id must name one document by now; exact dedup comes first.")
+    rows = docs.withColumn("_row", row_identity())
+    plan = settle(mixing.mix_plan(rows, keep=("_row",)), "plan")
+    copy = F.row_number().over(Window.partitionBy("_row").orderBy("start", "taken"))
+    plan = settle(plan.withColumn("_copy", copy), "numbered-plan")
     places = mixing.with_positions(plan)
-    wanted = places.select(F.col("doc_id").alias("_doc"), "words", F.col("size").alias("_size"), "position", "turn")
-    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    wanted = places.select("_row", "_copy", "words", F.col("size").alias("_size"), "position", "turn")
+    # Only rows that occur more than once go through a window with their texts.
+    often = settle(plan.where("_copy = 2").select("_row"), "often")
+    alike = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
+    single = rows.join(often, "_row", "left_anti").withColumn("_copy", F.lit(1))
+    rows = single.unionByName(rows.join(often, "_row", "left_semi").withColumn("_copy", alike))
+    # Names of the given columns may be those of the plan.
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given")
+    rows = rows.select("_row", "_copy", given).join(wanted, ["_row", "_copy"])
+    text = F.col("_given.text")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
     whole = F.col("words") == F.col("_size")
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
-    order = ["position", "doc_id", "turn"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[f"`{c}`" for c in docs.columns])
+    new = {"text": F.when(whole, text).otherwise(cut)}
+    new["n_chars"] = F.when(whole, F.col("_given.n_chars")).otherwise(F.length(cut))
+    order = ["position", "_given.doc_id", "turn", "_row", "_copy"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select(*[new.get(c, F.col("_given").getField(c)).alias(c) for c in docs.columns])
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,6 +112,7 @@ def mix_plan(
     weights: tuple[int, ...] = WEIGHTS,
     most_passes: int = MOST_PASSES,
     window_rows: int = WINDOW_ROWS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """What the mix takes of every row of ``doc_id``, ``text``, ``source``.
 
@@ -122,7 +123,7 @@ def mix_plan(
     words taken of a source are its target to within one word, and no row exceeds
     ``most_passes`` times its size. A null text has size 0, a null source is a source of
     its own, after the others, rows that repeat a doc_id stand side by side, an empty
-    table gives an empty plan. More columns of ``docs`` are ignored.
+    table gives an empty plan. Columns named in ``keep`` come along, others are ignored.
 
     A source may hold any share of the rows: it is cut by the leading digits of the MD5,
     pieces are summed first, and each piece adds the sum of the pieces before it.
@@ -130,7 +131,7 @@ def mix_plan(
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     # Null sorts after every source, as its key starts with a later letter.
     src = F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))
-    sizes = settle(docs.select("doc_id", "source", src.alias("src"), size.alias("size")), "sizes")
+    sizes = settle(docs.select("doc_id", "source", src.alias("src"), size.alias("size"), *keep), "sizes")
     targets = source_targets(sizes, weights, most_passes)
     rows, digits = sizes.count(), 1
     while rows > window_rows * 16**digits:
@@ -143,7 +144,7 @@ def mix_plan(
     ahead = ahead.join(targets, "src")
     inside = (
         Window.partitionBy("src", "piece")
-        .orderBy("key", "doc_id", "size")
+        .orderBy("key", "doc_id", "size", *keep)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = keyed.withColumn("local", F.sum("size").over(inside) - F.col("size"))
@@ -153,7 +154,7 @@ def mix_plan(
         room = F.floor("target") - (F.lit(turn) * F.col("source_size") + F.col("start"))
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), room))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", "place", "start", taken.alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "place", "start", taken.alias("taken"), *keep
     )
 
 

@@ -81,6 +81,27 @@ def test_stage_on_odd_rows(spark, number):
     assert stage(spark, more.limit(0), SF_DIR).count() == 0
 
 
+def test_repeated_and_null_ids_through_all_stages(spark, tmp_path):
+    docs = table(spark, SF_DIR, "documents")
+    base, far = [f"w{i}" for i in range(60)], " ".join(f"v{i}" for i in range(60))
+    near = lambda k: " ".join([*base[:-1], f"x{k}"])
+    odd = [(10**6, near(0), "en", "a", 5), (None, near(1), "en", "a", 5), (None, far, "en", "a", 5), (10**6 + 1, near(2), "en", "a", 5)]
+    odd += [(10**6 + 1, "one two three", "en", "a", 5), (None, None, None, None, None), (10**6 + 2, "Tiny", "en", None, 4)]
+    more = docs.union(spark.createDataFrame([*odd, odd[-1]], docs.schema))
+    rows = corpus_pipeline.near_stage(spark, more, SF_DIR).where("doc_id is null or doc_id >= 1000000").collect()
+    left = Counter((r.doc_id, r.text) for r in rows)
+    assert left == {(10**6, near(0)): 1, (None, far): 1, (10**6 + 1, "one two three"): 1, (None, None): 1, (10**6 + 2, "Tiny"): 2}
+    plan = Counter()
+    for r in corpus_pipeline.mixing.mix_plan(more).collect():
+        if r["size"]:
+            plan[r.doc_id] += -(-r.taken // r["size"])
+    mixed = corpus_pipeline.mixing_stage(spark, more, SF_DIR)
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == +plan
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, SF_DIR, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_entry_points_have_all():
     names = set(entry_points.queries())
     for n in range(1, 11):
