@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftline.llm import caps, chat, exact_dedup, jaccard, language, mixing, paragraphs, pieces, quality, suffixes
+from liftline.llm import caps, chat, contamination, exact_dedup, jaccard, language, mixing, paragraphs, pieces
+from liftline.llm import prefix_trie, quality, suffixes, whitening
 from liftline.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +85,27 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "start")
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.turn_paths(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(paths))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -97,11 +119,16 @@ QUERIES: dict[str, Query] = {
         op8_chat_formatting,
         op9_quality_classifier,
         op10_source_mixing,
+        op11_benchmark_decontamination,
+        op12_prefix_trie,
+        op13_embedding_whitening,
     )
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": f"""
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(folded) AS text_sha256
@@ -173,4 +200,62 @@ SELECT doc_id, size, source_size, target, start,
   + greatest(0, least(size, floor(target)::BIGINT - source_size - start))
   + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken
 FROM laid""",
+    "op11_benchmark_decontamination": rf"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all({_FOLD}, '{_LETTERS}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_FOLD}, '{_LETTERS}') AS w FROM documents
+), places AS (
+  SELECT row, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT row, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)
+), hits AS (
+  SELECT row, i, m, item_id FROM places JOIN windows USING (win, m)
+), named AS (
+  SELECT row, count(DISTINCT item_id) AS n_items, coalesce(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR), '') AS ids
+  FROM hits GROUP BY row
+), covered AS (
+  SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS place FROM hits) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN named USING (row) LEFT JOIN covered USING (row)""",
+    "op12_prefix_trie": """
+WITH ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id AS c, list(t ORDER BY pos) AS turns FROM ordered GROUP BY conv_id
+), hashed AS (
+  SELECT c, turns, xor(list_reduce(
+    [4294967295::BIGINT] || flatten(list_transform(range(1, length(c::VARCHAR) + 1),
+      lambda k: [ascii(substr(c::VARCHAR, k, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 9 AS h
+  FROM convs
+), rebuilt AS (
+  SELECT a.c, coalesce(b.turns[1:a.h], []) || a.turns[a.h + 1:len(a.turns)] AS turns
+  FROM hashed a LEFT JOIN convs b ON b.c = a.c - a.c % 5
+), steps AS (
+  SELECT c, d, len(turns) AS n, turns[1:d] AS prefix FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(prefix[d].text)) END AS saved, bool_and(n = d) AS leaf
+  FROM steps GROUP BY d, prefix
+), chains AS (
+  SELECT s.c, v.d, v.conv_id, v.saved, v.leaf FROM steps s JOIN nodes v ON s.d = v.d AND s.prefix = v.prefix
+), below AS (
+  SELECT DISTINCT u.d AS d, u.conv_id AS conv_id, v.d AS below_d, v.conv_id AS below_id, v.saved, v.leaf
+  FROM chains u JOIN chains v ON u.c = v.c AND u.d <= v.d
+), sums AS (
+  SELECT d, conv_id, count(*) FILTER (below_d = d + 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM below GROUP BY d, conv_id
+), parents AS (
+  SELECT DISTINCT v.d, v.conv_id, u.conv_id AS parent_conv_id FROM chains v JOIN chains u ON u.c = v.c AND u.d = v.d - 1
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM nodes JOIN sums USING (d, conv_id) LEFT JOIN parents USING (d, conv_id)""",
 }
