@@ -62,6 +62,7 @@ class Paragraphs:
         values, begin = T.shingle_hashes(h, word, WORDS)
         long = np.flatnonzero(np.diff(word) >= max(least, 1))
         self.text = np.searchsorted(self.first, long, "right") - 1
+        self.bytes = np.diff(lines.offsets)[long] - (lines.data[lines.offsets[long + 1] - 1] == 10 if len(long) else 0)
         self.line = long - self.first[self.text]
         place = np.arange(len(h)) - np.repeat(word[:-1], np.diff(word))
         sums = np.zeros(len(h) + 1, np.uint64)
@@ -93,22 +94,22 @@ def _listed(rows: np.ndarray) -> pa.ListArray:
 
 
 def _found(docs: DataFrame, least: int, count: int) -> DataFrame:
-    """A row per paragraph, and one with null ``key`` per text with its number of lines."""
+    """A row per paragraph, and one with null ``key`` per text with its number of lines and bytes."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "row", "line", "key", "bands"]
+        names = ["doc", "row", "line", "bytes", "key", "bands"]
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for piece in T.slices(batch.column("text")):
                 p = Paragraphs(piece, least)
                 own = ids[piece.first : piece.first + piece.n]
-                arrays = [own[p.text], p.row[p.text], p.line, p.key]
+                arrays = [own[p.text], p.row[p.text], p.line, p.bytes, p.key]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), _listed(p.bands(count))], names)
                 none = pa.nulls(piece.n, pa.int64())
-                arrays = [pa.array(own), pa.array(p.row), pa.array(np.diff(p.first)), none]
+                arrays = [pa.array(own), pa.array(p.row), pa.array(np.diff(p.first)), pa.array(np.diff(piece.offsets)), none]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(piece.n, pa.list_(pa.int64()))], names)
 
-    schema = "doc long, row long, line long, key long, bands array<long>"
+    schema = "doc long, row long, line long, bytes long, key long, bands array<long>"
     return docs.select("doc", "text").mapInArrow(found, schema)
 
 
@@ -231,9 +232,10 @@ def repeated_paragraphs(
     chunk_shingles: int = CHUNK_SHINGLES,
     window: int = WINDOW,
 ) -> DataFrame:
-    """``doc_id``, ``n_lines``, ``n_removed``, ``removed``, ``n_cut``, ``spans`` per row of ``doc_id``, ``text``.
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_lines``, ``removed``, ``n_cut``, ``spans`` per row of ``doc_id``, ``text``.
 
-    ``removed`` has the numbers, from 0, of the lines that go: paragraphs that equal or
+    ``n_removed`` of the ``n_bytes`` bytes go: those of removed lines, without their line feeds,
+    and those of spans. ``removed`` has the numbers, from 0, of the lines that go: paragraphs that equal or
     resemble (Jaccard of five-word shingles, ``percent`` or more, also by way of others)
     one at an earlier (doc_id, line). ``spans`` has what goes besides, the bytes ``start`` to
     ``end`` of the UTF-8 text in which it repeats an earlier one over lines or inside of
@@ -271,17 +273,19 @@ def repeated_paragraphs(
     first = tied.groupBy("component").agg(F.min("place").alias("keep"), F.sum("n").alias("places"))
     gone = tied.join(first.where("places > 1"), "component").select("key", "keep")
     removed = settle(
-        places.drop("bands").join(gone, "key").where(place != F.col("keep")).select("doc", "row", "line"), "removed"
+        places.drop("bands").join(gone, "key").where(place != F.col("keep")).select("doc", "row", "line", "bytes"), "removed"
     )
-    lists = removed.groupBy("doc", "row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    # Rows that repeat a doc_id and its text have the same lines.
+    lists = removed.distinct().groupBy("doc", "row").agg(F.array_sort(F.collect_list("line")).alias("removed"), F.sum("bytes").alias("gone"))
     spans = _repeated_spans(texts, removed, least_words, window)
-    rows = found.where("key is null").select("doc", "row", F.col("line").alias("n_lines"))
+    rows = found.where("key is null").select("doc", "row", F.col("line").alias("n_lines"), F.col("bytes").alias("n_bytes"))
     none, uncut = F.array().cast("array<bigint>"), F.array().cast("array<struct<start:bigint,end:bigint>>")
     n_cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return rows.join(lists, ["doc", "row"], "left").join(spans, ["doc", "row"], "left").select(
         F.when(F.col("doc") > _NULL, F.col("doc")).alias("doc_id"),
+        "n_bytes",
+        (F.coalesce("gone", F.lit(0)) + F.coalesce(n_cut, F.lit(0))).cast("long").alias("n_removed"),
         "n_lines",
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"),
         F.coalesce(n_cut, F.lit(0)).cast("long").alias("n_cut"),
         F.coalesce("spans", uncut).alias("spans"),
@@ -290,7 +294,7 @@ def repeated_paragraphs(
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``removed`` names per doc_id (one row per doc_id)."""
-    wanted = removed.where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_gone"))
+    wanted = removed.where("size(removed) > 0").select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_gone"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i.cast("long")))
     joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")

@@ -148,11 +148,21 @@ def test_groups_of_a_large_cap_stay_small(spark, monkeypatch):
     assert largest > 100 and groups >= largest * -(-largest // 20) / 500
 
 
-def test_cap_recall(spark):
-    table = spark.read.parquet("/root/testdata/check_h/embeddings.parquet")
-    rows = [(r.vec_id, list(r.embedding), r.label) for r in table.where("label in (1, 2)").collect()]
+@pytest.mark.parametrize("dims", [16, 128])
+def test_cap_recall(spark, dims):
+    """Clusters whose pairs lie around the threshold, one of them a third of all vectors."""
+    rng = np.random.default_rng(dims)
+    centres = rng.normal(size=(60, dims))
+    # Two vectors of a cluster have a cosine of about 1 / (1 + spread ** 2).
+    spread = np.sqrt(1 / rng.uniform(0.975, 0.999, 60) - 1)
+    rows = []
+    for i in range(3000):
+        c = 0 if i % 3 == 0 else rng.integers(60)
+        rows.append((i, [float(np.float32(x)) for x in centres[c] + rng.normal(size=dims) * spread[c] * (1 + c % 2)], int(c) % 2))
     want = {r[0]: r[1] for r in vectors_brute(rows, 0.98)}
-    got = {r.vec_id: r.n_links for r in caps.embedding_components(table.where("label in (1, 2)")).collect()}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in caps.embedding_components(df).collect()}
+    assert sum(want.values()) > 20_000
     assert all(got[k] <= want[k] for k in want)
     assert sum(got.values()) >= 0.999 * sum(want.values())
 
@@ -210,6 +220,10 @@ def test_wrapped_and_embedded_passages(spark):
     left = {r.doc_id: r.text for r in paragraphs.without_repeats(frame(spark, rows), found).collect()}
     for doc in (0, 4, 5, 6, 90, 91):
         assert got[doc].n_cut == got[doc].n_removed == 0 and left[doc] == dict(rows)[doc]
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        assert got[doc].n_bytes == len((text or "").encode())
+        assert got[doc].n_removed == got[doc].n_cut + sum(len(lines[i].encode()) for i in got[doc].removed)
     assert got[3].n_lines == 5
     for doc in (1, 2, 3):
         text = dict(rows)[doc]
