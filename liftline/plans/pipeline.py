@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from liftline.operators import weather as weather_ops
 from liftline.plans import views as V
 from liftline.plans.oracle_views import SOFIA, day, integer_text, iso, with_views
 from liftline.plans.registry import query
+from liftline.session import scratch_path
 from liftline.sources import zones
 from liftline.sources.tables import conform
 
@@ -675,3 +678,26 @@ def zone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     interim = zones.to_interim(raw, "source", "value")
     return zones.to_processed(interim, "km", "2024-02-01 00:00:00", "v1", "baseline")
+
+
+@query(
+    "b20_versions",
+    with_views(
+        ("ev",),
+        f"""SELECT version, {day('d')} AS event_date, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS id_sum, max(value) AS largest FROM (
+SELECT 1 AS version, CAST(ts AS DATE) AS d, event_id, value FROM ev WHERE k % 2 = 0
+UNION ALL SELECT 2, CAST(ts AS DATE), event_id, value FROM ev WHERE k % 2 = 0 AND day(CAST(ts AS DATE)) % 3 <> 0
+UNION ALL SELECT 2, CAST(ts AS DATE), event_id, value * 2 FROM ev WHERE day(CAST(ts AS DATE)) % 3 = 0) t GROUP BY version, d""",
+    ),
+)
+def zone_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second version replaces every third date; the first one stays readable."""
+    rows = V.event_rows(spark, sf_dir).select("event_id", F.to_date("ts").alias("event_date"), "value", "k")
+    first = rows.where("k % 2 = 0").drop("k")
+    second = rows.where("day(event_date) % 3 = 0").drop("k").withColumn("value", F.col("value") * 2)
+    table = zones.zone_table(spark, scratch_path(spark, "zones"), "processed", "events", first.schema, "event_date")
+    numbers = [table.replace(batch, note) for batch, note in ((first, "first"), (second, "every third date"))]
+    both = reduce(DataFrame.unionByName, [table.read(n).withColumn("version", F.lit(n)) for n in numbers])
+    return both.groupBy("version", "event_date").agg(
+        F.count("*").alias("n_rows"), F.sum("event_id").alias("id_sum"), F.max("value").alias("largest")
+    )

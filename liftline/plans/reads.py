@@ -14,7 +14,9 @@ from liftline.operators import panels, rules
 from liftline.plans import views as V
 from liftline.plans.oracle_views import SOFIA, day, integer_text, iso, number_text, with_views
 from liftline.plans.registry import query
+from liftline.session import scratch_path
 from liftline.sources import json_records, tables
+from liftline.sources.snapshots import Snapshots
 
 GAVE_NONE = readmodels.NO_RUN_VALUE
 
@@ -114,6 +116,41 @@ def _raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.event_rows(spark, sf_dir).select("event_id", raw.alias("raw"))
 
 
+_RUN = T.StructType(
+    [
+        T.StructField("site_id", T.LongType()),
+        T.StructField("forecast_date", T.DateType()),
+        T.StructField("generated_at", T.TimestampType()),
+        T.StructField("run_id", T.LongType()),
+        T.StructField("data_status", T.StringType()),
+        T.StructField("p100", T.DoubleType()),
+        T.StructField("top_drivers", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+@query(
+    "a02_keyed_insert",
+    with_views(
+        ("preds",),
+        f"""SELECT site_id, {day('forecast_date')} AS forecast_date, {iso('generated_at')} AS generated_at, run_id, data_status, p100,
+  n_drivers, 2 AS n_versions FROM preds""",
+    ),
+)
+def keyed_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the runs inserted into a table of the others, then the others once more."""
+    table = Snapshots(spark, scratch_path(spark, "runs"), _RUN, "forecast_date")
+    runs = V.prediction_runs(spark, sf_dir).select(*_RUN.names)
+    first = F.col("run_id") % 3 == 0
+    newest = [F.col("generated_at").desc(), F.col("run_id").desc()]
+    for batch in (runs.where(first), runs.where(~first), runs.where(first)):
+        table.merge(batch, lookups.PREDICTION_KEY, newest)
+    return table.read().select(
+        "site_id", "forecast_date", "generated_at", "run_id", "data_status", "p100",
+        F.size("top_drivers").alias("n_drivers"), F.lit(len(table.versions())).alias("n_versions"),
+    )
+
+
 @query(
     "a03_strict_json_source",
     with_views(

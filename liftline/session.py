@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Runtime settings only, so they can be applied to a session someone else made.
@@ -24,6 +26,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
+
+    A lone local session without one uses its warehouse folder.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", app_name: str = "liftline") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     builder = (

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from liftline import fixed_values as fixed
 from liftline import schemas
+from liftline.sources.snapshots import Snapshots
 
 
 def conform(rows: DataFrame, schema: StructType) -> DataFrame:
@@ -28,23 +29,21 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SITE).parquet(path)
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    """One directory per forecast date; a date that is written again is replaced.
+def prediction_table(spark: SparkSession, path: str) -> Snapshots:
+    """One record per site and date, partitioned by date, with its earlier versions."""
+    return Snapshots(spark, path, schemas.PREDICTION, "forecast_date")
 
-    Rows are first brought together by date; adaptive execution splits a large date by
-    its size, so a date becomes as many files as it needs and not one per task.
+
+def write_predictions(predictions: DataFrame, path: str) -> int:
+    """Inserts by (site_id, forecast_date) and gives the version that then holds.
+
+    The latest ``generated_at`` of a key wins, and of equal ones what is inserted last; all
+    other keys of a date stay. Only dates that change are written.
     """
-    rows = conform(predictions, schemas.PREDICTION)
-    (
-        rows.hint("rebalance", "forecast_date")
-        .sortWithinPartitions("forecast_date", "site_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("forecast_date")
-        .parquet(path)
-    )
-
-
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    table = prediction_table(predictions.sparkSession, path)
+    return table.merge(predictions, ["site_id", "forecast_date"], [F.col("generated_at").desc_nulls_last()])
+
+
+def read_predictions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The declared schema, with partition pruning on ``forecast_date``."""
-    return spark.read.schema(schemas.PREDICTION).parquet(path)
+    return prediction_table(spark, path).read(version)

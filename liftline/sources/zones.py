@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from liftline.functions.text import is_blank
+from liftline.sources.snapshots import Snapshots
 
 ZONES = ("raw", "interim", "processed")
 
@@ -47,18 +49,25 @@ def write_raw(rows: DataFrame, root: str, table: str, batch: str) -> None:
     rows.write.mode("errorifexists").parquet(f"{zone_path(root, 'raw', table)}/batch={batch}")
 
 
-def write_zone(rows: DataFrame, root: str, zone: str, table: str, partitions: list[str]) -> None:
-    """Replaces only the partitions that ``rows`` carries; large ones are split by size."""
+def zone_table(
+    spark: SparkSession, root: str, zone: str, table: str, schema: StructType, partition: str
+) -> Snapshots:
+    """A table of the interim or processed zone with its versions."""
     if zone == "raw":
         raise ValueError("Raw input is immutable; use write_raw.")
-    (
-        rows.hint("rebalance", *partitions)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(zone_path(root, zone, table))
-    )
+    return Snapshots(spark, zone_path(root, zone, table), schema, partition)
+
+
+def write_zone(rows: DataFrame, root: str, zone: str, table: str, partition: str, note: str = "") -> int:
+    """A new version, in which the partitions that ``rows`` carries are replaced by them.
 
+    Earlier versions stay as they were; readers see the new one as a whole or not yet.
+    """
+    return zone_table(rows.sparkSession, root, zone, table, rows.schema, partition).replace(rows, note)
 
-def read_zone(spark: SparkSession, root: str, zone: str, table: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(zone_path(root, zone, table))
+
+def read_zone(
+    spark: SparkSession, root: str, zone: str, table: str, schema: StructType, partition: str, version: int | None = None
+) -> DataFrame:
+    """The latest version of a table, or the one asked for."""
+    return zone_table(spark, root, zone, table, schema, partition).read(version)
