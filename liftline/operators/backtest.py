@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from liftline.operators.flights import DISTANCE_THRESHOLDS
 from liftline.operators.keyed import top_k_per_key
+from liftline.operators.ranks import equal_count_bin, numbered
 
 # Squared errors are summed in whole millionths of a squared percent, so that the
 # sum does not depend on the order of rows. Decimals, as a long would be full after some
@@ -63,15 +64,19 @@ def backtest_report(rows: DataFrame, alarm_pct: float = 50.0) -> DataFrame:
     ).drop("_error")
 
 
-def calibration(rows: DataFrame) -> DataFrame:
-    """Ten bins of equal width per threshold: mean chance and share reached.
+def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """Bins of equal count per threshold, by chance: their range, mean chance and share reached.
 
-    Bins of fixed width need no global sort, as equal-count bins would.
+    Equal chances are told apart by site and date, so a bin is the one that sorting all rows
+    of a threshold would give; see :func:`liftline.operators.ranks.numbered`.
     """
-    bin_ = F.least(F.floor(F.col("chance_pct") / 10), F.lit(9)).cast("int")
-    counted = rows.groupBy("threshold_km", bin_.alias("bin")).agg(
+    placed = numbered(rows, ["threshold_km"], ["chance_pct", "site_id", "forecast_date"])
+    bin_ = equal_count_bin(F.col("number"), F.col("total"), bins)
+    counted = placed.groupBy("threshold_km", bin_.alias("bin")).agg(
         F.count("*").alias("n_examples"),
         F.count_if(F.col("reached")).alias("n_reached"),
+        F.min("chance_pct").alias("least_chance_pct"),
+        F.max("chance_pct").alias("largest_chance_pct"),
         F.sum(_whole(F.col("chance_pct"))).alias("_chance"),
     )
     return counted.withColumns(

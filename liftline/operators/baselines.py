@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftline.operators.flights import DISTANCE_THRESHOLDS
@@ -45,29 +45,30 @@ def bucketed(days: DataFrame) -> DataFrame:
 BUCKET = ["cape_bucket", "spread_bucket"]
 
 
-def bucket_probabilities(labelled: DataFrame) -> DataFrame:
-    """Share of strong days per bucket with additive smoothing, and the example count.
+def chances_from_earlier_days(days: DataFrame, best: DataFrame) -> DataFrame:
+    """Probabilities per site and date from all days before it, of all sites.
 
+    The share of strong days in the bucket with additive smoothing, and the example count.
     Days that reach a longer distance also reach the shorter ones, so the three
-    probabilities are nested. Few examples give low confidence.
+    probabilities are nested. A bucket without an earlier day gives no chance, few examples
+    give low confidence. No day is counted for itself or for another of its date.
+
+    Outcomes are counted per bucket and date first; running sums over the dates of a bucket
+    then give the counts before each date. The grid has at most 49 buckets with the
+    null ones, so this is a table of calendar size whatever the number of days.
     """
-    counts = bucketed(labelled).groupBy(*BUCKET).agg(
-        F.count("*").alias("n_examples"),
-        *[F.count_if(F.col("best_km") >= t).alias(f"_{t}") for t in DISTANCE_THRESHOLDS],
-    )
-    n = F.col("n_examples")
-    chances = {f"p{t}": (F.col(f"_{t}") + 1) / (n + 2) * 100 for t in DISTANCE_THRESHOLDS}
-    level = F.when(n < 30, "low").when(n < 200, "medium").otherwise("high")
-    return counts.select(
-        *BUCKET, "n_examples", *[c.alias(name) for name, c in chances.items()],
-        level.alias("confidence_level"),
+    labelled = bucketed(label_days(days, best))
+    counts = labelled.groupBy(*BUCKET, "valid_date").agg(
+        F.count("*").alias("_n"), *[F.count_if(F.col("best_km") >= t).alias(f"_{t}") for t in DISTANCE_THRESHOLDS]
     )
-
-
-def score_days(days: DataFrame, probabilities: DataFrame) -> DataFrame:
-    """Probabilities per site and date; a bucket without examples gives no chance."""
-    # The bucket table has at most 36 rows, or 49 with null buckets, by its grid.
-    return bucketed(days).join(F.broadcast(probabilities), BUCKET, "left")
+    earlier = Window.partitionBy(*BUCKET).orderBy("valid_date").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*BUCKET, "valid_date", *[F.sum(c).over(earlier).alias(c) for c in ("_n", *[f"_{t}" for t in DISTANCE_THRESHOLDS])])
+    n = F.col("h._n")
+    chances = {f"p{t}": (F.col(f"h._{t}") + 1) / (n + 2) * 100 for t in DISTANCE_THRESHOLDS}
+    level = F.when(n < 30, "low").when(n < 200, "medium").when(n.isNotNull(), "high")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in BUCKET] + [F.col("d.valid_date") == F.col("h.valid_date")]
+    joined = labelled.drop("best_km").alias("d").join(before.alias("h"), same, "left")
+    return joined.select("d.*", n.alias("n_examples"), *[c.alias(name) for name, c in chances.items()], level.alias("confidence_level"))
 
 
 # --- Overdevelopment -------------------------------------------------------------

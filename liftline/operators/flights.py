@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftline import fixed_values as fixed
@@ -69,31 +69,47 @@ def ingest_flights(raw: DataFrame) -> DataFrame:
     return parsed.select("record", issues.alias("issues"))
 
 
-DUPLICATE_KEY = ["site_id", "flight_date", "pilot_key", "distance_tenths"]
+DUPLICATE_KEY = ["site_id", "flight_date", "pilot_key"]
+TOLERANCE_M = 100
 
 
-def without_duplicates(flights: DataFrame) -> DataFrame:
-    """One row per (site, date, pilot, distance to 0.1 km): the earliest retrieved.
+def without_duplicates(flights: DataFrame, tolerance_m: int = TOLERANCE_M) -> DataFrame:
+    """One row per flight: of records of one site, date and pilot the earliest retrieved.
 
-    ``copies`` counts the rows of the key and ``untraceable`` those without a source
-    URL. The aggregation starts in the input tasks, so many copies of one flight do
-    not meet in one task.
+    Records whose distances differ by up to ``tolerance_m`` metres are one flight, also by
+    way of others between them; records without a distance are one flight of their own.
+    ``copies`` counts the records, ``untraceable`` those without a source URL, ``least_km`` and
+    ``largest_km`` are the ends of the chain.
+
+    Distances are cut into bands as wide as the tolerance, so records of a band belong
+    together, and two neighbouring bands if the gap between their ends is within it. Bands
+    are aggregated in the input tasks and chained by a window over bands, never over records.
     """
-    keyed = flights.withColumn(
-        "distance_tenths", F.round(F.col("distance_km") * 10).cast("bigint")
-    )
-    kept = F.min_by(
-        F.struct("flight_id", "distance_km", "source_url", "retrieved_at"),
-        F.struct("retrieved_at", "flight_id"),
-    )
-    return (
-        keyed.groupBy(*DUPLICATE_KEY)
+    metres = F.round(F.col("distance_km") * 1000).cast("long")
+    kept = F.struct("retrieved_at", "flight_id", "distance_km", "source_url")
+    bands = (
+        flights.withColumn("_m", metres)
+        .groupBy(*DUPLICATE_KEY, F.floor(F.col("_m") / tolerance_m).alias("_band"))
         .agg(
-            kept.alias("kept"),
+            F.min(kept).alias("kept"),
             F.count("*").alias("copies"),
             F.count_if(F.col("source_url").isNull()).alias("untraceable"),
+            F.min("_m").alias("_low"), F.max("_m").alias("_high"),
+        )
+    )
+    along = Window.partitionBy(*DUPLICATE_KEY).orderBy(F.col("_band").asc_nulls_first())
+    apart = F.coalesce(F.col("_low") - F.lag("_high").over(along) > tolerance_m, F.lit(True))
+    chains = bands.withColumn("_apart", apart.cast("int")).withColumn("_chain", F.sum("_apart").over(along))
+    return (
+        chains.groupBy(*DUPLICATE_KEY, "_chain")
+        .agg(
+            F.min("kept").alias("kept"), F.sum("copies").alias("copies"), F.sum("untraceable").alias("untraceable"),
+            (F.min("_low") / 1000).alias("least_km"), (F.max("_high") / 1000).alias("largest_km"),
+        )
+        .select(
+            *DUPLICATE_KEY, "kept.flight_id", "kept.distance_km", "kept.source_url", "kept.retrieved_at",
+            "copies", "untraceable", "least_km", "largest_km",
         )
-        .select("site_id", "flight_date", "pilot_key", "kept.*", "copies", "untraceable")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline import schemas
-from liftline.operators import alerts, backtest, baselines
+from liftline.operators import alerts, asof, backtest, baselines
 from liftline.operators import flights as flight_ops
 from liftline.operators import weather as weather_ops
 from liftline.plans import views as V
@@ -83,27 +83,33 @@ def distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COPIES_SQL = """SELECT l_orderkey * 8 + l_linenumber AS flight_id, l_orderkey % 15 + 1 AS site_id,
-  DATE '2024-01-01' + CAST(l_orderkey % 30 AS INT) AS flight_date, l_orderkey % 1000 AS pilot_key,
-  CAST(l_orderkey % 4000 AS DOUBLE) / 10 AS distance_km,
+  DATE '2024-01-01' + CAST(l_orderkey % 30 AS INT) AS flight_date, l_orderkey % 300 AS pilot_key,
+  CASE WHEN l_orderkey % 11 <> 5 THEN CAST((l_orderkey % 4000) * 100 + l_linenumber * l_linenumber * 13 AS DOUBLE) / 1000 END AS distance_km,
   CASE WHEN l_linenumber <> 7 THEN 'https://flights.example/' || l_orderkey || '/' || l_linenumber END AS source_url,
   l_shipdate AS retrieved_at FROM lineitem"""
 
 
 @query(
     "b03_duplicate_flights",
-    f"""SELECT site_id, {day('flight_date')} AS flight_date, pilot_key, flight_id, distance_km, source_url,
-  {iso('retrieved_at')} AS retrieved_at, copies, untraceable FROM (
-SELECT *, count(*) OVER w AS copies, count(*) FILTER (WHERE source_url IS NULL) OVER w AS untraceable,
-  row_number() OVER (PARTITION BY site_id, flight_date, pilot_key, round(distance_km * 10) ORDER BY retrieved_at, flight_id) AS rn
-FROM ({_COPIES_SQL}) c WINDOW w AS (PARTITION BY site_id, flight_date, pilot_key, round(distance_km * 10))) t WHERE rn = 1""",
+    f"""SELECT site_id, {day('flight_date')} AS flight_date, pilot_key, arg_min(flight_id, (retrieved_at, flight_id)) AS flight_id,
+  first(distance_km ORDER BY retrieved_at, flight_id) AS distance_km, first(source_url ORDER BY retrieved_at, flight_id) AS source_url,
+  {iso('min(retrieved_at)')} AS retrieved_at, count(*) AS copies, count(*) FILTER (WHERE source_url IS NULL) AS untraceable,
+  min(m) / 1000 AS least_km, max(m) / 1000 AS largest_km FROM (
+SELECT *, sum(CASE WHEN m - before <= 100 OR (m IS NULL AND place > 1) THEN 0 ELSE 1 END) OVER w AS chain FROM (
+  SELECT *, lag(m) OVER w AS before, row_number() OVER w AS place FROM (SELECT *, CAST(round(distance_km * 1000) AS BIGINT) AS m FROM ({_COPIES_SQL}) a) b
+  WINDOW w AS (PARTITION BY site_id, flight_date, pilot_key ORDER BY m NULLS FIRST, flight_id)) c
+WINDOW w AS (PARTITION BY site_id, flight_date, pilot_key ORDER BY m NULLS FIRST, flight_id)) d
+GROUP BY site_id, flight_date, pilot_key, chain""",
 )
 def duplicate_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one order lie 39 to 169 m apart, so they form chains longer than the tolerance."""
     order, line = F.col("l_orderkey"), F.col("l_linenumber")
     url = F.concat(F.lit("https://flights.example/"), order.cast("string"), F.lit("/"), line.cast("string"))
+    metres = (order % 4000) * 100 + line * line * 13
     copies = V.table(spark, sf_dir, "lineitem").select(
         (order * 8 + line).alias("flight_id"), (order % 15 + 1).alias("site_id"),
         F.date_add(F.lit("2024-01-01").cast("date"), (order % 30).cast("int")).alias("flight_date"),
-        (order % 1000).alias("pilot_key"), ((order % 4000).cast("double") / 10).alias("distance_km"),
+        (order % 300).alias("pilot_key"), F.when(order % 11 != 5, metres.cast("double") / 1000).alias("distance_km"),
         F.when(line != 7, url).alias("source_url"), F.col("l_shipdate").cast("timestamp").alias("retrieved_at"),
     )
     return flight_ops.without_duplicates(copies)
@@ -291,6 +297,38 @@ def flights_with_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LAUNCHED_SQL = """SELECT flight_id, CASE WHEN pilot_key % 3 = 0 THEN 1 ELSE site_id END AS site_id, flight_date, distance_km,
+  CASE WHEN pilot_key % 50 <> 0 THEN flight_date::TIMESTAMP + to_minutes(CAST(pilot_key % 97 * 17 - 800 AS BIGINT)) END AS launched_at FROM flights_x"""
+
+
+@query(
+    "b08_flights_as_of_launch",
+    with_views(
+        ("flights_x", "weather_x"),
+        f"""SELECT l.flight_id, l.site_id, {iso('l.launched_at')} AS launched_at, {iso('w.model_run_time')} AS model_run_time, w.temp_c, w.cape_j_per_kg
+FROM launched l ASOF LEFT JOIN runs_x w ON w.site_id = l.site_id AND w.valid_date = l.flight_date AND l.launched_at >= w.model_run_time""",
+        launched=_LAUNCHED_SQL,
+        runs_x=f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, valid_date, model_run_time
+  ORDER BY {", ".join(f"{name} DESC" for name in _NEWEST[1:])}) AS rn FROM weather_x) t WHERE rn = 1""",
+    ),
+)
+def flights_as_of_launch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each flight with the run for its date that was known when it was launched; a third are at one site."""
+    pilot = F.col("pilot_key")
+    minutes = pilot % 97 * 17 - 800
+    midnight = F.unix_timestamp(F.col("flight_date").cast("timestamp"))
+    launched = V.flights(spark, sf_dir).select(
+        "flight_id", F.when(pilot % 3 == 0, 1).otherwise(F.col("site_id")).cast("long").alias("site_id"),
+        F.col("flight_date").alias("valid_date"), "distance_km",
+        F.when(pilot % 50 != 0, F.timestamp_seconds(midnight + minutes * 60)).alias("launched_at"),
+    )
+    found = asof.as_of_join(
+        launched, V.weather(spark, sf_dir), ["site_id", "valid_date"], "launched_at", "model_run_time",
+        ["model_run_time", "temp_c", "cape_j_per_kg"], _NEWEST[1:],
+    )
+    return found.select("flight_id", "site_id", "launched_at", "found.model_run_time", "found.temp_c", "found.cape_j_per_kg")
+
+
 @query(
     "b09_level_features",
     f"""SELECT o.o_orderkey AS sounding_id, round(lapse, 6) AS lapse_rate_c_per_km, round(shear, 6) AS wind_shear_mps_per_km, spread AS dew_point_spread_c
@@ -348,27 +386,22 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known_weather(spark, sf_dir, 0).select("site_id", "valid_date", "temp_c", "dew_point_c", "cape_j_per_kg")
 
 
-# Counted on the days before, used from this day on: no day is scored with its own outcome.
-SCORED_FROM = "2024-01-21"
-
 _SCORED = {
     "known": _known_sql(0),
     "best": _BEST_SQL,
     "bucketed": _BUCKETED_SQL,
-    "scored": f"""SELECT b.*, h.n, (n100 + 1) / (n + 2) * 100 AS p100, (n200 + 1) / (n + 2) * 100 AS p200, (n300 + 1) / (n + 2) * 100 AS p300
-  FROM bucketed b LEFT JOIN (SELECT cape_bucket, spread_bucket, count(*) AS n, count(*) FILTER (WHERE best_km >= 100) AS n100,
-    count(*) FILTER (WHERE best_km >= 200) AS n200, count(*) FILTER (WHERE best_km >= 300) AS n300
-    FROM bucketed WHERE valid_date < DATE '{SCORED_FROM}' GROUP BY cape_bucket, spread_bucket) h
-  ON h.cape_bucket = b.cape_bucket AND h.spread_bucket = b.spread_bucket WHERE b.valid_date >= DATE '{SCORED_FROM}'""",
+    "counted": """SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE best_km >= 100) OVER w AS n100,
+    count(*) FILTER (WHERE best_km >= 200) OVER w AS n200, count(*) FILTER (WHERE best_km >= 300) OVER w AS n300
+  FROM bucketed WINDOW w AS (PARTITION BY cape_bucket, spread_bucket ORDER BY valid_date
+    RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""",
+    "scored": """SELECT * EXCLUDE (n), nullif(n, 0) AS n, (n100 + 1) / nullif(n + 2, 2) * 100 AS p100, (n200 + 1) / nullif(n + 2, 2) * 100 AS p200,
+  (n300 + 1) / nullif(n + 2, 2) * 100 AS p300 FROM counted""",
 }
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days, split = _days(spark, sf_dir), F.lit(SCORED_FROM).cast("date")
     best = baselines.best_distances(V.flights(spark, sf_dir))
-    history = days.where(F.col("valid_date") < split)
-    probabilities = baselines.bucket_probabilities(baselines.label_days(history, best))
-    return baselines.score_days(days.where(F.col("valid_date") >= split), probabilities)
+    return baselines.chances_from_earlier_days(_days(spark, sf_dir), best)
 
 
 @query(
@@ -528,7 +561,7 @@ FROM tried GROUP BY threshold_km) t""",
     ),
 )
 def baseline_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The baseline of B11, counted on earlier days, judged on the days it was given for."""
+    """The baseline of B11, for every day from the days before it, judged on what was flown."""
     scored = _scored(spark, sf_dir).withColumnRenamed("valid_date", "forecast_date")
     best = baselines.best_distances(V.flights(spark, sf_dir))
     return backtest.backtest_report(backtest.judged(scored, best))
@@ -538,10 +571,11 @@ def baseline_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     "b15_calibration",
     with_views(
         _BACKTEST_VIEWS,
-        """SELECT threshold_km, bin, n_examples, n_reached, CAST(c AS DOUBLE) / n_examples / 1000000 AS mean_chance_pct,
+        """SELECT threshold_km, bin, n_examples, n_reached, least_chance_pct, largest_chance_pct, CAST(c AS DOUBLE) / n_examples / 1000000 AS mean_chance_pct,
   n_reached / n_examples AS reached_share FROM (
-SELECT threshold_km, CAST(least(floor(chance / 10), 9) AS INT) AS bin, count(*) AS n_examples,
-  count(*) FILTER (WHERE reached) AS n_reached, CAST(sum(CAST(floor(chance * 1000000) AS BIGINT)) AS BIGINT) AS c FROM judged GROUP BY 1, 2) t""",
+SELECT threshold_km, CAST(bin AS INT) AS bin, count(*) AS n_examples, count(*) FILTER (WHERE reached) AS n_reached,
+  min(chance) AS least_chance_pct, max(chance) AS largest_chance_pct, CAST(sum(CAST(floor(chance * 1000000) AS BIGINT)) AS BIGINT) AS c
+FROM (SELECT *, ntile(10) OVER (PARTITION BY threshold_km ORDER BY chance, site_id, forecast_date) AS bin FROM judged) j GROUP BY threshold_km, bin) t""",
         **_BACKTEST,
     ),
 )
