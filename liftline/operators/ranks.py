@@ -18,10 +18,10 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], number: str = "
     shared scratch folder, since the ranges must be the same for counts and numbers.
     """
     path = scratch_path(rows.sparkSession, "ranges")
-    dealt = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in [*keys, *order]])
-    dealt.withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    schema = dealt.withColumn("_range", F.spark_partition_id()).schema
-    dealt = rows.sparkSession.read.schema(schema).parquet(path)
+    ranged = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in [*keys, *order]])
+    ranged = ranged.withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    dealt = rows.sparkSession.read.schema(ranged.schema).parquet(path)
 
     part = [*keys, "_range"]
     counts = dealt.groupBy(*part).agg(F.count("*").alias("_n"))

@@ -667,6 +667,102 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.watchlist(_fresh(spark, sf_dir)).select("created_date", "site_id", "n_alerts", "text")
 
 
+@query(
+    "b18_daily_list",
+    with_views(
+        ("runs",),
+        f"""SELECT {day('created_date')} AS created_date, CAST(page AS INT) AS page, CAST(ceil(n_alerts / 20) AS INT) AS n_pages, n_alerts,
+  min(number) AS first_number, string_agg(number || '. ' || message, chr(10) ORDER BY number) AS text
+FROM (SELECT *, (number - 1) // 20 + 1 AS page FROM (SELECT *, count(*) OVER (PARTITION BY created_date) AS n_alerts,
+  row_number() OVER (PARTITION BY created_date ORDER BY site_id, forecast_date, threshold_km, run_id) AS number FROM fresh) n) p
+GROUP BY created_date, page, n_alerts""",
+        raised=_ALERTS_SQL, fresh=_FRESH_SQL,
+    ),
+)
+def daily_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.daily_list(_fresh(spark, sf_dir), 20)
+
+
+_RULES_SQL = """SELECT s_suppkey * 3 + i AS rule_id, s_suppkey % 40 + 1 AS site_id, i * 100 AS threshold_km, CAST(s_suppkey % 45 + 5 AS DOUBLE) AS threshold_pct,
+    CASE WHEN s_suppkey % 4 <> 1 THEN DATE '2024-01-01' + CAST(s_suppkey * 7 % 40 AS INT) END AS valid_from,
+    CASE WHEN s_suppkey % 5 <> 2 THEN DATE '2024-01-08' + CAST(s_suppkey * 11 % 60 AS INT) END AS valid_to FROM supplier, (VALUES (1), (2), (3)) AS v(i)
+  UNION ALL SELECT -1 - r_regionkey, NULL, 100 + 100 * (r_regionkey % 3), 70.0::DOUBLE - 10 * r_regionkey, DATE '2024-01-03' + CAST(r_regionkey * 4 AS INT), NULL FROM region"""
+
+
+@query(
+    "b16_alerts_by_table",
+    with_views(
+        ("runs",),
+        f"""SELECT run_id, site_id, {day('forecast_date')} AS forecast_date, {day('created_date')} AS created_date, threshold_km, threshold_pct, rule_id, chance_pct,
+  {integer_text('chance_pct')} || '% chance of ' || threshold_km || '+ km on ' || {day('forecast_date')} || ' at site ' || site_id || '.' AS message
+FROM (SELECT c.*, r.threshold_pct, r.rule_id, row_number() OVER (PARTITION BY c.run_id, c.threshold_km
+    ORDER BY r.site_id IS NOT NULL DESC, r.valid_from DESC NULLS LAST, r.rule_id DESC) AS rn
+  FROM chances c JOIN rules r ON r.threshold_km = c.threshold_km AND coalesce(r.site_id = c.site_id, true)
+    AND coalesce(r.valid_from <= c.created_date, true) AND coalesce(r.valid_to > c.created_date, true)) t
+WHERE rn = 1 AND chance_pct >= threshold_pct AND date_diff('day', created_date, forecast_date) >= 1""",
+        rules=_RULES_SQL,
+        chances=f"""SELECT run_id, site_id, forecast_date, CAST({_CREATED} AS DATE) AS created_date, t.km AS threshold_km, t.chance AS chance_pct
+  FROM runs CROSS JOIN LATERAL (VALUES (100, p100), (200, p200), (300, p300)) AS t(km, chance)""",
+    ),
+)
+def alerts_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of sites and of all sites, whose days overlap, are open or never hold."""
+    key, i = F.col("s_suppkey"), F.col("i")
+    start, end = F.lit("2024-01-01").cast("date"), F.lit("2024-01-08").cast("date")
+    of_site = V.table(spark, sf_dir, "supplier").withColumn("i", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select(
+        (key * 3 + i).alias("rule_id"), (key % 40 + 1).alias("site_id"), (i * 100).alias("threshold_km"),
+        (key % 45 + 5).cast("double").alias("threshold_pct"),
+        F.when(key % 4 != 1, F.date_add(start, (key * 7 % 40).cast("int"))).alias("valid_from"),
+        F.when(key % 5 != 2, F.date_add(end, (key * 11 % 60).cast("int"))).alias("valid_to"),
+    )
+    region = F.col("r_regionkey")
+    of_all = V.table(spark, sf_dir, "region").select(
+        (-1 - region).alias("rule_id"), F.lit(None).cast("long").alias("site_id"), (100 + 100 * (region % 3)).cast("int").alias("threshold_km"),
+        (70 - 10 * region).cast("double").alias("threshold_pct"),
+        F.date_add(F.lit("2024-01-03").cast("date"), (region * 4).cast("int")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
+    )
+    raised = alerts.raise_alerts_by_table(V.prediction_runs(spark, sf_dir), of_site.unionByName(of_all))
+    return raised.drop("generated_at")
+
+
+def _sent_sql(batch: int, where: str, sent: str | None) -> str:
+    """New alerts of one batch against the latest ones sent before it."""
+    known = f"LEFT JOIN {sent} s ON s.site_id = c.site_id AND s.forecast_date = c.forecast_date AND s.threshold_km = c.threshold_km" if sent else ""
+    open_ = "WHERE s.run_id IS NULL OR c.chance_pct >= s.chance_pct + 10" if sent else ""
+    again = "s.run_id IS NOT NULL" if sent else "false"
+    return f"""SELECT * EXCLUDE (rn) FROM (SELECT c.*, {again} AS refreshed, 'day {batch}' AS batch, row_number() OVER (
+    PARTITION BY c.site_id, c.forecast_date, c.threshold_km ORDER BY c.generated_at, c.run_id) AS rn
+  FROM (SELECT * FROM raised WHERE {where}) c {known} {open_}) t WHERE rn = 1"""
+
+
+def _kept_sql(new: str, old: str) -> str:
+    return f"SELECT * FROM {new} UNION ALL SELECT * FROM {old} o WHERE NOT EXISTS (SELECT 1 FROM {new} n WHERE n.site_id = o.site_id AND n.forecast_date = o.forecast_date AND n.threshold_km = o.threshold_km)"
+
+
+@query(
+    "b17_sent_alerts",
+    with_views(
+        ("runs",),
+        f"""SELECT run_id, site_id, {day('forecast_date')} AS forecast_date, {day('created_date')} AS created_date, threshold_km, chance_pct, refreshed, batch
+FROM (SELECT * FROM sent1 UNION ALL SELECT * FROM sent2 UNION ALL SELECT * FROM sent3) t""",
+        raised=_ALERTS_SQL,
+        sent1=_sent_sql(1, "created_date < DATE '2024-01-10'", None),
+        sent2=_sent_sql(2, "created_date >= DATE '2024-01-10' AND created_date < DATE '2024-01-20'", "sent1"),
+        kept2=_kept_sql("sent2", "sent1"),
+        sent3=_sent_sql(3, "created_date >= DATE '2024-01-20'", "kept2"),
+    ),
+)
+def sent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches against a growing store; the second is run twice and sent once."""
+    raised, created = _raised(spark, sf_dir), F.col("created_date")
+    store = alerts.sent_alerts(spark, scratch_path(spark, "sent"))
+    ten, twenty = F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date")
+    batches = [raised.where(created < ten), raised.where((created >= ten) & (created < twenty)), raised.where(created >= twenty)]
+    sent = [alerts.send_alerts(batches[n - 1], store, f"day {n}") for n in (1, 2, 2, 3)]
+    rows = reduce(DataFrame.unionByName, [sent[0], sent[2], sent[3]])
+    return rows.select("run_id", "site_id", "forecast_date", "created_date", "threshold_km", "chance_pct", "refreshed", "batch")
+
+
 def _change_sql(column: str, name: str) -> str:
     before = f"lag({column}) OVER w"
     moved = (

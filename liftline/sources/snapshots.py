@@ -64,14 +64,23 @@ class Snapshots:
         rows = self.spark.read.schema(_MANIFEST).json(f"{self.root}/_versions/{version:010d}.json")
         return [(r.commit, r.value) for r in rows.where("commit is not null").collect()]
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The latest version, or the one asked for.
+    def notes(self) -> dict[int, str]:
+        """What each version was published with."""
+        if not self.versions():
+            return {}
+        rows = self.spark.read.schema(_MANIFEST).json(f"{self.root}/_versions").where("commit is null")
+        name = F.regexp_extract("_metadata.file_name", r"^(\d+)\.json$", 1).cast("int")
+        return {r.version: r.note for r in rows.select(name.alias("version"), "note").collect()}
+
+    def read(self, version: int | None = None, only: list[str | None] | None = None) -> DataFrame:
+        """The latest version, or the one asked for; with ``only``, the partitions of these values.
 
         Which commit holds which partition is a condition on partition columns, so files of
         other commits are left out when the query is planned, like those of partitions that
         the caller's own filters exclude.
         """
-        return self._read(self._entries(version))
+        entries = self._entries(version)
+        return self._read(entries if only is None else [e for e in entries if e[1] in set(only)])
 
     def _read(self, entries: list[tuple[str, str | None]]) -> DataFrame:
         if not entries:
@@ -91,7 +100,7 @@ class Snapshots:
         rows = reader.parquet(*[f"{self.root}/data/{COMMIT}={commit}" for commit in sorted(held)])
         return rows.where(reduce(Column.__or__, map(of, sorted(held)))).select(*[f"`{n}`" for n in self.schema.names])
 
-    def _values(self, rows: DataFrame) -> list[str | None]:
+    def values_in(self, rows: DataFrame) -> list[str | None]:
         """The different partition values of ``rows`` as text."""
         return [r[0] for r in rows.select(F.col(f"`{self.partition}`").cast("string")).distinct().collect()]
 
@@ -118,7 +127,7 @@ class Snapshots:
         # Renaming a file to one that exists fails in a distributed store; a local disk would overwrite.
         if fs.exists(target) or not fs.rename(part, target):
             raise VersionTaken(f"Version {version} was published by another job.")
-        fs.delete(folder, True)
+        self._delete(draft)
         return version
 
     def replace(self, rows: DataFrame, note: str = "") -> int:
@@ -126,48 +135,52 @@ class Snapshots:
         version = (self.versions() or [0])[-1]
         old, commit = self._entries(version), self._write(_conform(rows, self.schema))
         # Read back what was written: ``rows`` need not give the same again.
-        new = self._values(self._commit(commit))
+        new = self.values_in(self._commit(commit))
         return self._publish(version + 1, [e for e in old if e[1] not in set(new)] + [(commit, v) for v in new], note)
 
-    def _commit(self, commit: str) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{COMMIT}={commit}")
+    def _commit(self, commit: str, *more: T.StructField) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema.fields, *more])).parquet(f"{self.root}/data/{COMMIT}={commit}")
 
     def merge(self, rows: DataFrame, keys: list[str], newest_first: list[Column], note: str = "") -> int:
         """A new version with ``rows`` inserted by key; the newest row of a key wins.
 
         Of rows that ``newest_first`` ranks alike an inserted one wins, and of several the
-        one of least hash. Only the partitions of ``rows`` are read, and of these only the ones in which
-        something changes are written; the others are taken over as they are. If nothing
-        changes there is no new version, so a batch can be run twice. Rows with a null key
-        are refused.
+        one of least hash. Only the partitions of ``rows`` are read, and of these only the
+        ones in which something changes belong to the new version; the others are taken over
+        as they are. If nothing changes there is no new version, so a batch can be run twice.
+        Rows with a null key are refused. ``rows`` are computed once, into a draft.
         """
-        rows = _conform(rows, self.schema)
+        draft = f"{self.root}/_drafts/{uuid.uuid4().hex}"
+        _conform(rows, self.schema).write.parquet(draft)
+        rows = self.spark.read.schema(self.schema).parquet(draft)
+        version = (self.versions() or [0])[-1]
+        text = F.col(f"`{self.partition}`").cast("string").alias("value")
         empty = reduce(Column.__or__, [F.col(f"`{k}`").isNull() for k in [*keys, self.partition]])
-        if not rows.where(empty).isEmpty():
+        given = rows.groupBy(text).agg(F.count_if(empty).alias("empty")).collect()
+        if any(r.empty for r in given):
             raise ValueError(f"A row without {', '.join(keys)} cannot be inserted.")
-        version = (self.versions() or [0])[-1]
-        entries, wanted = self._entries(version), set(self._values(rows))
-        old = self._read([e for e in entries if e[1] in wanted])
+
+        old = self.read(version, [r.value for r in given])
         names = [f"`{n}`" for n in self.schema.names]
         both = old.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
         # Equal rows have one hash, so a row that is inserted again counts as the old one.
         both = both.withColumn("_hash", F.xxhash64(*names))
-        again = both.groupBy(*[f"`{k}`" for k in keys], "_hash").agg(F.min("_new").alias("_known"))
+        held = both.groupBy(*[f"`{k}`" for k in keys], "_hash").agg(F.min("_new").alias("_known"))
         order = [*newest_first, F.col("_new").desc(), F.col("_hash")]
-        won = latest_per_key(both, keys, order).join(again, [*keys, "_hash"])
-        commit = self._write_changed(won)
-        if commit is None:
+        won = latest_per_key(both, keys, order).join(held, [*keys, "_hash"])
+        commit = self._write(won.select(*names, "_known"))
+        written = self._commit(commit, T.StructField("_known", T.IntegerType()))
+        new = [r.value for r in written.groupBy(text).agg(F.max("_known").alias("new")).collect() if r.new]
+        self._delete(draft)
+        if not new:
+            self._delete(f"{self.root}/data/{COMMIT}={commit}")
             return version
-        new = self._values(self._commit(commit))
-        return self._publish(version + 1, [e for e in entries if e[1] not in set(new)] + [(commit, v) for v in new], note)
-
-    def _write_changed(self, won: DataFrame) -> str | None:
-        """Writes the partitions in which a row is new (``_known`` = 1); None without one."""
-        changed = self._values(won.where("_known = 1"))
-        if not changed:
-            return None
-        text = F.col(f"`{self.partition}`").cast("string")
-        return self._write(won.where(text.isin(changed)).select(*[f"`{n}`" for n in self.schema.names]))
+        kept = [e for e in self._entries(version) if e[1] not in set(new)]
+        return self._publish(version + 1, kept + [(commit, v) for v in new], note)
+
+    def _delete(self, path: str) -> None:
+        fs, folder = _path(self.spark, path)
+        fs.delete(folder, True)
 
 
 def _conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
