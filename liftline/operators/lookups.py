@@ -32,6 +32,17 @@ def point_lookup(lookups: DataFrame, predictions: DataFrame) -> DataFrame:
     return skew_safe_join(lookups, predictions, PREDICTION_KEY, "inner")
 
 
+def point_lookup_in_place(lookups: DataFrame, bucketed: DataFrame) -> DataFrame:
+    """:func:`point_lookup` in a table of :func:`liftline.sources.tables.save_bucketed`, which is not moved.
+
+    The different keys of the lookups, reduced in the input tasks, are shuffled to the
+    buckets; only the rows that are found go on to the lookups.
+    """
+    keys = lookups.select(*PREDICTION_KEY).distinct()
+    found = bucketed.join(keys, PREDICTION_KEY, "left_semi")
+    return skew_safe_join(lookups, found, PREDICTION_KEY, "inner")
+
+
 def read_site_lists(requests: DataFrame, predictions: DataFrame, request_id: str) -> DataFrame:
     """Per request an ordered list ``site_ids`` for one ``forecast_date``.
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftline import schemas
-from liftline.operators import alerts, asof, backtest, baselines
+from liftline.operators import alerts, asof, backtest, baselines, clusters, names
 from liftline.operators import flights as flight_ops
 from liftline.operators import weather as weather_ops
+from liftline.operators.keyed import skew_safe_join
 from liftline.plans import views as V
 from liftline.plans.oracle_views import SOFIA, day, integer_text, iso, with_views
 from liftline.plans.registry import query
@@ -155,6 +156,99 @@ def launch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flight_ops.assign_launches(flown, launches, names)
 
 
+_STARTS_SQL = """SELECT o_orderkey AS flight_id, 41.0::DOUBLE + CAST(o_custkey % 640 AS DOUBLE) / 128 AS lat,
+  CASE WHEN o_custkey % 9 <> 0 THEN 178.0::DOUBLE + CAST(o_custkey % 730 AS DOUBLE) / 128 END AS lon, o_custkey FROM orders"""
+
+
+def _cell_sql(lat: str, lon: str, degrees: float) -> str:
+    around = round(360 / degrees)
+    column = f"CAST(floor(({lon} + 180) / {degrees}::DOUBLE) AS BIGINT)"
+    return f"CAST(floor(({lat} + 90) / {degrees}::DOUBLE) AS BIGINT) * {around} + (({column} % {around}) + {around}) % {around}"
+
+
+def _cluster_sql(name: str, degrees: float, least: int) -> dict[str, str]:
+    """Cells of a cluster by reachability over all pairs of touching cores."""
+    around = round(360 / degrees)
+    touch = f"""abs(a.cell // {around} - b.cell // {around}) <= 1 AND (abs(a.cell % {around} - b.cell % {around}) <= 1
+    OR abs(a.cell % {around} - b.cell % {around}) = {around} - 1)"""
+    return {
+        f"{name}_cells": f"SELECT {_cell_sql('lat', 'lon', degrees)} AS cell, count(*) AS n FROM starts WHERE lon IS NOT NULL GROUP BY 1",
+        f"{name}_reach": f"""SELECT cell AS a, cell AS b FROM {name}_cells WHERE n >= {least}
+  UNION SELECT r.a, b.cell FROM {name}_reach r JOIN {name}_cells a ON a.cell = r.b JOIN {name}_cells b ON b.n >= {least} AND {touch}""",
+        f"{name}_cores": f"SELECT a AS cell, min(b) AS id FROM {name}_reach GROUP BY a",
+        f"{name}s": f"""SELECT b.cell, coalesce(min(CASE WHEN a.cell = b.cell THEN id END), min(id)) AS id FROM {name}_cells b
+  JOIN {name}_cores a ON {touch} GROUP BY b.cell""",
+    }
+
+
+_CLUSTER_GRID, _REGION_GRID = (0.25, 40), (1.0, 500)
+
+
+@query(
+    "b04_launch_areas",
+    with_views(
+        ("sites_x",),
+        f"""SELECT f.flight_id, c.id AS cluster_id, r.id AS region_id, coalesce(lc.launch_id, lr.launch_id) AS launch_id,
+  CASE WHEN lc.launch_id IS NOT NULL THEN 'cluster' WHEN lr.launch_id IS NOT NULL THEN 'region' ELSE 'none' END AS area
+FROM starts f LEFT JOIN clusters c ON c.cell = {_cell_sql('f.lat', 'f.lon', _CLUSTER_GRID[0])}
+LEFT JOIN regions r ON r.cell = {_cell_sql('f.lat', 'f.lon', _REGION_GRID[0])}
+LEFT JOIN (SELECT c.id, min(l.id) AS launch_id FROM launches l JOIN clusters c ON c.cell = {_cell_sql('l.lat', 'l.lon', _CLUSTER_GRID[0])} GROUP BY c.id) lc ON lc.id = c.id
+LEFT JOIN (SELECT r.id, min(l.id) AS launch_id FROM launches l JOIN regions r ON r.cell = {_cell_sql('l.lat', 'l.lon', _REGION_GRID[0])} GROUP BY r.id) lr ON lr.id = r.id""",
+        starts=_STARTS_SQL,
+        launches="SELECT id, latitude AS lat, longitude + 157 AS lon FROM sites_x WHERE id % 3 = 0",
+        **_cluster_sql("cluster", *_CLUSTER_GRID),
+        **_cluster_sql("region", *_REGION_GRID),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def launch_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters and regions of starts on both sides of the date line."""
+    pilot = F.col("o_custkey")
+    flown = V.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("flight_id"), (F.lit(41.0) + (pilot % 640).cast("double") / 128).alias("start_latitude"),
+        F.when(pilot % 9 != 0, F.lit(178.0) + (pilot % 730).cast("double") / 128).alias("start_longitude"),
+    )
+    launches = V.sites(spark, sf_dir).where("id % 3 = 0").select(
+        F.col("id").alias("launch_id"), "latitude", (F.col("longitude") + 157).alias("longitude")
+    )
+    return clusters.assign_areas(flown, launches, _CLUSTER_GRID, _REGION_GRID)
+
+
+_MISSPELT_SQL = """SELECT o_orderkey AS flight_id, CASE o_orderkey % 8 WHEN 0 THEN '  ' || n_name || ' ' WHEN 1 THEN left(n_name, p - 1) || substr(n_name, p + 1)
+    WHEN 2 THEN left(n_name, p - 1) || 'x' || substr(n_name, p) WHEN 3 THEN left(n_name, p - 1) || 'Q' || substr(n_name, p + 1)
+    WHEN 4 THEN 'y' || left(n_name, p - 1) || substr(n_name, p + 1) WHEN 5 THEN 'abc' || n_name WHEN 6 THEN n_name || repeat('z', 90) END AS written
+  FROM (SELECT o_orderkey, o_custkey % 5 + 1 AS p, n_name FROM orders JOIN nation ON n_nationkey = o_custkey % 25) t"""
+
+
+@query(
+    "b04_misspelt_names",
+    with_views(
+        (),
+        """SELECT w.flight_id, w.written, m.launch_id, CAST(m.errors AS INT) AS errors FROM written w LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY written ORDER BY errors, launch_id) AS rn FROM (
+    SELECT w.written, n_nationkey AS launch_id, levenshtein(lower(trim(w.written)), lower(n_name)) AS errors, length(n_name) AS n
+    FROM (SELECT DISTINCT written FROM written) w, nation) p
+  WHERE errors <= CASE WHEN n >= 7 THEN 2 WHEN n >= 4 THEN 1 ELSE 0 END) m ON m.written = w.written AND m.rn = 1""",
+        written=_MISSPELT_SQL,
+    ),
+)
+def misspelt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Launch names with characters missing, too many or wrong, some beyond recognition."""
+    key, name = F.col("o_orderkey"), F.col("n_name")
+    place = (F.col("o_custkey") % 5 + 1).cast("int")
+    ahead, rest, after = F.substring(name, F.lit(1), place - 1), F.substring(name, place, F.length(name)), F.substring(name, place + 1, F.length(name))
+    written = (
+        F.when(key % 8 == 0, F.concat(F.lit("  "), name, F.lit(" "))).when(key % 8 == 1, F.concat(ahead, after))
+        .when(key % 8 == 2, F.concat(ahead, F.lit("x"), rest)).when(key % 8 == 3, F.concat(ahead, F.lit("Q"), after))
+        .when(key % 8 == 4, F.concat(F.lit("y"), ahead, after)).when(key % 8 == 5, F.concat(F.lit("abc"), name))
+        .when(key % 8 == 6, F.concat(name, F.repeat(F.lit("z"), 90)))
+    )
+    nations = V.table(spark, sf_dir, "nation")
+    flown = V.table(spark, sf_dir, "orders").withColumn("n_nationkey", F.col("o_custkey") % 25).join(nations, "n_nationkey")
+    flown = flown.select(key.alias("flight_id"), written.alias("written"))
+    found = names.match_names(flown, nations.select(F.col("n_name").alias("alias"), F.col("n_nationkey").alias("launch_id")), "written")
+    return skew_safe_join(flown, found, ["written"]).select("flight_id", "written", "launch_id", "errors")
+
+
 @query(
     "b05_quality_profile",
     with_views(

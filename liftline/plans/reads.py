@@ -506,6 +506,25 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "site_id", "forecast_date", "run_id", "p100")
 
 
+@query(
+    "a15_lookup_in_place",
+    with_views(
+        ("reqs", "preds"),
+        f"""SELECT r.request_id, p.site_id, {day('p.forecast_date')} AS forecast_date, p.run_id, p.p100
+FROM reqs r JOIN preds p ON p.site_id = CASE WHEN r.k % 3 = 0 THEN 1 ELSE r.user_id + 1 END AND p.forecast_date = r.request_date""",
+    ),
+)
+def lookup_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the requests ask for one site; the prediction table is written in buckets and not shuffled."""
+    site = F.when(F.col("k") % 3 == 0, F.lit(1)).otherwise(F.col("user_id") + 1).cast("long")
+    asked = V.requests(spark, sf_dir).select("request_id", site.alias("site_id"), F.col("request_date").alias("forecast_date"))
+    path = scratch_path(spark, "bucketed")
+    written = V.predictions(spark, sf_dir).select("site_id", "forecast_date", "run_id", "p100")
+    table = tables.save_bucketed(written, f"predictions_{path[-32:]}", path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = lookups.point_lookup_in_place(asked, table)
+    return found.select("request_id", "site_id", "forecast_date", "run_id", "p100")
+
+
 @query(
     "a16_multi_site_read",
     with_views(

@@ -47,3 +47,22 @@ def write_predictions(predictions: DataFrame, path: str) -> int:
 def read_predictions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The declared schema, with partition pruning on ``forecast_date``."""
     return prediction_table(spark, path).read(version)
+
+
+def save_bucketed(predictions: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """A table dealt into ``buckets`` by site and date, sorted by date, for joins on that key.
+
+    What is joined to it is shuffled to the buckets; the table itself is read in place. A
+    site with many requests is spread over the buckets of its dates. Dates are not
+    folders here, but files are sorted by them, so a filter on dates skips row groups.
+    """
+    rows = predictions.repartition(buckets, "site_id", "forecast_date")
+    (
+        rows.write.mode("errorifexists")
+        .option("path", path)
+        .bucketBy(buckets, "site_id", "forecast_date")
+        .sortBy("forecast_date", "site_id")
+        .format("parquet")
+        .saveAsTable(name)
+    )
+    return predictions.sparkSession.table(name)
