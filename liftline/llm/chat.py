@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liftline.operators.keyed import skew_safe_join
+
 START, END = "<|im_start|>", "<|im_end|>"  # fixed values of the ChatML format
 TRAINED_ROLE = "assistant"
 
@@ -23,6 +25,28 @@ def _mask(turn: Column) -> Column:
     )
 
 
+def with_other_answers(conversations: DataFrame) -> DataFrame:
+    """Pairs for :func:`preference_rows` from ``conv_id``, ``turn``, ``role``, ``text``.
+
+    Each conversation is chosen as it is. Rejected are the same turns, with the last one of the
+    assistant replaced by the last one that the assistant says in conversation conv_id + 1, or
+    by an empty text if that has none. Without a turn of the assistant both are equal.
+    Last is the largest number, then the largest text; rows that repeat that turn are
+    replaced together. Rows without conv_id belong to none.
+    """
+    turns = conversations.where("conv_id is not null").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    said = turns.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("said"))
+    other = said.select(F.try_subtract("conv_id", F.lit(1)).alias("conv_id"), F.col("said.text").alias("other"))
+    known = said.join(other.where("conv_id is not null"), "conv_id", "left")
+    joined = skew_safe_join(turns, known, ["conv_id"])
+    last = (F.col("role") == TRAINED_ROLE) & F.col("turn").eqNullSafe(F.col("said.turn")) & (F.col("text") == F.col("said.text"))
+    text = F.when(last, F.coalesce("other", F.lit(""))).otherwise(F.col("text"))
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), text.alias("text")))
+    return joined.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.inline(sides))
+
+
 def preference_rows(turns: DataFrame) -> DataFrame:
     """One row per pair of conversations.
 

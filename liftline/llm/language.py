@@ -3,8 +3,8 @@
 Each language has smoothed likelihoods of byte trigrams around letters, hashed into a
 fixed number of cells and counted over every labelled text. A document is a mixture of
 languages; expectation-maximisation estimates its proportions. Starting from all
-languages, the smallest one is dropped and the rest fitted again, and the set with the
-best likelihood less a penalty per language is taken.
+languages with a share that counts, the smallest one is dropped and the rest fitted again,
+and the set with the best likelihood less a penalty per language is taken.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from liftline.llm import text as T
 CELL_BITS = 14
 SMOOTHING = 0.5
 FIRST_ROUNDS, MORE_ROUNDS = 10, 6
-# Documents are fitted on at most this many languages, those with the largest first shares.
-MOST_LANGUAGES = 8
+# A language that is expected to have written fewer trigrams of a text is left out.
+LEAST_TRIGRAMS = 1.0
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -119,24 +119,29 @@ def mixtures(piece: T.Slice, likelihood: np.ndarray) -> tuple[np.ndarray, np.nda
     p = likelihood[cell]
     some = np.bincount(owner, n, piece.n)
     w = np.full((piece.n, langs), 1.0 / langs)
-    w, ll = _fit(p, n, owner, w, FIRST_ROUNDS)
-    keep = min(langs, MOST_LANGUAGES)
+    w, _ = _fit(p, n, owner, w, FIRST_ROUNDS)
+    first = w.argmax(axis=1)
+    w = np.where(w * some[:, None] >= LEAST_TRIGRAMS, w, 0.0)
+    w[np.arange(piece.n), first] += (w.sum(axis=1) == 0).astype(float)
+    # As many columns as the text with most languages has; the others' shares are 0 there.
+    present = (w > 0).sum(axis=1)
+    keep = int(present.max())
     top = np.argsort(-w, axis=1, kind="stable")[:, :keep]
     w = np.take_along_axis(w, top, 1)
     p = np.take_along_axis(p, top[owner], 1)
-    if keep < langs:
-        w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-30)
-        w, ll = _fit(p, n, owner, w, MORE_ROUNDS)
+    w /= w.sum(axis=1, keepdims=True)
+    w, ll = _fit(p, n, owner, w, MORE_ROUNDS)
     penalty = 0.5 * np.log(np.maximum(some, 2))
-    best, best_w, best_size = ll - penalty * (keep - 1), w, np.full(piece.n, keep)
+    best, best_w, best_size = ll - penalty * (present - 1), w, present.copy()
     for left in range(keep - 1, 0, -1):
         # A share of 0 stays 0 through EM, so dropping a language is clearing its share.
-        w = w.copy()
-        w[np.arange(piece.n), np.where(w > 0, w, np.inf).argmin(axis=1)] = 0
-        w = np.where(w.sum(axis=1, keepdims=True) > 0, w, best_w)
+        more = present > left
+        w, before = w.copy(), w
+        w[more, np.where(w > 0, w, np.inf).argmin(axis=1)[more]] = 0
+        w = np.where(w.sum(axis=1, keepdims=True) > 0, w, before)
         w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-30)
         w, ll = _fit(p, n, owner, w, MORE_ROUNDS if left > 1 else 0)
-        better = ll - penalty * (left - 1) > best
+        better = more & (ll - penalty * (left - 1) > best)
         best = np.where(better, ll - penalty * (left - 1), best)
         best_w = np.where(better[:, None], w, best_w)
         best_size = np.where(better, left, best_size)

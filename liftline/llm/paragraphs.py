@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from liftline.llm import text as T
 from liftline.llm.jaccard import CHUNK_SHINGLES, similar_sets
-from liftline.llm.shared import components, settle
+from liftline.llm.shared import components, contracted, settle
 
 WORDS, PERCENT, LEAST_WORDS = 5, 80, 20
 BAND_ROWS, RECALL = 3, 0.999
@@ -205,9 +205,9 @@ def _repeated_spans(texts: DataFrame, removed: DataFrame, length: int, window: i
     units = settle(_units(texts, length, window), "units")
     often = units.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
     again = settle(units.join(often, "unit"), "repeated-units")
-    for line in ("line", "last"):
-        lines = removed.select("doc", "row", F.col("line").alias(line)).distinct()
-        again = again.join(lines, ["doc", "row", line], "left_anti")
+    lines = removed.groupBy("doc", "row").agg(F.collect_set("line").alias("lines"))
+    goes = F.array_contains("lines", F.col("line")) | F.array_contains("lines", F.col("last"))
+    again = again.join(lines, ["doc", "row"], "left").where(~F.coalesce(goes, F.lit(False))).drop("lines")
     again = settle(again, "left-units")
     keep = again.groupBy("unit").agg(
         F.min(F.struct("doc", "row", "start", "end")).alias("keep"), F.count("*").alias("n")
@@ -259,7 +259,8 @@ def repeated_paragraphs(
     banded = distinct.select("key", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
     star = banded.join(least, "band").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    meeting = settle(star.where("a <> b").distinct(), "meeting")
+    # A few tasks hold all edges of small inputs, and leave hardly anything but stars.
+    meeting = settle(contracted(star.where("a <> b").distinct()), "meeting")
     met = meeting.select(F.col("a").alias("key")).union(meeting.select("b")).distinct()
     # The same words stand on one line of a text at least: the first place of each key.
     wanted = distinct.join(met, "key").groupBy(F.col("place.doc").alias("doc")).agg(
@@ -267,7 +268,7 @@ def repeated_paragraphs(
     )
     sets = _sets(texts.join(wanted, "doc"), least_words).dropDuplicates(["key"])
     sets = settle(sets.withColumn("n", F.size("items")), "sets")
-    linked = components(similar_sets(sets, meeting, percent, chunk_shingles), "linked")
+    linked = components(contracted(similar_sets(sets, meeting, percent, chunk_shingles)), "linked")
     tied = distinct.join(linked.withColumnRenamed("node", "key"), "key", "left")
     tied = tied.select("key", "place", "n", F.coalesce("component", "key").alias("component"))
     first = tied.groupBy("component").agg(F.min("place").alias("keep"), F.sum("n").alias("places"))

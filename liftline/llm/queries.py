@@ -54,13 +54,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n (chosen) and 2n + 1 (rejected) are a pair."""
-    turns = table(spark, sf_dir, "conversations").select(
-        F.expr("conv_id div 2").alias("pair_id"),
-        F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),
-        "turn", "role", "text",
-    )
-    return chat.preference_rows(turns)
+    """Every conversation, with another last answer as the rejected one."""
+    return chat.preference_rows(chat.with_other_answers(table(spark, sf_dir, "conversations")))
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +75,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in training order; the SQL twin has no positions, so they are not among the columns."""
+    """Rows in training order, with the positions of their first and last pass."""
     plan = mixing.training_order(mixing.mix_plan(table(spark, sf_dir, "documents")))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "start")
+    first, last = F.get("positions", F.lit(0)), F.try_element_at("positions", F.lit(-1))
+    return plan.select(
+        "doc_id", "size", "source_size", "target", "taken", "start", F.size("positions").alias("n_passes"),
+        F.round(first, 9).alias("first_position"), F.round(last, 9).alias("last_position"),
+    )
 
 
 def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +126,20 @@ QUERIES: dict[str, Query] = {
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _position_sql(share: str) -> str:
+    """The time at which a share of a source's words is due, by the schedule of its weight."""
+    cases = []
+    for weight, knots in zip(mixing.WEIGHTS, mixing.SHAPES, strict=True):
+        for piece in reversed(mixing._pieces(knots)):
+            need = f"({share} - {piece.before}::DOUBLE) * {piece.total}::DOUBLE"
+            root = f"sqrt(greatest({piece.low**2}::DOUBLE + {2 * piece.slope}::DOUBLE * ({need}), 0::DOUBLE))"
+            step = f"CASE WHEN {need} <= 0 THEN 0::DOUBLE ELSE 2 * ({need}) / ({piece.low}::DOUBLE + {root}) END"
+            cases.append(f"WHEN weight = {weight} AND {share} >= {piece.before}::DOUBLE THEN {piece.start}::DOUBLE + least({step}, {piece.width}::DOUBLE)")
+    return f"CASE {' '.join(cases)} END"
+
+
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
@@ -138,10 +151,18 @@ FROM (
   WINDOW same AS (PARTITION BY folded)
 )""",
     "op8_chat_formatting": """
-WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
-  FROM conversations
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), said AS (
+  SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) AS rn
+    FROM given WHERE role = 'assistant') t WHERE rn = 1
+), sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM given
+  UNION ALL SELECT g.conv_id, 1, g.turn, g.role, CASE WHEN g.role = 'assistant' AND g.turn IS NOT DISTINCT FROM s.turn AND g.text = s.text
+    THEN coalesce(o.text, '') ELSE g.text END
+  FROM given g LEFT JOIN said s ON s.conv_id = g.conv_id LEFT JOIN said o ON o.conv_id = g.conv_id + 1
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS pos FROM sides
 ), parts AS (
   SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
     CASE WHEN role = 'assistant'
@@ -166,7 +187,7 @@ SELECT pair_id, any_value(common_turns)::INTEGER AS common_turns,
   coalesce(string_agg(mask, '' ORDER BY pos) FILTER (side = 1 AND pos > common_turns), '') AS rejected_mask
 FROM parts JOIN prefix USING (pair_id) JOIN both_sides USING (pair_id)
 GROUP BY pair_id""",
-    "op10_source_mixing": r"""
+    "op10_source_mixing": rf"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     md5(coalesce(doc_id::VARCHAR, '')) AS key
@@ -185,21 +206,28 @@ WITH sizes AS (
 ), capped AS (
   SELECT *, (total - taken_before)::DOUBLE * weight / weight_left > 3 * source_size AS cap FROM filled
 ), targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, weight,
     CASE WHEN cap THEN (3 * source_size)::DOUBLE
       ELSE (total - sum(CASE WHEN cap THEN 3 * source_size ELSE 0 END) OVER ())::BIGINT::DOUBLE * weight
         / (sum(CASE WHEN cap THEN 0 ELSE weight END) OVER ())::DOUBLE END AS target
   FROM capped
 ), laid AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.weight,
     (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id NULLS FIRST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size)::BIGINT AS start
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), passed AS (
+  SELECT *, (greatest(0, least(size, floor(target)::BIGINT - start))
+    + greatest(0, least(size, floor(target)::BIGINT - source_size - start))
+    + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken,
+    CASE WHEN size = 0 OR floor(target)::BIGINT <= start THEN 0 WHEN floor(target)::BIGINT <= source_size + start THEN 1
+      WHEN floor(target)::BIGINT <= 2 * source_size + start THEN 2 ELSE 3 END AS n_passes FROM laid
+), shared AS (
+  SELECT *, CASE WHEN n_passes > 0 THEN start::DOUBLE / target END AS first_share,
+    CASE WHEN n_passes > 0 THEN ((n_passes - 1) * source_size + start)::DOUBLE / target END AS last_share FROM passed
 )
-SELECT doc_id, size, source_size, target, start,
-  (greatest(0, least(size, floor(target)::BIGINT - start))
-  + greatest(0, least(size, floor(target)::BIGINT - source_size - start))
-  + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken
-FROM laid""",
+SELECT doc_id, size, source_size, target, start, taken, n_passes,
+  round({_position_sql("first_share")}, 9) AS first_position, round({_position_sql("last_share")}, 9) AS last_position
+FROM shared""",
     "op11_benchmark_decontamination": rf"""
 WITH items AS (
   SELECT item_id, regexp_extract_all({_FOLD}, '{_LETTERS}') AS w FROM benchmark

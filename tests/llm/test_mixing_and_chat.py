@@ -169,3 +169,28 @@ def test_preference_rows(spark):
         assert (r.chosen, r.chosen_mask) == render(c[n:]) and (r.rejected, r.rejected_mask) == render(x[n:])
         assert sum(map(int, re.findall(r"\d+", r.chosen_mask))) == len(r.chosen)
     assert chat.preference_rows(turns.limit(0)).collect() == []
+
+
+def test_other_answers(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "thanks"), (2, 0, "assistant", "early"), (2, None, "assistant", "none"), (2, 3, "assistant", "b2"), (2, 3, "assistant", "b2")]
+    rows += [(3, 0, "user", "alone"), (4, 1, "assistant", None), (9, 1, "assistant", "last"), (None, 1, "assistant", "x"), (-(2**63), 1, "assistant", "least")]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, said int").repartition(3)
+    pairs = chat.with_other_answers(turns).collect()
+    side = lambda c, s: sorted(((r.turn is not None, r.turn or 0), r.role, r.text) for r in pairs if r.pair_id == c and r.side == s)
+    for conv in {r[0] for r in rows} - {None}:
+        own = sorted(((r[1] is not None, r[1] or 0), r[2], r[3] or "") for r in rows if r[0] == conv)
+        assert side(conv, "chosen") == own
+    assert [t[2] for t in side(1, "rejected")] == ["q", "b2", "thanks"]
+    assert [t[2] for t in side(2, "rejected")] == ["none", "early", "", ""]
+    assert side(3, "rejected") == side(3, "chosen") and [t[2] for t in side(4, "rejected")] == [""]
+    got = {r.pair_id: r.common_turns for r in chat.preference_rows(chat.with_other_answers(turns)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1, 9: 0, -(2**63): 0}
+    assert chat.with_other_answers(turns.limit(0)).collect() == []
+
+
+def test_most_pairs_share_turns(spark):
+    rows = Q.op8_chat_formatting(spark, SF_DIR).collect()
+    assert len(rows) == Q.table(spark, SF_DIR, "conversations").select("conv_id").distinct().count()
+    assert sum(r.common_turns > 0 for r in rows) > 0.9 * len(rows)
+    # Some conversations are copies of the next one.
+    assert sum(r.chosen != r.rejected for r in rows) > 0.7 * len(rows)

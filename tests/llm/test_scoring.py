@@ -101,6 +101,21 @@ def test_mixture_of_two_languages(spark):
     assert model.languages[int(shares[1].argmax())] == "fr" and np.allclose(shares.sum(axis=1), 1)
 
 
+def test_many_languages_in_one_text(spark):
+    """Fourteen languages of words of their own; one text mixes twelve of them."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    words = {f"l{i:02d}": [word() for _ in range(40)] for i in range(14)}
+    speak = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    model = language.train(spark.createDataFrame([(speak(x, 400), x) for x in words], "text string, lang string"))
+    mixed, pure = " ".join(speak(f"l{i:02d}", 60 + 5 * i) for i in range(12)), speak("l13", 50)
+    shares, size = language.mixtures(next(T.slices(pa.array([mixed, pure, "", "l"]))), model.likelihood)
+    assert size.tolist()[:3] == [12, 1, 0] and (shares[0][:12] > 0.03).all() and shares[0][12:].sum() == 0
+    assert shares[1].argmax() == 13 and np.allclose(shares[[0, 1, 3]].sum(axis=1), 1)
+    alone = language.mixtures(next(T.slices(pa.array([mixed]))), model.likelihood)[0]
+    assert np.allclose(alone[0], shares[0])
+
+
 def test_em_against_a_plain_loop():
     rng = np.random.default_rng(5)
     p = rng.random((40, 3)).astype(np.float32)
