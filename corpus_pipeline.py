@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from liftline.llm import exact_dedup, jaccard, mixing, pieces, quality
 from liftline.llm.queries import PIECE_MODEL, quality_labels
-from liftline.llm.shared import WORD, prepare, settle, table
+from liftline.llm.shared import prepare, settle, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier rejects go."""
+    """Documents the quality classifier rejects go.
+
+    Null and empty texts are scored like any other, without labels all stay; an empty table
+    gives an empty one. All columns come along, whatever their names.
+    """
     prepare(spark)
     stats = settle(quality.document_statistics(docs), "statistics")
     return quality.keep_good(docs, quality.train(stats, quality_labels(spark, sf_dir)))
@@ -60,10 +64,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, once per pass; the one at a source's end is cut.
+    """Documents in training order, once per pass, always whole.
 
-    A text that is taken in part keeps its first words, with single spaces between. Rows
-    may repeat a doc_id or have none; equal ones are numbered.
+    Of the pass at a source's end, which the plan takes in part, the document stays if at least
+    half of its words are taken, so each source comes to within half a document of its
+    target. Rows may repeat a doc_id or have none; equal ones are numbered.
     """
     prepare(spark)
     rows = docs.withColumn("_row", row_identity())
@@ -71,7 +76,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     copy = F.row_number().over(Window.partitionBy("_row").orderBy("start", "taken"))
     plan = settle(plan.withColumn("_copy", copy), "numbered-plan")
     places = mixing.with_positions(plan)
-    wanted = places.select("_row", "_copy", "words", F.col("size").alias("_size"), "position", "turn")
+    wanted = places.where(2 * F.col("words") >= F.col("size")).select("_row", "_copy", "position", "turn")
     # Only rows that occur more than once go through a window with their texts.
     often = settle(plan.where("_copy = 2").select("_row"), "often")
     alike = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
@@ -80,17 +85,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # Names of the given columns may be those of the plan.
     given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given")
     rows = rows.select("_row", "_copy", given).join(wanted, ["_row", "_copy"])
-    text = F.col("_given.text")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    whole = F.col("words") == F.col("_size")
-    new = {"text": F.when(whole, text).otherwise(cut)}
-    new["n_chars"] = F.when(whole, F.col("_given.n_chars")).otherwise(F.length(cut))
     order = ["position", "_given.doc_id", "turn", "_row", "_copy"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select(*[new.get(c, F.col("_given").getField(c)).alias(c) for c in docs.columns])
+    return ranged.select(*[F.col("_given").getField(c).alias(c) for c in docs.columns])
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, row by row; null and empty texts have none, other columns go."""
     prepare(spark)
     return pieces.encode_rows(docs, pieces.load(PIECE_MODEL))
 
