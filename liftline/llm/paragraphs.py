@@ -259,8 +259,7 @@ def repeated_paragraphs(
     banded = distinct.select("key", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
     star = banded.join(least, "band").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    # A few tasks hold all edges of small inputs, and leave hardly anything but stars.
-    meeting = settle(contracted(star.where("a <> b").distinct()), "meeting")
+    meeting = settle(star.where("a <> b").distinct(), "meeting")
     met = meeting.select(F.col("a").alias("key")).union(meeting.select("b")).distinct()
     # The same words stand on one line of a text at least: the first place of each key.
     wanted = distinct.join(met, "key").groupBy(F.col("place.doc").alias("doc")).agg(
@@ -268,6 +267,7 @@ def repeated_paragraphs(
     )
     sets = _sets(texts.join(wanted, "doc"), least_words).dropDuplicates(["key"])
     sets = settle(sets.withColumn("n", F.size("items")), "sets")
+    # Links come as chains; a few tasks leave hardly anything but stars of them.
     linked = components(contracted(similar_sets(sets, meeting, percent, chunk_shingles)), "linked")
     tied = distinct.join(linked.withColumnRenamed("node", "key"), "key", "left")
     tied = tied.select("key", "place", "n", F.coalesce("component", "key").alias("component"))
