@@ -184,4 +184,5 @@ WRONG_ZONE = "Expected the time zone Europe/Sofia."
 REQUIRED = "Expected a single value."
 UNKNOWN_FIELD = "Unrecognized field: %s"
 WRONG_TYPE = "Expected another JSON type."
+WRONG_SHAPE = "Expected the declared keys with their JSON types."
 WRONG_REQUEST_ID = "Expected 1 to 128 letters, digits, dots, dashes, colons or underscores."

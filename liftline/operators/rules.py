@@ -32,13 +32,15 @@ def site_id_rule(value: Column) -> Column:
     return is_number(value, 1, fixed.MAX_SAFE_INTEGER) & (value == F.floor(value))
 
 
-def site_issues() -> Column:
+def site_issues(site: Column | None = None) -> Column:
+    """Rules of a site held in columns of its field names, or in a struct."""
+    held = F.col if site is None else site.getField
     return issue_list(
-        unless(site_id_rule(F.col("id")), "id", fixed.WRONG_ID),
-        unless(X.is_slug(X.trim_all(F.col("slug"))), "slug", fixed.WRONG_SLUG),
-        unless(~X.is_blank(F.col("name")), "name", fixed.WRONG_NAME),
-        unless(is_number(F.col("latitude"), -90, 90), "latitude", fixed.WRONG_NUMBER),
-        unless(is_number(F.col("longitude"), -180, 180), "longitude", fixed.WRONG_NUMBER),
+        unless(site_id_rule(held("id")), "id", fixed.WRONG_ID),
+        unless(X.is_slug(X.trim_all(held("slug"))), "slug", fixed.WRONG_SLUG),
+        unless(~X.is_blank(held("name")), "name", fixed.WRONG_NAME),
+        unless(is_number(held("latitude"), -90, 90), "latitude", fixed.WRONG_NUMBER),
+        unless(is_number(held("longitude"), -180, 180), "longitude", fixed.WRONG_NUMBER),
     )
 
 
@@ -238,6 +240,51 @@ def record_issues() -> Column:
     )
 
 
+def under(path: Column, issues: Column) -> Column:
+    """The issues of an object as issues of the whole it stands in."""
+    return F.transform(
+        issues, lambda i: F.struct(join_path(path, i["path"]).alias("path"), i["message"].alias("message"))
+    )
+
+
+def summary_issues(item: Column) -> Column:
+    """All rules of one summary: its identity and the fields of its branch."""
+    identity = issue_list(
+        unless(is_word(item["availability"], ["available", fixed.MISSING]), "availability", fixed.WRONG_WORD),
+        unless(site_id_rule(item["siteId"]), "siteId", fixed.WRONG_ID),
+        unless(X.is_slug(X.trim_all(item["siteSlug"])), "siteSlug", fixed.WRONG_SLUG),
+        date_issue(item["forecastDate"], "forecastDate"),
+    )
+    given = F.concat(
+        issue_list(
+            unless(is_instant(item["generatedAt"]), "generatedAt", fixed.WRONG_INSTANT),
+            *_provenance_issues(item["provenance"], "provenance"),
+        ),
+        output_metric_issues(item["outputs"]),
+        nesting_issues(item["outputs"]),
+    )
+    gone = unless(~X.is_blank(item["missingReason"]), "missingReason", fixed.WRONG_NAME)
+    return issue_list(
+        identity,
+        F.when(item["availability"] == "available", given),
+        F.when(item["availability"] == fixed.MISSING, gone),
+    )
+
+
+def day_issues(item: Column) -> Column:
+    """All rules of one day of a strip."""
+    chance = item["chance100KmPct"]
+    rule = output_value_rule("chance100KmPct", chance["value"])
+    return issue_list(
+        date_issue(item["forecastDate"], "forecastDate"),
+        _metric_list([("chance100KmPct", chance, rule)], True),
+    )
+
+
+def summary_count_issue(summaries: Column) -> Column:
+    return unless(F.size(summaries).between(1, fixed.MAX_SUMMARY_SITES), "summaries", fixed.WRONG_COUNT)
+
+
 def summary_batch_issues(summaries: Column, response_date: Column) -> Column:
     """Order rules of a summaries envelope, all inside its row.
 
@@ -266,10 +313,16 @@ def summary_batch_issues(summaries: Column, response_date: Column) -> Column:
             ),
         )
 
-    size_issue = unless(
-        F.size(summaries).between(1, fixed.MAX_SUMMARY_SITES), "summaries", fixed.WRONG_COUNT
+    return issue_list(summary_count_issue(summaries), issues_of_items(summaries, per_item))
+
+
+def strip_frame_issues(zone: Column, today: Column, days: Column) -> Column:
+    """The zone, today and the number of days of a strip."""
+    return issue_list(
+        unless(zone == fixed.FORECAST_ZONE, "timeZone", fixed.WRONG_ZONE),
+        date_issue(today, "todayDate"),
+        unless(F.size(days) == fixed.STRIP_DAYS, "days", fixed.WRONG_COUNT),
     )
-    return issue_list(size_issue, issues_of_items(summaries, per_item))
 
 
 def strip_issues(zone: Column, today: Column, days: Column) -> Column:
@@ -289,12 +342,7 @@ def strip_issues(zone: Column, today: Column, days: Column) -> Column:
         ),
     )
     complete = F.size(days) == fixed.STRIP_DAYS
-    return issue_list(
-        unless(zone == fixed.FORECAST_ZONE, "timeZone", fixed.WRONG_ZONE),
-        date_issue(today, "todayDate"),
-        unless(complete, "days", fixed.WRONG_COUNT),
-        F.when(complete, wrong_dates),
-    )
+    return issue_list(strip_frame_issues(zone, today, days), F.when(complete, wrong_dates))
 
 
 # --- Requests --------------------------------------------------------------------

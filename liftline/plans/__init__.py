@@ -6,6 +6,6 @@ from liftline.plans.registry import ENTRIES, Entry
 
 
 def all_entries() -> dict[str, Entry]:
-    from liftline.plans import checks, pipeline, reads, scalars  # noqa: F401
+    from liftline.plans import bodies, checks, pipeline, reads, scalars  # noqa: F401
 
     return dict(sorted(ENTRIES.items()))

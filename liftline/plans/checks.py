@@ -158,7 +158,7 @@ def ordered_batch_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Rules -----------------------------------------------------------------------
 
 
-def _candidate_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidate_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     kind = key % 12
     slug = F.concat(F.lit("site-"), key.cast("string"))
@@ -187,7 +187,7 @@ CROSS JOIN LATERAL (VALUES (id < 1, 'id', '{fixed.WRONG_ID}'), (kind IN (1, 3, 4
   (kind IN (7, 10), 'longitude', '{fixed.WRONG_NUMBER}')) AS u(broken, path, message) WHERE u.broken""",
 )
 def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = _candidate_sites(spark, sf_dir).withColumn("issues", rules.site_issues())
+    checked = candidate_sites(spark, sf_dir).withColumn("issues", rules.site_issues())
     return rules.issue_rows(checked, ["pos"]).drop("issue_pos")
 
 
@@ -346,10 +346,9 @@ def chance_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.issue_rows(checked, ["run_id"]).drop("issue_pos")
 
 
-def _damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detailed documents with damage by run_id % 10."""
-    known = V.sites(spark, sf_dir).select(F.col("id").alias("site_id"), "slug")
-    rows = V.prediction_runs(spark, sf_dir, inputs=True).join(known, "site_id")
+def damaged_documents(runs: DataFrame, sites: DataFrame) -> DataFrame:
+    """Detailed documents of runs with damage by run_id % 10."""
+    rows = runs.join(sites.select(F.col("id").alias("site_id"), "slug"), "site_id")
     kind = F.col("run_id") % 10
     docs = rows.select("run_id", *readmodels.detailed_record())
     blank = F.array(F.lit("Thermal strength"), F.lit(" "))
@@ -377,7 +376,8 @@ WHERE run_id % 10 = u.kind""",
     ),
 )
 def record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = _damaged_documents(spark, sf_dir).withColumn("issues", rules.record_issues())
+    documents = damaged_documents(V.prediction_runs(spark, sf_dir, inputs=True), V.sites(spark, sf_dir))
+    checked = documents.withColumn("issues", rules.record_issues())
     return rules.issue_rows(checked, ["run_id"]).drop("issue_pos")
 
 

@@ -182,7 +182,7 @@ def strict_json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql_json_metric(value: str, text: bool = False) -> str:
+def sql_json_metric(value: str, text: bool = False) -> str:
     shown = f"'\"' || {value} || '\"'" if text else f"CAST({value} AS VARCHAR)"
     return f"""CASE WHEN data_status = 'missing'
     THEN '{{"value":null,"dataStatus":"missing","confidence":null,"missingReason":"{GAVE_NONE}"}}'
@@ -194,9 +194,9 @@ def _sql_json_metric(value: str, text: bool = False) -> str:
     "a04_json_sink",
     with_views(
         ("preds",),
-        f"""SELECT run_id, '{{"cloudbaseMslM":' || {_sql_json_metric('cloudbase_msl_m')}
-  || ',"chance100KmPct":' || {_sql_json_metric('p100')} || ',"chance200KmPct":' || {_sql_json_metric('p200')}
-  || ',"chance300KmPct":' || {_sql_json_metric('p300')} || ',"overdevelopmentRisk":' || {_sql_json_metric('od_risk', True)}
+        f"""SELECT run_id, '{{"cloudbaseMslM":' || {sql_json_metric('cloudbase_msl_m')}
+  || ',"chance100KmPct":' || {sql_json_metric('p100')} || ',"chance200KmPct":' || {sql_json_metric('p200')}
+  || ',"chance300KmPct":' || {sql_json_metric('p300')} || ',"overdevelopmentRisk":' || {sql_json_metric('od_risk', True)}
   || '}}' AS outputs_json FROM preds""",
     ),
 )
@@ -294,19 +294,19 @@ SQL_RESOLVED = """SELECT *, sum(CASE WHEN site_id IS NULL THEN 1 ELSE 0 END) OVE
 SQL_SUMMARIES = """SELECT w.request_id, w.pos, w.site_id AS wanted_id, w.slug, w.forecast_date AS wanted_date, p.*
   FROM resolved w LEFT JOIN preds p ON p.site_id = w.site_id AND p.forecast_date = w.forecast_date
   WHERE w.bad = 0"""
-_SUMMARY_VIEWS = ("preds", "sites_x", "reqs")
-_SUMMARY_CHAIN = {"items": SQL_ITEMS, "resolved": SQL_RESOLVED, "sums": SQL_SUMMARIES}
+SUMMARY_VIEWS = ("preds", "sites_x", "reqs")
+SUMMARY_CHAIN = {"items": SQL_ITEMS, "resolved": SQL_RESOLVED, "sums": SQL_SUMMARIES}
 
 
 @query(
     "a09_missing_summary",
     with_views(
-        _SUMMARY_VIEWS,
+        SUMMARY_VIEWS,
         f"""SELECT request_id, 'missing' AS availability, wanted_id AS site_id, slug,
   {day('wanted_date')} AS forecast_date,
   'No forecast exists for site ''' || slug || ''' on ' || {day('wanted_date')} || '.' AS missing_reason
 FROM sums WHERE run_id IS NULL""",
-        **_SUMMARY_CHAIN,
+        **SUMMARY_CHAIN,
     ),
 )
 def missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,19 +334,19 @@ SQL_SLOTS = f"""SELECT q.request_id, q.today, q.site_id, q.slug, q.pos, q.slot_d
   JOIN sites_x s ON s.slug = r.slug
   CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS pos) d) q
   LEFT JOIN preds p ON p.site_id = q.site_id AND p.forecast_date = q.slot_date"""
+SQL_NO_DAY = f"""'No 100+ km forecast is available for site ''' || slug || ''' on ' || {day('slot_date')} || '.'"""
 SQL_DAY = """CASE WHEN found AND data_status <> 'missing' THEN p100 END AS c100_value,
   CASE WHEN found THEN data_status ELSE 'missing' END AS c100_status,
   CASE WHEN found AND data_status <> 'missing' THEN confidence_level END AS c100_level,
   CASE WHEN found AND data_status <> 'missing' THEN confidence_note END AS c100_note,
-  CASE WHEN NOT found THEN 'No 100+ km forecast is available for site ''' || slug || ''' on '
-      || strftime(slot_date, '%Y-%m-%d') || '.'
-    WHEN data_status = 'missing' THEN '{}' END AS c100_reason""".replace("{}", GAVE_NONE)
+  CASE WHEN NOT found THEN {no_day}
+    WHEN data_status = 'missing' THEN '{gave_none}' END AS c100_reason""".replace("{no_day}", SQL_NO_DAY).replace("{gave_none}", GAVE_NONE)
 
 
 @query(
     "a10_day_metric",
     with_views(
-        _SUMMARY_VIEWS,
+        SUMMARY_VIEWS,
         f"SELECT request_id, pos, {day('slot_date')} AS forecast_date, {SQL_DAY} FROM slots",
         slots=SQL_SLOTS,
     ),
@@ -570,14 +570,14 @@ def date_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a18_batched_summaries",
     with_views(
-        _SUMMARY_VIEWS,
+        SUMMARY_VIEWS,
         f"""SELECT request_id, CAST(pos AS INT) AS pos, wanted_id AS site_id, slug, {day('wanted_date')} AS forecast_date,
   CASE WHEN run_id IS NULL THEN 'missing' ELSE 'available' END AS availability,
   CASE WHEN run_id IS NOT NULL THEN {iso('generated_at')} END AS generated_at, version, {sql_outputs()},
   CASE WHEN run_id IS NULL THEN 'No forecast exists for site ''' || slug || ''' on ' || {day('wanted_date')} || '.'
     END AS missing_reason
 FROM sums""",
-        **_SUMMARY_CHAIN,
+        **SUMMARY_CHAIN,
     ),
 )
 def batched_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -593,7 +593,7 @@ def batched_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a19_five_day_preview",
     with_views(
-        _SUMMARY_VIEWS,
+        SUMMARY_VIEWS,
         f"""SELECT request_id, site_id, slug, {day('today')} AS today, pos, {day('slot_date')} AS forecast_date,
   {SQL_DAY} FROM slots""",
         slots=SQL_SLOTS,
@@ -609,7 +609,7 @@ def five_day_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a20_detailed_lookup",
     with_views(
-        _SUMMARY_VIEWS,
+        SUMMARY_VIEWS,
         f"""SELECT r.request_id, r.slug, {day('r.request_date')} AS forecast_date,
   CASE WHEN s.id IS NULL THEN 'SITE_NOT_FOUND' WHEN p.run_id IS NULL THEN 'FORECAST_NOT_FOUND' ELSE 'found' END AS outcome,
   CASE WHEN s.id IS NULL THEN 'No forecast site exists for slug ''' || r.slug || '''.'
@@ -659,7 +659,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a23_three_state_cards",
     with_views(
-        _SUMMARY_VIEWS,
+        SUMMARY_VIEWS,
         """SELECT c.request_id, c.slug, CASE WHEN s.slug IS NULL THEN 'omitted' WHEN s.run_id IS NULL THEN 'missing'
     ELSE 'available' END AS state, s.p100 AS c100
 FROM (SELECT DISTINCT request_id, slug FROM (
@@ -667,7 +667,7 @@ FROM (SELECT DISTINCT request_id, slug FROM (
     UNION ALL SELECT r.request_id, o.slug FROM (SELECT DISTINCT request_id FROM resolved WHERE bad = 0) r
       CROSS JOIN (SELECT slug FROM sites_x ORDER BY id, slug LIMIT 3 OFFSET 1) o) u) c
 LEFT JOIN sums s ON s.request_id = c.request_id AND s.slug = c.slug""",
-        **_SUMMARY_CHAIN,
+        **SUMMARY_CHAIN,
     ),
 )
 def three_state_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

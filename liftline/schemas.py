@@ -56,6 +56,29 @@ FORECAST_DOCUMENT = _struct(
     topDrivers=T.ArrayType(_S),
 )
 
+# A summary, available or missing; each branch fills its own fields.
+SUMMARY = _struct(
+    availability=_S,
+    siteId=_L,
+    siteSlug=_S,
+    forecastDate=_S,
+    generatedAt=_S,
+    provenance=PROVENANCE,
+    outputs=OUTPUTS,
+    missingReason=_S,
+)
+
+# Response bodies.
+SITES_RESPONSE = _struct(sites=T.ArrayType(SITE))
+SUMMARIES_RESPONSE = _struct(forecastDate=_S, summaries=T.ArrayType(SUMMARY))
+DAYS_RESPONSE = _struct(
+    siteId=_L,
+    siteSlug=_S,
+    timeZone=_S,
+    todayDate=_S,
+    days=T.ArrayType(_struct(forecastDate=_S, chance100KmPct=output_metric(_D))),
+)
+
 # One record per (site_id, forecast_date); runs share the shape plus run_id.
 PREDICTION = _struct(
     site_id=_L,

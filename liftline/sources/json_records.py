@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from liftline import fixed_values as fixed
 from liftline import schemas
-from liftline.functions.issues import issue, issue_list, join_path
+from liftline.functions.issues import issue, issue_list, join_path, no_issues
 from liftline.operators.rules import record_issues, unknown_field_issue
+from liftline.sources.shapes import document_shape, has_shape
 
 MALFORMED = "malformed-json"
 SCHEMA = "schema-validation"
@@ -100,82 +101,31 @@ def parse_strict(rows: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
     )
 
 
-# Fields that hold text; from_json would also accept a number for them.
-_NOT_TEXT = r"\b(siteSlug|source|version|note|missingReason): (?!STRING\b)"
-_DRIVERS_TEXT = "topDrivers: ARRAY<STRING>"
-
 _METRIC_KEYS = ["value", "dataStatus", "confidence"]
 _INPUT_KEYS = ["value", "dataStatus"]
 
 
-def _branch_keys(json: Column, available: list[str]) -> Column:
-    """An available metric has its keys only, a missing one also ``missingReason``."""
-    keys = F.array_sort(F.json_object_keys(json))
-    plain = F.array(*[F.lit(k) for k in sorted(available)])
-    missing = F.array(*[F.lit(k) for k in sorted([*available, "missingReason"])])
-    status = F.get_json_object(json, "$.dataStatus")
-    expected = F.when(status == fixed.MISSING, missing).otherwise(plain)
-    return F.coalesce(keys == expected, F.lit(False))
-
-
-def _document_keys_valid(raw: Column) -> Column:
-    """The key sets of every object of a forecast document."""
-    top = F.from_json(raw, _texts(schemas.FORECAST_DOCUMENT))
-    outputs = F.from_json(top["outputs"], _texts(schemas.OUTPUTS))
-    inputs = F.from_json(top["forecastInputs"], _texts(schemas.INPUTS))
-
-    def exact(json: Column, names: list[str]) -> Column:
-        return F.coalesce(
-            F.array_sort(F.json_object_keys(json)) == F.array(*[F.lit(n) for n in sorted(names)]),
-            F.lit(False),
-        )
-
-    rule = (
-        exact(raw, schemas.FORECAST_DOCUMENT.names)
-        & exact(top["outputs"], schemas.OUTPUTS.names)
-        & exact(top["forecastInputs"], schemas.INPUTS.names)
-        & exact(top["provenance"], schemas.PROVENANCE.names)
-        & exact(inputs["provenance"], schemas.PROVENANCE.names)
-    )
-    for name in schemas.OUTPUTS.names:
-        confidence = F.get_json_object(outputs[name], "$.confidence")
-        rule = rule & _branch_keys(outputs[name], _METRIC_KEYS)
-        rule = rule & (confidence.isNull() | exact(confidence, schemas.CONFIDENCE.names))
-    for name, _label, _unit, _kind in fixed.INPUT_PANEL:
-        rule = rule & _branch_keys(inputs[name], _INPUT_KEYS)
-    winds = F.from_json(
-        F.get_json_object(inputs["windByAltitude"], "$.value"), T.ArrayType(T.StringType())
-    )
-    return rule & F.coalesce(
-        F.forall(winds, lambda w: exact(w, schemas.WIND_LEVEL.names)), F.lit(True)
-    )
-
-
 def parse_forecast_documents(rows: DataFrame, raw: str) -> DataFrame:
     """Raw text to typed document columns, ``issues`` and ``failure_reason``.
 
-    Text that is no JSON is ``malformed-json``. Anything else that is not exactly a
-    valid document (keys, JSON types, rules) is ``schema-validation``.
+    Text that is no JSON is ``malformed-json``, without issues. Anything else that is not
+    exactly a valid document is ``schema-validation``: one issue for its keys and JSON types,
+    or, where these are as declared, all issues of its rules.
     """
-    text = F.col(raw)
-    corrupt = "_corrupt_record"
-    schema = T.StructType(
-        [*schemas.FORECAST_DOCUMENT.fields, T.StructField(corrupt, T.StringType())]
+    parsed = rows.withColumn("_v", F.try_parse_json(raw))
+    document = F.try_variant_get("_v", "$", schemas.FORECAST_DOCUMENT.simpleString())
+    found = (
+        F.when(F.col("_v").isNull(), no_issues())
+        .when(F.col("_doc").isNull(), issue("", fixed.WRONG_SHAPE))
+        .otherwise(record_issues())
     )
-    parsed = rows.withColumns(
-        {"_v": F.try_parse_json(text), "_doc": F.from_json(text, schema)}
-    ).select("*", "_doc.*")
-    types = F.schema_of_variant("_v")
-    typed = ~types.rlike(_NOT_TEXT) & types.contains(_DRIVERS_TEXT)
-    checked = parsed.withColumn("issues", record_issues())
-    reason = F.when(F.col("_v").isNull(), MALFORMED).when(
-        F.col(corrupt).isNotNull()
-        | ~F.coalesce(typed, F.lit(False))
-        | ~_document_keys_valid(text)
-        | (F.size("issues") > 0),
-        SCHEMA,
+    checked = (
+        parsed.withColumn("_doc", F.when(has_shape(F.col("_v"), document_shape()), document))
+        .select("*", "_doc.*")
+        .withColumn("issues", found)
     )
-    return checked.withColumn("failure_reason", reason).drop("_v", "_doc", corrupt)
+    reason = F.when(F.col("_v").isNull(), MALFORMED).when(F.size("issues") > 0, SCHEMA)
+    return checked.withColumn("failure_reason", reason).drop("_v", "_doc")
 
 
 def split_documents(parsed: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +150,7 @@ def metric_json(metric: Column, with_confidence: bool = True) -> Column:
     return F.when(metric["dataStatus"] == fixed.MISSING, missing).otherwise(_json(*plain))
 
 
-def _object(*pairs: tuple[str, Column]) -> Column:
+def json_object(*pairs: tuple[str, Column]) -> Column:
     """An object around values that are JSON text already."""
     parts = []
     for i, (name, json) in enumerate(pairs):
@@ -208,22 +158,22 @@ def _object(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
-def _scalar(value: Column) -> Column:
+def json_scalar(value: Column) -> Column:
     """JSON text of one scalar or nested value, with quotes and escapes."""
     wrapped = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
     return wrapped.substr(F.lit(6), F.length(wrapped) - 6)
 
 
 def outputs_json(outputs: Column) -> Column:
-    return _object(
+    return json_object(
         *[(name, metric_json(outputs[name])) for name, _label, _unit in fixed.OUTPUT_PANEL]
     )
 
 
 def inputs_json(inputs: Column) -> Column:
-    return _object(
-        ("provenance", _scalar(inputs["provenance"])),
-        ("sourceRunAt", _scalar(inputs["sourceRunAt"])),
+    return json_object(
+        ("provenance", json_scalar(inputs["provenance"])),
+        ("sourceRunAt", json_scalar(inputs["sourceRunAt"])),
         *[
             (name, metric_json(inputs[name], with_confidence=False))
             for name, _label, _unit, _kind in fixed.INPUT_PANEL
@@ -233,31 +183,31 @@ def inputs_json(inputs: Column) -> Column:
 
 def document_json(record: Column) -> Column:
     """JSON text of a detailed forecast record."""
-    return _object(
-        ("siteId", _scalar(record["siteId"])),
-        ("siteSlug", _scalar(record["siteSlug"])),
-        ("forecastDate", _scalar(record["forecastDate"])),
-        ("generatedAt", _scalar(record["generatedAt"])),
-        ("provenance", _scalar(record["provenance"])),
+    return json_object(
+        ("siteId", json_scalar(record["siteId"])),
+        ("siteSlug", json_scalar(record["siteSlug"])),
+        ("forecastDate", json_scalar(record["forecastDate"])),
+        ("generatedAt", json_scalar(record["generatedAt"])),
+        ("provenance", json_scalar(record["provenance"])),
         ("outputs", outputs_json(record["outputs"])),
         ("forecastInputs", inputs_json(record["forecastInputs"])),
-        ("topDrivers", _scalar(record["topDrivers"])),
+        ("topDrivers", json_scalar(record["topDrivers"])),
     )
 
 
 def summary_json(summary: Column) -> Column:
     """JSON text of an available or missing summary, each with its own keys."""
     identity = [
-        (name, _scalar(summary[name]))
+        (name, json_scalar(summary[name]))
         for name in ("availability", "siteId", "siteSlug", "forecastDate")
     ]
-    available = _object(
+    available = json_object(
         *identity,
-        ("generatedAt", _scalar(summary["generatedAt"])),
-        ("provenance", _scalar(summary["provenance"])),
+        ("generatedAt", json_scalar(summary["generatedAt"])),
+        ("provenance", json_scalar(summary["provenance"])),
         ("outputs", outputs_json(summary["outputs"])),
     )
-    missing = _object(*identity, ("missingReason", _scalar(summary["missingReason"])))
+    missing = json_object(*identity, ("missingReason", json_scalar(summary["missingReason"])))
     return F.when(summary["availability"] == fixed.MISSING, missing).otherwise(available)
 
 
