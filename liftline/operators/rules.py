@@ -496,9 +496,10 @@ def with_problem(rows: DataFrame, code: str, namespace: str) -> DataFrame:
     )
 
 
-def problem_issues(namespace: str) -> Column:
-    """A reject row agrees with its code on type, title and status and has a detail."""
-    code = F.col("code")
+def problem_issues(namespace: str, problem: Column | None = None) -> Column:
+    """A reject row (or struct) agrees with its code on type, title and status and has a detail."""
+    held = F.col if problem is None else problem.getField
+    code = held("code")
     expected = {
         "type": problem_type(code, namespace),
         "title": _code_value(code, 1),
@@ -509,23 +510,24 @@ def problem_issues(namespace: str) -> Column:
         unless(known, "code", fixed.WRONG_WORD),
         *[
             F.when(
-                known & ~F.col(field).eqNullSafe(value),
+                known & ~held(field).eqNullSafe(value),
                 issue(field, F.format_string(fixed.PROBLEM_FIELD_MESSAGE, F.lit(field), code)),
             )
             for field, value in expected.items()
         ],
-        unless(~X.is_blank(F.col("detail")), "detail", fixed.WRONG_NAME),
+        unless(~X.is_blank(held("detail")), "detail", fixed.WRONG_NAME),
     )
 
 
-def problem_envelope_issues() -> Column:
+def problem_envelope_issues(request_id: Column | None = None, issues: Column | None = None) -> Column:
     """The ``request_id`` of a problem, and its ``issues``: a message for each, a path if only empty."""
+    request_id = F.col("request_id") if request_id is None else request_id
     each = issues_of_items(
-        F.col("issues"),
+        F.col("issues") if issues is None else issues,
         lambda item, i: issue_list(
             F.when(item["path"].isNull(), issue(join_path("issues", i.cast("string"), "path"), fixed.REQUIRED)),
             F.when(X.is_blank(item["message"]), issue(join_path("issues", i.cast("string"), "message"), fixed.WRONG_NAME)),
         ),
     )
-    known = F.coalesce(F.col("request_id").rlike(fixed.REQUEST_ID_PATTERN), F.lit(False))
+    known = F.coalesce(request_id.rlike(fixed.REQUEST_ID_PATTERN), F.lit(False))
     return F.concat(issue_list(unless(known, "requestId", fixed.WRONG_REQUEST_ID)), each)

@@ -1,4 +1,4 @@
-"""Whole JSON documents and response bodies, written and strictly read."""
+"""Whole JSON documents and response bodies, written and strictly read."""
 
 from __future__ import annotations
 
@@ -321,3 +321,37 @@ def sites_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = responses.parse_sites_responses(candidates.select("pos", raw.alias("raw")), "raw")
     count = F.when(F.col("record").isNotNull(), F.size("record.sites"))
     return parsed.select("pos", "failure_reason", *_first_issue(), count.alias("n_sites"))
+
+
+@query(
+    "a43_problem_body",
+    with_views(
+        ("ev",),
+        f"""SELECT event_id, failure_reason, path, message, CASE WHEN failure_reason IS NULL THEN code END AS code,
+  CASE WHEN failure_reason IS NULL AND k % 3 > 0 THEN k % 3 END AS n_issues FROM (SELECT *, {_sql_outcome({
+        1: ("true", "title", "'Expected title to match problem code ' || code || '.'"),
+        2: ("true", "status", "'Expected status to match problem code ' || code || '.'"),
+        3: ("true", "type", "'Expected type to match problem code ' || code || '.'"),
+        4: ("true", "detail", fixed.WRONG_NAME), 5: ("true", "code", fixed.WRONG_WORD), 6: ("true", "", fixed.WRONG_SHAPE)}, 7)}
+FROM (SELECT event_id, k, event_id % 7 AS kind, {C.CODE_SQL} AS code FROM ev) s) t""",
+    ),
+)
+def problem_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems with no, one or two issues, written and read; of some the status is a text."""
+    listed = F.array(
+        *[F.struct(F.lit(path).alias("path"), F.lit("Message.").alias("message")) for path in ("siteSlug", "")]
+    )
+    more = V.event_rows(spark, sf_dir).select(
+        "event_id", F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("requestId"),
+        F.when(F.col("k") % 3 > 0, F.slice(listed, F.lit(1), F.col("k") % 3)).alias("issues"),
+    )
+    rows = C.problem_rows(spark, sf_dir).join(more, "event_id")
+    text = responses.problem_json(F.struct(*schemas.PROBLEM.names))
+    odd = F.regexp_replace("text", r'"status":(\d+)', r'"status":"$1"')
+    written = rows.select("event_id", text.alias("text"))
+    raw = written.select("event_id", F.when(F.col("event_id") % 7 == 6, odd).otherwise(F.col("text")).alias("raw"))
+    parsed = responses.parse_problems(raw, "raw", C.NAMESPACE)
+    own = F.when(F.col("record.issues").isNotNull(), F.size("record.issues"))
+    return parsed.select(
+        "event_id", "failure_reason", *_first_issue(), F.col("record.code").alias("code"), own.alias("n_issues")
+    )

@@ -492,7 +492,7 @@ def issue_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMESPACE = "liftline"
 
 
-def _problem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def problem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem rows of all codes; some disagree with their code."""
     codes = F.array(*[F.lit(row[0]) for row in fixed.PROBLEM_CODES])
     kind = F.col("event_id") % 7
@@ -511,14 +511,14 @@ def _problem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CODE_SQL = "(['VALIDATION_ERROR', 'SITE_NOT_FOUND', 'FORECAST_NOT_FOUND', 'ROUTE_NOT_FOUND', 'RESPONSE_CONTRACT_ERROR', 'INTERNAL_SERVER_ERROR'])[k % 6 + 1]"
+CODE_SQL = "(['VALIDATION_ERROR', 'SITE_NOT_FOUND', 'FORECAST_NOT_FOUND', 'ROUTE_NOT_FOUND', 'RESPONSE_CONTRACT_ERROR', 'INTERNAL_SERVER_ERROR'])[k % 6 + 1]"
 
 
 @query(
     "a43_problem_codes",
     with_views(
         ("ev",),
-        f"""SELECT event_id, u.path, u.message FROM (SELECT event_id, event_id % 7 AS kind, {_CODE_SQL} AS code FROM ev) t
+        f"""SELECT event_id, u.path, u.message FROM (SELECT event_id, event_id % 7 AS kind, {CODE_SQL} AS code FROM ev) t
 CROSS JOIN LATERAL (VALUES (kind = 1, 'title', 'Expected title to match problem code ' || code || '.'),
   (kind IN (1, 2), 'status', 'Expected status to match problem code ' || code || '.'),
   (kind = 3, 'type', 'Expected type to match problem code ' || code || '.'),
@@ -526,7 +526,7 @@ CROSS JOIN LATERAL (VALUES (kind = 1, 'title', 'Expected title to match problem
     ),
 )
 def problem_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = _problem_rows(spark, sf_dir).withColumn("issues", rules.problem_issues(NAMESPACE))
+    checked = problem_rows(spark, sf_dir).withColumn("issues", rules.problem_issues(NAMESPACE))
     return rules.issue_rows(checked, ["event_id"]).drop("issue_pos")
 
 

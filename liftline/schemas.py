@@ -79,6 +79,16 @@ DAYS_RESPONSE = _struct(
     days=T.ArrayType(_struct(forecastDate=_S, chance100KmPct=output_metric(_D))),
 )
 
+PROBLEM = _struct(
+    type=_S,
+    title=_S,
+    status=_L,
+    detail=_S,
+    code=_S,
+    requestId=_S,
+    issues=T.ArrayType(_struct(path=_S, message=_S)),
+)
+
 # One record per (site_id, forecast_date); runs share the shape plus run_id.
 PREDICTION = _struct(
     site_id=_L,

@@ -1,4 +1,4 @@
-"""Response bodies of the sites, summaries and days routes, strictly read and written.
+"""Response bodies of the sites, summaries and days routes and of problems, strictly read and written.
 
 A body is judged in three steps, each only if the one before found nothing: the keys and
 JSON types of every object, the rules of every field, the rules between items. All work is
@@ -136,6 +136,36 @@ def parse_days_responses(rows: DataFrame, raw: str) -> DataFrame:
     return _judge(rows, raw, schemas.DAYS_RESPONSE, "days", _DAY_SHAPE, fields, between)
 
 
+def _problem_shape() -> str:
+    """A problem with or without issues."""
+    fields = {field.name: shape_of(field.dataType) for field in schemas.PROBLEM}
+    without = {name: shape for name, shape in fields.items() if name != "issues"}
+    return either(object_shape(**fields), object_shape(**without))
+
+
+def parse_problems(rows: DataFrame, raw: str, namespace: str) -> DataFrame:
+    """Problem bodies; ``issues`` are those found in the body, its own are in ``record``."""
+    body, typed = F.col("_body"), F.col("_typed")
+    read = rows.withColumn("_body", F.try_parse_json(raw)).withColumn(
+        "_typed",
+        F.when(has_shape(body, _problem_shape()), F.try_variant_get(body, "$", schemas.PROBLEM.simpleString())),
+    )
+    ruled = issue_list(
+        rules.problem_issues(namespace, typed),
+        rules.problem_envelope_issues(typed["requestId"], typed["issues"]),
+    )
+    found = (
+        F.when(body.isNull(), no_issues()).when(typed.isNull(), issue("", fixed.WRONG_SHAPE)).otherwise(ruled)
+    )
+    judged = read.withColumn("issues", found)
+    reason = F.when(body.isNull(), MALFORMED).when(F.size("issues") > 0, SCHEMA)
+    return (
+        judged.withColumn("failure_reason", reason)
+        .withColumn("record", F.when(F.col("failure_reason").isNull(), typed))
+        .drop("_body", "_typed")
+    )
+
+
 # --- Sinks -----------------------------------------------------------------------
 
 
@@ -143,6 +173,12 @@ def site_json(site: Column) -> Column:
     return json_object(*[(name, json_scalar(site[name])) for name in schemas.SITE.names])
 
 
+def problem_json(problem: Column) -> Column:
+    """The body of a problem; one without issues has no such key."""
+    pairs = [(name, json_scalar(problem[name])) for name in schemas.PROBLEM.names]
+    return F.when(problem["issues"].isNull(), json_object(*pairs[:-1])).otherwise(json_object(*pairs))
+
+
 def _list(texts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 

@@ -141,6 +141,43 @@ def test_no_json_and_no_rows(spark, parse, cases):
     assert parse(raw.limit(0), "raw").collect() == []
 
 
+PROBLEM = {
+    "type": "urn:ns:problem:site-not-found", "title": "Site not found", "status": 404, "detail": "No site.",
+    "code": "SITE_NOT_FOUND", "requestId": "r-1", "issues": [{"path": "", "message": "m"}],
+}
+PROBLEM_CASES = [
+    (PROBLEM, None),
+    (PROBLEM | {"issues": []}, None),
+    (without(PROBLEM, "issues"), None),
+    (PROBLEM | {"issues": None}, ""),
+    (PROBLEM | {"issues": [{"path": "", "message": "m", "x": 1}]}, ""),
+    (PROBLEM | {"issues": [{"path": "", "message": "m"}, {"message": "m"}]}, "issues.1.path"),
+    (PROBLEM | {"issues": [{"path": "", "message": "m"}, None]}, "issues.1.path"),
+    (PROBLEM | {"issues": [{"path": "", "message": " "}]}, "issues.0.message"),
+    (PROBLEM | {"status": 400}, "status"),
+    (PROBLEM | {"status": "404"}, ""),
+    (PROBLEM | {"type": "urn:other:problem:site-not-found"}, "type"),
+    (PROBLEM | {"code": "OTHER"}, "code"),
+    (PROBLEM | {"requestId": "a b"}, "requestId"),
+    (PROBLEM | {"detail": ""}, "detail"),
+    (without(PROBLEM, "detail"), ""),
+    (5, ""),
+]
+
+
+def test_problems_and_their_text(spark):
+    texts = [json.dumps(body) for body, _path in PROBLEM_CASES]
+    raw = spark.createDataFrame(list(enumerate([*texts, "{", None])), "n int, raw string")
+    parsed = responses.parse_problems(raw, "raw", "ns")
+    out = F.when(F.col("record").isNotNull(), responses.problem_json(F.col("record")))
+    found = {r["n"]: r for r in parsed.withColumn("out", out).collect()}
+    for n, (body, path) in enumerate(PROBLEM_CASES):
+        row = found.pop(n)
+        assert (row["issues"][0]["path"] if row["issues"] else None) == path, body
+        assert (json.loads(row["out"]) if row["out"] else None) == (body if path is None else None)
+    assert {r["failure_reason"] for r in found.values()} == {"malformed-json"}
+
+
 def test_columns_beside_the_text_stay(spark):
     raw = spark.createDataFrame([(json.dumps(BATCH), 1, 2)], "raw string, siteId int, summaries int")
     row = responses.parse_summaries_responses(raw, "raw").collect()[0]
