@@ -22,6 +22,7 @@ from liftline.functions.issues import (
     issue_list,
     issues_of_items,
     join_path,
+    no_issues,
     unless,
 )
 
@@ -88,9 +89,10 @@ def _metric_list(metrics: list[tuple[str, Column, Column]], with_confidence: boo
 
     What the rules ask of a metric is computed once, into an array of small structs; one
     expression then judges all of them. So the size of the plan and of the generated code
-    does not multiply by the branches of the rules.
+    does not multiply by the branches of the rules. That expression is not generated code,
+    so it is left to rows of which a plain test, which is, says that a metric is broken.
     """
-    facts = []
+    facts, whole = [], F.lit(True)
     for path, metric, value_rule in metrics:
         fields = {
             "path": F.lit(path),
@@ -104,20 +106,29 @@ def _metric_list(metrics: list[tuple[str, Column, Column]], with_confidence: boo
             fields["unsure"] = metric["confidence"].isNull()
             fields["sure"] = F.coalesce(_confidence_rule(metric), F.lit(False))
         facts.append(F.struct(*[c.alias(name) for name, c in fields.items()]))
+        whole = whole & _metric_holds(fields, with_confidence)
 
     def judged(m: Column) -> Column:
         known, gone = is_word(m["status"], fixed.AVAILABLE_STATUSES), is_word(m["status"], [fixed.MISSING])
-        available, missing = known & m["fits"] & m["plain"], gone & m["empty"] & m["told"]
-        if with_confidence:
-            available, missing = available & m["sure"], missing & m["unsure"]
         fault = (
             F.when(~known & ~gone, F.struct(join_path(m["path"], "dataStatus").alias("path"), F.lit(fixed.WRONG_WORD).alias("message")))
             .when(known & ~m["fits"], F.struct(join_path(m["path"], "value").alias("path"), F.lit(fixed.WRONG_NUMBER).alias("message")))
             .otherwise(F.struct(m["path"].alias("path"), F.lit(fixed.WRONG_BRANCH).alias("message")))
         )
-        return F.when(~(available | missing), fault)
+        return F.when(~_metric_holds(m, with_confidence), fault)
+
+    faults = F.filter(F.transform(F.array(*facts), judged), lambda fault: fault.isNotNull())
+    return F.when(whole, no_issues()).otherwise(faults)
 
-    return F.filter(F.transform(F.array(*facts), judged), lambda fault: fault.isNotNull())
+
+def _metric_holds(facts: Column | dict[str, Column], with_confidence: bool) -> Column:
+    """Whether one of the two branches holds completely, from the facts of a metric; never null."""
+    known = is_word(facts["status"], fixed.AVAILABLE_STATUSES)
+    gone = is_word(facts["status"], [fixed.MISSING])
+    available, missing = known & facts["fits"] & facts["plain"], gone & facts["empty"] & facts["told"]
+    if with_confidence:
+        available, missing = available & facts["sure"], missing & facts["unsure"]
+    return available | missing
 
 
 def output_value_rule(name: str, value: Column) -> Column:
@@ -194,9 +205,10 @@ def nesting_issues(outputs: Column, path: str = "outputs") -> Column:
             ),
         )
 
-    # In an array of one, so that each verdict is computed once.
+    # In an array of one, so that each verdict is computed once, and only where a value rises.
     once = F.array(F.struct(*[c.alias(name) for name, c in facts.items()]))
-    return F.flatten(F.transform(once, judged))
+    rises = (facts["v100"] < facts["v200"]) | (facts["v200"] < facts["v300"]) | (facts["v100"] < facts["v300"])
+    return F.when(rises, F.flatten(F.transform(once, judged))).otherwise(no_issues())
 
 
 # --- Documents -------------------------------------------------------------------

@@ -47,6 +47,8 @@ def local_session(cores: int | str = "*", app_name: str = "liftline") -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
+        # Read when the session starts only: no stack trace for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
