@@ -186,8 +186,14 @@ def repeated_fingerprints(
         blobs = [None] * len(ids)
         if with_values:
             values = np.concatenate([unpack(r["vals"]) for r in rows])
-            values = values[np.argsort(np.repeat(own, n), kind="stable")]
-            blobs = [pack(part) for part in np.split(values, np.cumsum(sums)[:-1])]
+            owner = np.repeat(own, n)
+            order = np.lexsort((values, owner))
+            values, owner = values[order], owner[order]
+            # Texts that share ``doc`` in a block give their values once.
+            new = np.ones(len(values), bool)
+            new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+            values, owner = values[new], owner[new]
+            blobs = [pack(part) for part in np.split(values, np.searchsorted(owner, np.arange(1, len(ids))))]
         return pa.Table.from_arrays([pa.array(ids), pa.array(sums), pa.array(blobs, pa.binary())], schema=_TOTALS)
 
     schema = "grp long, block long, docs binary, vals binary, owners binary"

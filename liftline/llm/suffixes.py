@@ -14,6 +14,10 @@ smaller doc_id. To find these strings, suffixes of all documents are sorted:
    gives out are the common prefixes of neighbours in the suffix array.
 4. From these and the bytes to the left of the anchors follows, for every string, the
    smallest document that has it.
+
+A gram that alone fills a range, as one of a licence line in many documents does, would
+meet in one task. Its strings are dealt out by a 128-bit hash of their bytes instead,
+reduced to those of the smallest document before they are sent.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ _RIGHT, _LEFT = 56, 40  # bytes kept right and left of an anchor, in whole words
 RUN_SUFFIXES, RANGE_SUFFIXES = 400_000, 200_000
 # Documents that are expected to give splitters; they only even out the ranges.
 SPLITTER_DOCS, SPLITTERS_EACH = 2000, 32
+# Suffixes of frequent grams that are turned to strings at a time; pieces they are dealt to
+# for each range that such a gram fills.
+HOT_SUFFIXES, HOT_PIECES = 50_000, 8
 
 _NULL = -(2**63)
 
@@ -109,7 +116,7 @@ def _answers(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarra
     begin = np.flatnonzero(cut)
     stop = np.append(begin[1:], len(doc)) - 1
     ranges = np.stack([doc[begin], row[begin], start[begin], reach[stop]])
-    part = (T.mix(ranges[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    part = (T.mix(ranges[1].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     which, first = np.unique(part[order], return_index=True)
     for p, own in zip(which.tolist(), np.split(order, first[1:]), strict=True):
@@ -129,6 +136,63 @@ def _by_text(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(doc[begin]), pa.array(row[begin]), *blobs], ["doc", "row", "first", "last"])
 
 
+def _string_codes(rights: np.ndarray, lefts: np.ndarray, factor: int) -> np.ndarray:
+    """A hash of the string at each offset (rows) left of each anchor (columns)."""
+    codes = np.zeros((_OFFSETS, len(rights)), np.uint64)
+    times = np.uint64(factor)
+    code = np.zeros(len(rights), np.uint64)
+    for i in range(LENGTH):
+        code = T.mix(code + (rights[:, i] + np.uint64(1)) * times)
+        if i >= GRAM - 1:
+            codes[LENGTH - 1 - i] = code
+    code = np.zeros(len(rights), np.uint64)
+    for offset in range(_OFFSETS):
+        if offset:
+            code = T.mix(code + (lefts[:, offset - 1] + np.uint64(1)) * times)
+        codes[offset] = T.mix(codes[offset] + T.mix(code + np.uint64(offset)))
+    return codes
+
+
+def _later(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether an earlier document has the same string, by both rows of ``codes``."""
+    order = np.lexsort((doc, codes[1], codes[0]))
+    sorted_codes, docs = codes[:, order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (sorted_codes[:, 1:] != sorted_codes[:, :-1]).any(axis=0)
+    smallest = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = np.zeros(len(doc), bool)
+    later[order] = docs > smallest
+    return later
+
+
+def _hot_sent(suffixes: tuple[np.ndarray, ...], pieces: int, parts: int) -> Iterator[dict]:
+    """The strings of suffixes of frequent grams, one block per piece, and what is settled here."""
+    for begin in range(0, len(suffixes[0]), HOT_SUFFIXES):
+        rights, right, lefts, left, doc, row, at = (x[begin : begin + HOT_SUFFIXES] for x in suffixes)
+        offset = np.arange(_OFFSETS)[:, None]
+        which, own = np.nonzero((right >= LENGTH - offset) & (left >= offset))
+        codes = np.stack([_string_codes(rights, lefts, f)[which, own] for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
+        doc, row, start = doc[own], row[own], at[own] - which
+        gone = _later(codes, doc)
+        for answer in _answers(doc[gone], row[gone], start[gone], start[gone], parts):
+            yield answer | {"grp": -1 - answer["part"]}
+        codes, doc, row, start = codes[:, ~gone], doc[~gone], row[~gone], start[~gone]
+        piece = (codes[0] % np.uint64(pieces)).astype(np.int64)
+        order = np.argsort(piece, kind="stable")
+        found, first = np.unique(piece[order], return_index=True)
+        for p, mine in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+            columns = [codes[0][mine], codes[1][mine], *[x[mine].astype(np.uint64) for x in (doc, row, start)]]
+            yield {"grp": parts + p, "where": pack(np.concatenate(columns))}
+
+
+def _hot_merged(blobs: list[bytes], parts: int) -> pa.Table:
+    """What of the strings of a piece an earlier document has."""
+    columns = np.concatenate([unpack(blob).reshape(5, -1) for blob in blobs], axis=1)
+    doc, row, start = columns[2:].astype(np.int64)
+    gone = _later(columns[:2], doc)
+    return pa.Table.from_pylist(list(_answers(doc[gone], row[gone], start[gone], start[gone], parts)), schema=_FOUND)
+
+
 class _Run:
     """Suffixes of a task, until there are enough to sort."""
 
@@ -146,7 +210,7 @@ class _Run:
         self.parts.append((rights, right, lefts, at - first, doc[text], row[text], at - base))
         self.size += len(at)
 
-    def sent(self, splitters: np.ndarray) -> Iterator[dict]:
+    def sent(self, splitters: np.ndarray, hot: np.ndarray, pieces: int) -> Iterator[dict]:
         """Front-coded blocks, one per range, and what is settled here, one blob per part."""
         if self.size == 0:
             return
@@ -167,7 +231,12 @@ class _Run:
         for answer in settled:
             yield answer | {"grp": -1 - answer["part"]}
         keep = ~gone
+        frequent = keep & np.isin(np.ascontiguousarray(rights[:, :GRAM]).view(f"S{GRAM}").ravel(), hot)
+        yield from _hot_sent(tuple(x[frequent] for x in (rights, right, lefts, left, doc, row, at)), pieces, len(splitters) + 1)
+        keep &= ~frequent
         rights, right, lefts, left, doc, row, at = (x[keep] for x in (rights, right, lefts, left, doc, row, at))
+        if len(doc) == 0:
+            return
         # A block is front-coded from its own first suffix on.
         heads = np.ascontiguousarray(rights[:, :GRAM]).view(f"S{GRAM}").ravel()
         group = np.searchsorted(splitters, heads, "right")
@@ -289,6 +358,8 @@ def _decoded(shape: bytes, rest: bytes, left: bytes, where: bytes) -> tuple:
 def _merge(table: pa.Table, parts: int) -> pa.Table:
     if table.column("grp")[0].as_py() < 0:  # settled inside a run
         return table.select(_FOUND.names)
+    if table.column("grp")[0].as_py() >= parts:
+        return _hot_merged(table.column("where").to_pylist(), parts)
     blocks = [_decoded(*x) for x in zip(*[table.column(c).to_pylist() for c in ("shape", "rest", "left", "where")], strict=True)]
     base = np.cumsum([0, *[len(b[0]) for b in blocks]])
     following = base[:-1].tolist()
@@ -326,20 +397,16 @@ def _merge(table: pa.Table, parts: int) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_FOUND)
 
 
-def _row_keys(piece: T.Slice) -> np.ndarray:
-    """Tells texts of one doc_id apart."""
-    return T.span_hashes(piece.data, piece.offsets[:-1], piece.offsets[1:], fold=False).view(np.int64)
-
-
-def _sorted_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
+def _sorted_runs(texts: DataFrame, splitters: np.ndarray, hot: np.ndarray, pieces: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = _Run()
 
         def out() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_pylist(list(run.sent(splitters)), schema=_SENT)
+            yield pa.RecordBatch.from_pylist(list(run.sent(splitters, hot, pieces)), schema=_SENT)
 
         for batch in batches:
-            ids, seen = batch.column("doc").to_numpy(), batch.column("seen").to_pylist()
+            ids, rows = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
+            seen = batch.column("seen").to_pylist()
             for piece in T.slices(batch.column("text")):
                 if len(piece.data) < LENGTH:
                     continue
@@ -351,8 +418,8 @@ def _sorted_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
                     if b > a:
                         known = np.concatenate([unpack(blob) for blob in seen[piece.first + i]])
                         hit[a:b] = np.isin(grams[a:b], known)
-                own = ids[piece.first : piece.first + piece.n]
-                run.add(piece, anchors, np.flatnonzero(hit), own, _row_keys(piece))
+                own = slice(piece.first, piece.first + piece.n)
+                run.add(piece, anchors, np.flatnonzero(hit), ids[own], rows[own])
                 if run.size >= RUN_SUFFIXES:
                     yield from out()
                     run = _Run()
@@ -362,8 +429,11 @@ def _sorted_runs(texts: DataFrame, splitters: np.ndarray) -> DataFrame:
     return texts.mapInArrow(send, schema)
 
 
-def _splitters(texts: DataFrame, ranges: int, rows: int) -> np.ndarray:
-    """Grams that cut the suffixes into about equal ranges, from a bounded sample."""
+def _splitters(texts: DataFrame, ranges: int, rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Grams that cut the suffixes into about equal ranges, from a bounded sample.
+
+    Then those that fill a range by themselves, and the pieces for their strings.
+    """
     parts = max(1, rows // SPLITTER_DOCS)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,12 +445,14 @@ def _splitters(texts: DataFrame, ranges: int, rows: int) -> np.ndarray:
                     rights = _bytes_at(piece.data, at.at[picked], 1, GRAM, np.full(len(picked), GRAM))
                     yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rights], pa.binary())], ["head"])
 
-    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(parts)) == 0).select("text")
+    # Rows that are repeated count once: in a run they are one.
+    some = texts.where(F.pmod("row", F.lit(parts)) == 0).dropDuplicates(["row"]).select("text")
     found = some.mapInArrow(heads, "head binary").toArrow().column("head").to_pylist()
     ordered = np.sort(np.array(found, f"S{GRAM}"))
     if len(ordered) == 0:
-        return ordered
-    return np.unique(ordered[np.arange(1, ranges) * len(ordered) // ranges])
+        return ordered, ordered, 1
+    cuts, times = np.unique(ordered[np.unique(np.arange(1, ranges) * len(ordered) // ranges)], return_counts=True)
+    return cuts, cuts[times > 1], max(1, HOT_PIECES * int((times - 1).sum()))
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -392,32 +464,33 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows are told by doc_id and text, so many null or repeated ids make no large group.
+    texts = texts.withColumn("row", F.xxhash64("doc", "text"))
     size, rows = total_bytes(texts), texts.count()
-    seen = settle(repeated_fingerprints(texts, _grams, size, with_values=True), "grams")
+    seen = settle(repeated_fingerprints(texts.select(F.col("row").alias("doc"), "text"), _grams, size, with_values=True), "grams")
     total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    splitters = _splitters(texts, max(1, -(-total // RANGE_SUFFIXES)), rows)
-    per_doc = seen.groupBy("doc").agg(F.collect_list("vals").alias("seen"))
-    sent = _sorted_runs(texts.join(per_doc, "doc"), splitters)
+    splitters, hot, pieces = _splitters(texts, max(1, -(-total // RANGE_SUFFIXES)), rows)
+    # Of equal rows all blocks give the same values.
+    per_row = seen.groupBy(F.col("doc").alias("row")).agg(F.collect_set("vals").alias("seen"))
+    sent = _sorted_runs(texts.join(per_row, "row"), splitters, hot, pieces)
     parts = len(splitters) + 1
     found = sent.groupBy("grp").applyInArrow(lambda table: _merge(table, parts), "part long, found binary")
     answers = found.groupBy("part").applyInArrow(_by_text, "doc long, row long, first binary, last binary")
-    ranges = answers.groupBy("doc").agg(F.collect_list(F.struct("row", "first", "last")).alias("found"))
+    ranges = answers.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("found").to_pylist()
             out: list[tuple] = []
             for piece in T.slices(batch.column("text")):
-                keys = _row_keys(piece)
                 for i in range(piece.n):
                     data = piece.data[piece.offsets[i] : piece.offsets[i + 1]]
-                    own = [x for x in found[piece.first + i] or [] if x["row"] == keys[i]]
-                    out.append(_cut(data, own))
+                    out.append(_cut(data, found[piece.first + i] or []))
             columns = [batch.column("doc"), *[pa.array([r[k] for r in out], t) for k, t in enumerate(_CUT)]]
             yield pa.RecordBatch.from_arrays(columns, ["doc", *_CUT_NAMES])
 
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
-    result = texts.join(ranges, "doc", "left").mapInArrow(cut, schema)
+    result = texts.join(ranges, ["doc", "row"], "left").mapInArrow(cut, schema)
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)),
         lambda i: F.struct(F.get("spans", i).alias("start"), F.get("spans", i + 1).alias("end")),

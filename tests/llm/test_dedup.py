@@ -272,6 +272,44 @@ def test_repeated_bytes(spark):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
 
 
+def common_phrase_rows(n=90):
+    """A third of the rows around one phrase, a third of the rows without doc_id, one of them repeated."""
+    random.seed(8)
+    phrase = "Licensed for any use, provided that this line stays with the text."
+    word = lambda k: "".join(random.choice("abcdefgh ") for _ in range(k))
+    rows = [(i, word(40 + i % 7) + phrase + word(45)) for i in range(n)]
+    rows += [(n + i, word(120)) for i in range(n)]
+    rows += [(None, rows[i][1][: 60 + i]) for i in range(n // 2)] + [(None, "z" + rows[3][1])] * (n // 2)
+    return rows
+
+
+@pytest.mark.parametrize("size", [200_000, 20])
+def test_bytes_of_a_phrase_in_a_third_of_the_rows(spark, monkeypatch, size):
+    rows, hot = common_phrase_rows(), []
+    monkeypatch.setattr(suffixes, "RANGE_SUFFIXES", size)
+    cuts = suffixes._splitters
+    monkeypatch.setattr(suffixes, "_splitters", lambda *a: hot.append(cuts(*a)) or hot[-1])
+    got = suffixes.repeated_bytes(frame(spark, rows)).drop("spans").collect()
+    least = lambda d: -(2**63) if d is None else d
+    want = brute.repeated_bytes([(least(d), t) for d, t in rows])
+    assert Counter((least(r[0]), *r[1:]) for r in got) == Counter(want)
+    assert (len(hot[0][1]) > 0) == (size < 200_000)
+
+
+def test_strings_of_frequent_grams_are_dealt_out():
+    rng = np.random.default_rng(4)
+    n = 3000
+    rights, lefts = rng.integers(97, 122, (n, 56)).astype(np.uint8), rng.integers(97, 122, (n, 40)).astype(np.uint8)
+    rights[:, : suffixes.GRAM] = 65
+    whole = np.full(n, 50), np.full(n, 34)
+    suffix = (rights, whole[0], lefts, whole[1], np.arange(n), np.arange(n), np.full(n, 34))
+    sizes = Counter()
+    for block in suffixes._hot_sent(suffix, 16, 4):
+        sizes[block["grp"]] += len(suffixes.unpack(block["where"])) // 5
+    assert sum(sizes.values()) == n * 35 and len(sizes) == 16
+    assert max(sizes.values()) < 1.1 * n * 35 / 16
+
+
 def test_null_id_is_smallest_for_bytes(spark):
     text = "".join(chr(97 + i % 26) for i in range(60))
     got = {r.doc_id: r.n_removed for r in suffixes.repeated_bytes(frame(spark, [(None, text), (3, text)])).collect()}
