@@ -476,21 +476,23 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     parts = len(splitters) + 1
     found = sent.groupBy("grp").applyInArrow(lambda table: _merge(table, parts), "part long, found binary")
     answers = found.groupBy("part").applyInArrow(_by_text, "doc long, row long, first binary, last binary")
-    ranges = answers.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    ranges = answers.groupBy("row").agg(F.collect_list(F.struct("doc", "first", "last")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("found").to_pylist()
+            found, ids = batch.column("found").to_pylist(), batch.column("doc").to_pylist()
             out: list[tuple] = []
             for piece in T.slices(batch.column("text")):
                 for i in range(piece.n):
                     data = piece.data[piece.offsets[i] : piece.offsets[i + 1]]
-                    out.append(_cut(data, found[piece.first + i] or []))
+                    own = [x for x in found[piece.first + i] or [] if x["doc"] == ids[piece.first + i]]
+                    out.append(_cut(data, own))
             columns = [batch.column("doc"), *[pa.array([r[k] for r in out], t) for k, t in enumerate(_CUT)]]
             yield pa.RecordBatch.from_arrays(columns, ["doc", *_CUT_NAMES])
 
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
-    result = texts.join(ranges, ["doc", "row"], "left").mapInArrow(cut, schema)
+    # On the key of the join above, so that texts are shuffled once.
+    result = texts.join(ranges, "row", "left").mapInArrow(cut, schema)
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)),
         lambda i: F.struct(F.get("spans", i).alias("start"), F.get("spans", i + 1).alias("end")),
