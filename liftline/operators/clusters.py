@@ -6,14 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftline.operators.keyed import skew_safe_join
-from liftline.session import scratch_path
-
-
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and read back, so that rounds do not repeat each other."""
-    path = scratch_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+from liftline.session import written
 
 
 def least_reachable(edges: DataFrame) -> DataFrame:
@@ -22,14 +15,14 @@ def least_reachable(edges: DataFrame) -> DataFrame:
     Each round a node takes the least label beside it, and then the label of that label,
     so that long chains take few rounds. One number per round reaches the driver.
     """
-    links = _written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = _written(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
+    links = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    labels = written(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:
         beside = labels.select(F.col("node").alias("b"), "label")
         near = links.join(beside, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").withColumn("low", F.least("label", "near"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("root"))
-        after = _written(lower.join(jump, "low").select("node", F.least("low", "root").alias("label"), F.col("label").alias("before")), "labels")
+        after = written(lower.join(jump, "low").select("node", F.least("low", "root").alias("label"), F.col("label").alias("before")), "labels")
         labels = after.select("node", "label")
         if after.where("label <> before").isEmpty():
             return labels
@@ -66,13 +59,13 @@ def dense_cells(places: DataFrame, latitude: str, longitude: str, degrees: float
     """
     cell = grid_cell(F.col(latitude), F.col(longitude), degrees)
     counted = places.where(cell.isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("n_places"))
-    counted = _written(counted, "cells")
+    counted = written(counted, "cells")
     cores = counted.where(F.col("n_places") >= least).select("cell")
     around = cores.select(F.col("cell").alias("core_cell"), F.explode(_beside(F.col("cell"), degrees)).alias("cell"))
     touching = around.join(cores, "cell").select(F.col("core_cell").alias("a"), F.col("cell").alias("b"))
     joined = least_reachable(touching).select(F.col("node").alias("cell"), "label")
     named = cores.join(joined, "cell", "left").select("cell", F.coalesce("label", "cell").alias("cluster_id"))
-    named = _written(named, "cores")
+    named = written(named, "cores")
     edge = around.join(named.withColumnRenamed("cell", "core_cell"), "core_cell").groupBy("cell").agg(F.min("cluster_id").alias("edge_id"))
     found = counted.join(named, "cell", "left").join(edge, "cell", "left")
     return found.select(

@@ -12,10 +12,10 @@ from liftline import schemas
 from liftline.functions import text as X
 from liftline.functions.calendar import parse_date
 from liftline.functions.issues import is_number, issue_list, unless
+from liftline.operators.catchments import EARTH_RADIUS_KM, finest_cell, haversine_km, launches_near  # noqa: F401
 from liftline.operators.keyed import skew_safe_join
 
 DISTANCE_THRESHOLDS = (100, 200, 300)
-EARTH_RADIUS_KM = 6371.0
 
 
 def distance_flags(distance: Column) -> dict[str, Column]:
@@ -115,39 +115,6 @@ def without_duplicates(flights: DataFrame, tolerance_m: int = TOLERANCE_M) -> Da
 
 # --- Launch assignment -------------------------------------------------------------
 
-CELL_DEGREES = 0.5
-_CELLS_AROUND = int(360 / CELL_DEGREES)
-
-
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(
-        F.radians(lat2)
-    ) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.asin(F.sqrt(F.least(half, F.lit(1.0)))) * (2 * EARTH_RADIUS_KM)
-
-
-def _cell(degrees: Column) -> Column:
-    return F.floor(degrees / CELL_DEGREES).cast("int")
-
-
-def _launch_cells(launches: DataFrame) -> DataFrame:
-    """Each launch once per grid cell that its catchment can touch."""
-    reach_lat = F.col("radius_km") / 110.0
-    widest = F.cos(F.radians(F.least(F.abs("latitude") + reach_lat, F.lit(89.0))))
-    reach_lon = F.least(F.col("radius_km") / (110.0 * widest), F.lit(179.0))
-    rows = F.sequence(_cell(F.col("latitude") - reach_lat), _cell(F.col("latitude") + reach_lat))
-    columns = F.sequence(_cell(F.col("longitude") - reach_lon), _cell(F.col("longitude") + reach_lon))
-    # Columns wrap at the date line; distinct, for a catchment around the globe.
-    wrapped = F.array_distinct(F.transform(columns, lambda c: F.pmod(c, F.lit(_CELLS_AROUND))))
-    return launches.select(
-        "launch_id",
-        F.col("latitude").alias("_lat"),
-        F.col("longitude").alias("_lon"),
-        "radius_km",
-        F.explode(rows).alias("cell_row"),
-        wrapped.alias("_columns"),
-    ).withColumn("cell_column", F.explode("_columns")).drop("_columns")
-
 
 def assign_launches(flights: DataFrame, launches: DataFrame, aliases: DataFrame) -> DataFrame:
     """``launch_id`` per flight: by its written name, else the nearest catchment.
@@ -155,26 +122,22 @@ def assign_launches(flights: DataFrame, launches: DataFrame, aliases: DataFrame)
     ``flights``: flight_id, launch_area, start_latitude, start_longitude;
     ``launches``: launch_id, latitude, longitude, radius_km; ``aliases``: alias in
     lower case, launch_id. A flight outside all catchments stays, without launch.
-    The range join is an equality join on grid cells with an exact distance test.
+    The range join is an equality join on grid cells with an exact distance test; a cell has
+    those launches only that can be the nearest in it (:func:`launches_near`).
     """
     # A name of several launches means the one with the least id.
     names = aliases.groupBy("alias").agg(F.min("launch_id").alias("alias_launch"))
     named = skew_safe_join(
         flights.withColumn("alias", F.lower(X.trim_all(F.col("launch_area")))), names, ["alias"]
     )
-    placed = named.withColumns(
-        {
-            "cell_row": _cell(F.col("start_latitude")),
-            "cell_column": F.pmod(_cell(F.col("start_longitude")), F.lit(_CELLS_AROUND)),
-        }
-    )
+    placed = named.withColumns(finest_cell(F.col("start_latitude"), F.col("start_longitude")))
     # A written name decides by itself; only the other flights meet the grid.
     written = F.col("alias_launch").isNotNull()
     by_name = placed.where(written).select(
         "flight_id", "alias_launch", F.lit(None).cast("struct<_km:double,launch_id:bigint>").alias("near")
     )
     pairs = skew_safe_join(
-        placed.where(~written), _launch_cells(launches), ["cell_row", "cell_column"]
+        placed.where(~written), launches_near(flights, launches), ["cell_row", "cell_column"]
     )
     distance = haversine_km(
         F.col("start_latitude"), F.col("start_longitude"), F.col("_lat"), F.col("_lon")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only, so they can be applied to a session someone else made.
 SETTINGS = {
@@ -39,6 +39,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and read back, so that rounds do not repeat each other."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", app_name: str = "liftline") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     builder = (
