@@ -2,9 +2,8 @@
 
 Two sets with Jaccard similarity of at least s share at least T = s * size of the items
 of either, so a document is found by merging its inverted lists and keeping those that
-occur T times. Its longest lists are set aside: the short ones are merged through a heap
-that skips values which cannot reach what is left of T, and the long ones are probed by
-binary search for the values that do.
+occur T times. Its longest lists are set aside: the short ones are merged by counting, and
+the long ones are probed, list by list, for the values that can still reach T.
 
 On the way there, in this order: equal sets become one; sets with too few shingles that
 occur anywhere else drop out; the shingles that must be shared, the rarest ones, tell
@@ -16,15 +15,12 @@ connected are not compared again, so a group of near copies is not taken to all
 
 from __future__ import annotations
 
-import heapq
-import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from liftline.llm import text as T
@@ -33,8 +29,12 @@ from liftline.llm.shared import components, settle
 
 # A chunk is expected to hold about so many shingles, and so many sets.
 CHUNK_SHINGLES, CHUNK_SETS = 40_000, 400
-# Weight of a binary probe against a step of the heap, in the choice of long lists.
-PROBE_COST = 0.01
+# Chunks that are searched at once for the sets of others, and sets of a label that look first.
+WIDE, BRIDGES = 10, 4
+# A list is probed rather than merged if it holds at least this part of the sets, and so many at a time.
+LONG_PART, PROBED_AT_ONCE = 8, 64
+# Chunks in a task, and tasks at most.
+CELLS_A_TASK, MOST_TASKS = 8, 10_000
 
 
 def _sets(piece: T.Slice, k: int) -> Iterator[np.ndarray]:
@@ -69,75 +69,67 @@ def _summary(items: np.ndarray) -> tuple[int, int]:
 
 
 class Lists:
-    """Inverted lists over sets ``0 .. n - 1``, and T-occurrence search in them."""
+    """Inverted lists over sets ``0 .. n - 1``, and T-occurrence search in them.
+
+    All lists are one array, so that merging and probing are a few array operations per
+    search. Lists that hold a good part of the sets are kept as rows of flags as well.
+    """
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
-        self.sizes = [len(s) for s in sets]
-        self.percent = percent
+        self.percent, self.n = percent, len(sets)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        # The least size from each set on.
+        self.least = np.minimum.accumulate(self.sizes[::-1])[::-1]
         items = np.concatenate([*sets, np.zeros(0, np.int64)])
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(self.n), self.sizes)
         order = np.argsort(items, kind="stable")
-        items, owner = items[order], owner[order]
-        values, at = np.unique(items, return_index=True)
-        parts = np.split(owner, at[1:]) if len(at) else []
-        self.lists = {v: p.tolist() for v, p in zip(values.tolist(), parts, strict=True)}
+        items, self.owners = items[order], owner[order]
+        self.values, at = np.unique(items, return_index=True)
+        self.ends = np.append(at[1:], len(items))
+        length = np.diff(np.append(at, len(items)))
+        self.places = np.repeat(np.arange(len(at)), length) * self.n + self.owners
+        wide = length * LONG_PART >= self.n
+        self.row = np.where(wide, np.cumsum(wide) - 1, -1)
+        self.flags = np.zeros((int(wide.sum()), self.n), bool)
+        inside = np.repeat(wide, length)
+        self.flags[np.repeat(self.row, length)[inside], self.owners[inside]] = True
 
     def search(self, items: np.ndarray, first: int, known) -> Iterator[int]:
-        """Sets from ``first`` on that are similar to ``items``; ``known(i)`` skips some."""
-        need = -(-self.percent * len(items) // 100)
-        lists = [x for x in map(self.lists.get, items.tolist()) if x is not None and x[-1] >= first]
-        if len(lists) < need or not lists:
+        """Sets from ``first`` on that are similar to ``items``; ``known(sets)`` skips some."""
+        if first >= self.n or not len(items) or not len(self.values):
+            return
+        # A similar set has at least so many items, so at least so many are shared.
+        least = max(-(-self.percent * len(items) // 100), int(self.least[first]))
+        need = -(-self.percent * (len(items) + least) // (100 + self.percent))
+        at = np.minimum(np.searchsorted(self.values, items), len(self.values) - 1)
+        lists = at[self.values[at] == items]
+        start = np.searchsorted(self.places, lists * self.n + first)
+        length = self.ends[lists] - start
+        some = length > 0
+        lists, start, length = lists[some], start[some], length[some]
+        if len(lists) < need:
             return
-        lists.sort(key=len, reverse=True)
-        long = min(int(need / (PROBE_COST * math.log2(len(lists[0]) + 1) + 1)), need - 1)
-        probed, merged, least = lists[:long], lists[long:], need - long
-        heap = []
-        for n, values in enumerate(merged):
-            at = bisect_left(values, first)
-            if at < len(values):
-                heap.append((values[at], n, at))
-        heapq.heapify(heap)
-        while len(heap) >= least:
-            value, taken = heap[0][0], []
-            while heap and heap[0][0] == value:
-                taken.append(heapq.heappop(heap))
-            if len(taken) >= least:
-                if not known(value) and self._similar(value, len(items), len(taken), probed):
-                    yield value
-                to = value + 1
-            else:
-                while heap and len(taken) < least - 1:
-                    taken.append(heapq.heappop(heap))
-                if not heap:
-                    return
-                to = heap[0][0]
-            for _, n, at in taken:
-                at = bisect_left(merged[n], to, at)
-                if at < len(merged[n]):
-                    heapq.heappush(heap, (merged[n][at], n, at))
-
-    def _similar(self, value: int, size: int, found: int, probed: list[list[int]]) -> bool:
+        # The longest lists are probed, as long as a set has to be in one of the others too.
+        order = np.argsort(-length, kind="stable")
+        long = order[: need - 1]
+        long = long[self.row[lists[long]] >= 0]
+        merged = np.ones(len(lists), bool)
+        merged[long] = False
+        found = np.bincount(T.gather(self.owners, start[merged], length[merged]), minlength=self.n)
+        sets = np.flatnonzero(found >= need - len(long))
+        sets = sets[~np.broadcast_to(known(sets), sets.shape)]
+        found, left = found[sets], len(long)
         # 100 o >= p (a + b - o), solved for the overlap o
-        need = -(-self.percent * (size + self.sizes[value]) // (100 + self.percent))
-        left = len(probed)
-        for values in probed:
-            if found + left < need:
-                return False
-            left -= 1
-            at = bisect_left(values, value)
-            found += at < len(values) and values[at] == value
-        return found >= need
-
-
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        needs = -(-self.percent * (len(items) + self.sizes[sets]) // (100 + self.percent))
+        for begin in range(0, len(long), PROBED_AT_ONCE):
+            if not len(sets):
+                return
+            rows = self.row[lists[long[begin : begin + PROBED_AT_ONCE]]]
+            found = found + np.count_nonzero(self.flags[rows][:, sets], axis=0)
+            left -= len(rows)
+            able = found + left >= needs
+            sets, found, needs = sets[able], found[able], needs[able]
+        yield from sets[found >= needs].tolist()
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -158,11 +150,12 @@ def _within(percent: int):
 
     def join(table: pa.Table) -> pa.Table:
         keys, sets = _decoded(table)
-        index, forest, pairs = Lists(sets, percent), _Forest(len(keys)), []
+        index, label, pairs = Lists(sets, percent), np.arange(len(keys)), []
         for i, items in enumerate(sets):
-            for j in index.search(items, i + 1, lambda j, i=i: forest.root(i) == forest.root(j)):
-                forest.up[forest.root(j)] = forest.root(i)
-                pairs.append((keys[i], keys[j]))
+            for j in index.search(items, i + 1, lambda j, i=i: label[j] == label[i]):
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    pairs.append((keys[i], keys[j]))
         return _as_edges(pairs)
 
     return join
@@ -174,14 +167,16 @@ def _across(percent: int):
     def join(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("query").to_pylist(), bool)
         keys, sets = _decoded(table)
-        labels = table.column("label").to_pylist()
-        there = np.flatnonzero(~asks).tolist()
+        # Labels that a link has met are one from then on, so none is met twice.
+        label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        there = np.flatnonzero(~asks)
         index, pairs = Lists([sets[i] for i in there], percent), []
         for q in np.flatnonzero(asks).tolist():
-            met = {labels[q]}
-            for j in index.search(sets[q], 0, lambda j: labels[there[j]] in met):
-                met.add(labels[there[j]])
-                pairs.append((keys[q], keys[there[j]]))
+            for j in index.search(sets[q], 0, lambda j, q=q: label[there[j]] == label[q]):
+                to = int(there[j])
+                if label[to] != label[q]:
+                    label[label == label[to]] = label[q]
+                    pairs.append((keys[q], keys[to]))
         return _as_edges(pairs)
 
     return join
@@ -231,6 +226,11 @@ def _meeting(sets: DataFrame, percent: int) -> DataFrame:
     return rarest.join(least, "item").select(F.col("key").alias("a"), "b").distinct()
 
 
+def _dealt(cells: DataFrame, keys: list[str], tasks: int) -> GroupedData:
+    """Cells by ``keys``. They are much work for few bytes, by which Spark would put them into one task."""
+    return cells.repartition(max(1, min(tasks, MOST_TASKS)), *keys).groupBy(*keys)
+
+
 def similar_sets(
     sets: DataFrame, meeting: DataFrame, percent: int, chunk_shingles: int = CHUNK_SHINGLES
 ) -> DataFrame:
@@ -245,7 +245,11 @@ def similar_sets(
     share = F.greatest("n", F.lit(chunk_shingles // CHUNK_SETS))
     volume = grouped.groupBy("component").agg(F.sum(share).alias("volume"))
     volume = settle(volume.withColumn("chunks", F.ceil(F.col("volume") / chunk_shingles).cast("int")), "volume")
-    small = volume.where("chunks = 1").agg(F.coalesce(F.sum("volume"), F.lit(0))).first()[0]
+    small, cells, most = volume.agg(
+        F.coalesce(F.sum(F.when(F.col("chunks") == 1, F.col("volume"))), F.lit(0)),
+        F.coalesce(F.sum(F.when(F.col("chunks") > 1, F.col("chunks"))), F.lit(0)),
+        F.coalesce(F.max("chunks"), F.lit(0)),
+    ).first()
     packs = max(1, -(-small // chunk_shingles))
     cut = grouped.join(volume.select("component", "chunks"), "component")
     alone = F.col("chunks") == 1
@@ -258,30 +262,52 @@ def similar_sets(
         "chunks",
     )
     edge = "a long, b long"
-    near = settle(placed.groupBy("grp", "chunk").applyInArrow(_within(percent), edge), "links")
-    big = placed.where("chunk >= 0")
-    if big.limit(1).count() == 0:
-        return near
-    labels = components(near, "labels").withColumnRenamed("node", "key").withColumnRenamed("component", "label")
-    big = settle(
-        big.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "labelled"
-    )
-    weight = big.groupBy("grp", "label").agg(F.sum("n").alias("volume"))
+    near = _dealt(placed, ["grp", "chunk"], -(-(packs + cells) // CELLS_A_TASK))
+    links = settle(near.applyInArrow(_within(percent), edge), "links")
+    if most < 2:
+        return links
+    # Whole chunks of several sets each are searched for next, by a few sets of each; where
+    # they are linked, most of a group is one component before all others are searched for.
+    for few in [True, False] if most > WIDE else [False]:
+        labels = components(links, "labels").withColumnRenamed("node", "key").withColumnRenamed("component", "label")
+        big = placed.where(F.col("chunk") >= 0).join(labels, "key", "left")
+        big = settle(big.withColumn("label", F.coalesce("label", "key")), "labelled")
+        if few:
+            big = big.where(F.col("chunks") > WIDE)
+        links = settle(links.union(_bridges(big, percent, share, chunk_shingles, few)), "links")
+    return links
+
+
+def _bridges(big: DataFrame, percent: int, share: Column, chunk_shingles: int, few: bool) -> DataFrame:
+    """Links of the sets outside the largest label of their group with any set of the group.
+
+    ``few`` searches for some sets of each label of several only.
+    """
+    weight = big.groupBy("grp", "label").agg(F.sum("n").alias("volume"), F.count("*").alias("members"))
     main = weight.groupBy("grp").agg(F.max(F.struct("volume", "label")).alias("main"))
     main = main.select("grp", F.col("main.label").alias("main"))
     rest = big.join(main, "grp").where("label <> main")
-    turns = rest.groupBy("grp").agg(F.ceil(F.sum(share) / chunk_shingles).cast("int").alias("turns"))
+    if few:
+        place = F.row_number().over(Window.partitionBy("grp", "label").orderBy(F.xxhash64("key"), "key"))
+        several = weight.where("members > 1").select("grp", "label")
+        rest = rest.join(several, ["grp", "label"]).withColumn("place", place).where(F.col("place") <= BRIDGES)
+    # A search takes the sets of several chunks at once, so that they are repeated less.
+    turns = rest.groupBy("grp").agg(F.ceil(F.sum(share) / (chunk_shingles * WIDE)).cast("int").alias("turns"))
+    chunks = F.ceil(F.col("chunks") / WIDE).cast("int")
+    wide = F.floor(F.col("chunk") / WIDE).cast("int").alias("chunk")
+    sizes = big.groupBy("grp").agg(F.first(chunks).alias("chunks"))
+    cells = sizes.join(turns, "grp").agg(F.coalesce(F.sum(F.col("chunks") * F.col("turns")), F.lit(0))).first()[0]
     ask = rest.join(turns, "grp").select(
         "grp", "key", "items", "label", F.lit(True).alias("query"),
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"),
         F.pmod(F.xxhash64(F.col("key"), F.lit(1)), F.col("turns")).cast("int").alias("turn"),
     )
     there = big.join(turns, "grp").select(
-        "grp", "key", "items", "label", F.lit(False).alias("query"), "chunk",
+        "grp", "key", "items", "label", F.lit(False).alias("query"), wide,
         F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"),
     )
-    far = ask.unionByName(there).groupBy("grp", "chunk", "turn").applyInArrow(_across(percent), edge)
-    return near.union(settle(far, "links"))
+    far = _dealt(ask.unionByName(there), ["grp", "chunk", "turn"], cells)
+    return far.applyInArrow(_across(percent), "a long, b long")
 
 
 def jaccard_components(

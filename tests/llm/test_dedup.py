@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from liftline.llm import caps, exact_dedup, jaccard, paragraphs, suffixes
@@ -78,6 +79,12 @@ def test_jaccard_components(spark, chunk):
     assert got == Counter(brute.jaccard_components(rows, 4, 85))
 
 
+def test_jaccard_components_of_many_small_chunks(spark):
+    rows = near_copies(seed=8, n=150) + ODD
+    got = Counter(map(tuple, jaccard.jaccard_components(frame(spark, rows), 4, 85, 300).collect()))
+    assert got == Counter(brute.jaccard_components(rows, 4, 85))
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(frame(spark, [])).collect() == []
     got = {tuple(r) for r in jaccard.jaccard_components(frame(spark, [(1, None), (2, None)])).collect()}
@@ -94,6 +101,52 @@ def test_inverted_lists_find_all():
         assert got == want
 
 
+@pytest.mark.parametrize("percent", [60, 85, 100])
+def test_inverted_lists_of_near_copies_and_odd_sets(percent):
+    rng = np.random.default_rng(5)
+    sets = [np.zeros(0, np.int64), np.array([7])]
+    for i in range(150):
+        kept = rng.random(90) > 0.1 * (i % 4)
+        sets.append(np.unique(np.concatenate([np.arange(90)[kept], rng.integers(1000, 9000, i % 20)])).astype(np.int64))
+    lists = jaccard.Lists(sets, percent)
+    for i, a in enumerate(sets):
+        for first in (0, i + 1):
+            met = np.arange(len(sets)) % 5 == 3
+            got = list(lists.search(a, first, lambda j: met[j]))
+            shared = [len(np.intersect1d(a, b)) for b in sets]
+            want = [j for j in range(first, len(sets)) if shared[j] and not met[j] and 100 * shared[j] >= percent * (len(a) + len(sets[j]) - shared[j])]
+            assert got == want
+    assert list(jaccard.Lists([], percent).search(sets[1], 0, lambda j: False)) == []
+
+
+def test_labels_meet_once():
+    rows = [(i, np.arange(50) + 100 * (i % 2), i < 10, i % 4) for i in range(20)]
+    keys, items, query, label = zip(*rows, strict=True)
+    table = pa.table({"key": keys, "items": pa.array([x.tolist() for x in items], pa.list_(pa.int64())), "query": query, "label": label})
+    got = jaccard._across(80)(table).to_pydict()
+    # Labels 0 and 2 are alike, as are 1 and 3; every query of a label would have given a link.
+    assert len(got["a"]) == 2
+    assert sorted(a % 2 for a in got["a"]) == [0, 1] and all((a - b) % 4 == 2 for a, b in zip(got["a"], got["b"], strict=True))
+
+
+def test_cells_of_a_large_group_go_to_many_tasks(spark, monkeypatch):
+    def across(percent):
+        def join(table):
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in (part, -1)], names=["a", "b"])
+
+        return join
+
+    monkeypatch.setattr(jaccard, "_across", across)
+    sets = spark.createDataFrame([(i, 10, list(range(100 * i, 100 * i + 10))) for i in range(400)], "key long, n int, items array<long>")
+    meeting = spark.createDataFrame([(0, i) for i in range(1, 400)], "a long, b long")
+    links = jaccard.similar_sets(sets, meeting, 85, 40)
+    # Their few bytes would fit into one task.
+    assert links.where("b = -1").select("a").distinct().count() > 4
+
+
 def vectors_brute(rows, cosine):
     groups, n, links = {}, [0] * len(rows), []
     for i, (_, v, label) in enumerate(rows):
