@@ -1,10 +1,15 @@
 """Embedding near-dedup with spherical-cap filters from random product codes.
 
-A filter is a direction; a vector is in its cap when their inner product exceeds a
-threshold. Directions are products: one code word per block of coordinates, so that all
-directions a vector exceeds are listed by extending partial words whose best completion
-still exceeds the threshold, without trying every direction. Vectors that share a filter
-are compared by exact cosine.
+A filter is a direction, and its cap holds the vectors that it is one of the nearest
+directions of. Directions are products: one code word per block of coordinates, so that the
+nearest ones of a vector are listed from the nearest words of each block, without trying
+every direction. Of few dimensions a vector is in all caps whose inner product exceeds a
+threshold, listed by extending partial words whose best completion still exceeds it.
+
+Caps go through one exchange as sorted numbers, a few bytes each, which tells the caps that
+two vectors share. Directions are so many that vectors share one by chance seldom. What
+caps connect is brought together, each vector once, and compared by exact cosine; a
+component that is too large for that is compared cap by cap.
 """
 
 from __future__ import annotations
@@ -21,7 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftline.llm.shared import components, settle
+from liftline.llm import text as T
+from liftline.llm.fingerprints import _steps, pack, unpack
+from liftline.llm.shared import components, contracted, settle
 
 COSINE = 0.98
 # A vector is in about so many caps; for a cosine of 0.98 two vectors share most of them.
@@ -33,10 +40,20 @@ MARGIN = 0.6
 CAP_VECTORS = 32
 LEAST_DIRECTIONS = 4096
 MOST_WORDS = 512
-# A cap with more vectors is compared in pieces of this size, every two of them once.
+# From so many dimensions on, a vector takes its nearest directions of each of several codes,
+# a pair at cosine 0.98 misses all of them about once in 50,000 times. There are so many
+# directions per vector, of three blocks, and so many words at most, also by dimensions.
+LEAST_DIM = 12
+CODES, NEAREST = 5, 7
+DIRECTIONS_PER_VECTOR = 2000
+# A cell with more vectors is compared in pieces of this size, every two of them once.
 PIECE = 1024
-# A group of cells is expected to have about so many vectors.
-GROUP_ROWS = 8192
+# A component of more pieces is compared cap by cap.
+MOST_PIECES = 16
+# Caps that a task sends at once, and that meet in a group of the exchange.
+BLOCK_CAPS, GROUP_CAPS = 2_000_000, 1_000_000
+# A group of cells is expected to have about so many vectors; there are so many tasks at most.
+GROUP_ROWS, MOST_TASKS = 8192, 10_000
 
 
 @dataclass(frozen=True)
@@ -84,28 +101,127 @@ class ProductCode:
         return row[order], word[order]
 
 
+@dataclass(frozen=True)
+class NearestCode:
+    """``codes`` product codes of ``words`` words a block; a vector takes the ``nearest`` directions of each."""
+
+    words: int
+    blocks: int = 3
+    codes: int = CODES
+    nearest: int = NEAREST
+
+    @classmethod
+    def for_size(cls, vectors: int, dim: int) -> NearestCode:
+        wanted = max(LEAST_DIRECTIONS, vectors * DIRECTIONS_PER_VECTOR)
+        blocks = 3 if wanted <= (2 * MOST_WORDS) ** 3 else 4
+        words = min(math.ceil(wanted ** (1 / blocks)), 2 * MOST_WORDS, dim * dim // 4)
+        return cls(words, blocks)
+
+    @cache  # noqa: B019 - codes are few and live as long as the worker
+    def directions(self, dim: int, code: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rotated coordinates and code words of each block."""
+        rng = np.random.default_rng([dim, self.blocks, self.words, code])
+        rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        out = []
+        for part in np.array_split(np.arange(dim), self.blocks):
+            word = rng.normal(size=(self.words, len(part)))
+            out.append((rotation[:, part], (word / np.linalg.norm(word, axis=1, keepdims=True)).T))
+        return out
+
+    @cache  # noqa: B019
+    def places(self) -> np.ndarray:
+        """Ranks of words in their blocks that one of the nearest directions can have."""
+        ranks = np.indices((self.nearest,) * self.blocks).reshape(self.blocks, -1).T
+        # All products of words at least as near are at least as near.
+        return ranks[(ranks + 1).prod(axis=1) <= self.nearest]
+
+    def caps_of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and filter numbers of the caps of the unit vectors, in order of rows."""
+        places, found = self.places(), []
+        for code in range(self.codes):
+            score = np.zeros((len(unit), len(places)))
+            number = np.full((len(unit), len(places)), code, np.int64)
+            for k, (rotation, word) in enumerate(self.directions(unit.shape[1], code)):
+                p = (unit @ rotation) @ word
+                best = np.argpartition(-p, self.nearest - 1, axis=1)[:, : self.nearest]
+                value = np.take_along_axis(p, best, 1)
+                order = np.argsort(-value, axis=1, kind="stable")
+                best, value = np.take_along_axis(best, order, 1), np.take_along_axis(value, order, 1)
+                score += value[:, places[:, k]]
+                number = number * self.words + best[:, places[:, k]]
+            nearest = np.argpartition(-score, self.nearest - 1, axis=1)[:, : self.nearest]
+            found.append(np.take_along_axis(number, nearest, 1))
+        caps = np.concatenate(found, axis=1)
+        return np.repeat(np.arange(len(unit)), caps.shape[1]), caps.ravel()
+
+
 def _units(lists: pa.ListArray, dim: int) -> np.ndarray:
     x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listed(code: ProductCode):
-    def caps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = pc.list_value_length(batch.column("vector")).to_numpy()
-            for dim in np.unique(dims).tolist():
-                same = np.flatnonzero(dims == dim)
-                for start in range(0, len(same), 256):
-                    picked = same[start : start + 256]
-                    lists = batch.column("vector").take(pa.array(picked))
-                    row, cap = code.caps_of(_units(lists, dim))
-                    sizes = np.bincount(row, minlength=len(picked))
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                    columns = [batch.column("cls").take(pa.array(picked)), pa.ListArray.from_arrays(offsets, pa.array(cap))]
-                    yield pa.RecordBatch.from_arrays(columns, ["cls", "caps"])
+_SENT = pa.schema([("grp", pa.int64()), ("caps", pa.binary()), ("cls", pa.binary())])
+_SHARED = pa.schema([("cls", pa.int64()), ("cap", pa.int64()), ("least", pa.int64())])
+
 
-    return caps
+def _caps(batch: pa.RecordBatch, vectors: int, caps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes and 48-bit numbers of caps; those of different labels or dimensions differ."""
+    dims = pc.list_value_length(batch.column("vector")).to_numpy()
+    cls, salt = (batch.column(name).to_numpy() for name in ("cls", "salt"))
+    for dim in np.unique(dims).tolist():
+        code = ProductCode.for_size(vectors, caps) if dim < LEAST_DIM else NearestCode.for_size(vectors, dim)
+        same = np.flatnonzero(dims == dim)
+        for start in range(0, len(same), 256):
+            picked = same[start : start + 256]
+            row, cap = code.caps_of(_units(batch.column("vector").take(pa.array(picked)), dim))
+            own = T.mix(salt[picked].astype(np.uint64) + np.uint64(dim))
+            yield cls[picked][row], T.mix(cap.astype(np.uint64) + own[row]) >> np.uint64(16)
+
+
+def _sent(vectors: int, caps: int, groups: int):
+    """Caps of a task's vectors, sorted: one row per range of their numbers."""
+
+    def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cls, cap = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(cap, kind="stable")
+        cls, cap = cls[order], cap[order]
+        group = (cap.astype(np.float64) * (groups / 2.0**48)).astype(np.int64)
+        bounds = np.searchsorted(group, np.arange(groups + 1))
+        some = np.flatnonzero(np.diff(bounds))
+        each = [(int(g), pack(_steps(cap[bounds[g] : bounds[g + 1]])), cls[bounds[g] : bounds[g + 1]].tobytes()) for g in some]
+        return pa.RecordBatch.from_pylist([dict(zip(_SENT.names, x, strict=True)) for x in each], schema=_SENT)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for part in _caps(batch, vectors, caps):
+                parts.append(part)
+                size += len(part[0])
+                if size >= BLOCK_CAPS:
+                    yield rows(parts)
+                    parts, size = [], 0
+        if parts:
+            yield rows(parts)
+
+    return send
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Of a range of caps those that two classes share, with the least class of each."""
+    cap = np.concatenate([np.cumsum(unpack(x)) for x in table.column("caps").to_pylist()]).astype(np.int64)
+    cls = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("cls").to_pylist()])
+    order = np.lexsort((cls, cap))
+    cls, cap = cls[order], cap[order]
+    new = np.ones(len(cap), bool)
+    new[1:] = (cls[1:] != cls[:-1]) | (cap[1:] != cap[:-1])
+    cls, cap = cls[new], cap[new]
+    first = np.ones(len(cap), bool)
+    first[1:] = cap[1:] != cap[:-1]
+    run = np.cumsum(first) - 1
+    shared = np.bincount(run)[run] > 1
+    least = cls[first][run]
+    return pa.Table.from_arrays([pa.array(x[shared]) for x in (cls, cap, least)], schema=_SHARED)
 
 
 def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -183,7 +299,7 @@ def _usable(vector: Column, label: Column) -> Column:
 
 
 def group_count(crowd: DataFrame, piece: int) -> int:
-    """Groups for about ``GROUP_ROWS`` rows each; every one of the ``n`` vectors of a cap is a row per piece."""
+    """Groups for about ``GROUP_ROWS`` rows each; every one of the ``n`` vectors of a cell is a row per piece."""
     rows = crowd.select(F.sum(F.col("n") * F.ceil(F.col("n") / piece))).first()[0] or 0
     return max(1, -(-rows // GROUP_ROWS))
 
@@ -200,28 +316,40 @@ def embedding_components(
     a vec_id count one by one; a null vec_id is no component_id unless it stands alone.
     More columns are ignored; an empty table gives an empty result.
 
-    Every link that is reported is exact. Two vectors meet if they share a cap, which for
+    Every link that is reported is exact. Two vectors meet if caps connect them, which for
     a cosine near 1 nearly all do; the tests measure the recall. The code grows with the
-    number of vectors, so that caps do not; one that is crowded by near copies is compared
+    number of vectors, so that caps do not; a crowd of near copies is compared
     in pieces, its vectors spread over many tasks.
     """
     ok = _usable(F.col("embedding"), F.col("label"))
     cls = F.when(ok, F.xxhash64("label", "embedding"))
     rows = vectors.select("vec_id", "label", "embedding", cls.alias("cls"))
     good = rows.where("cls is not null")
-    distinct = settle(
-        good.groupBy("cls").agg(
-            F.first("label").alias("label"), F.first("embedding").alias("vector"),
-            F.count("*").alias("copies"), F.min("vec_id").alias("least"),
-        ),
-        "vectors",
+    distinct = settle(good.groupBy("cls").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "classes")
+    n = distinct.count()
+    groups = max(1, -(-n * CODES * NEAREST // GROUP_CAPS))
+    sent = good.select("cls", F.xxhash64("label").alias("salt"), F.col("embedding").alias("vector"))
+    sent = sent.mapInArrow(_sent(n, caps, groups), "grp long, caps binary, cls binary")
+    shared = settle(sent.groupBy("grp").applyInArrow(_met, "cls long, cap long, least long"), "caps")
+    near = shared.where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
+    near = components(contracted(near), "near").withColumnRenamed("node", "cls")
+    sizes = near.groupBy("component").agg(F.count("*").alias("n"))
+    few = F.col("n") <= piece * MOST_PIECES
+    near = near.join(sizes, "component")
+    whole = near.where(few).select("cls", F.col("component").alias("cap"), F.array().cast("array<long>").alias("caps"))
+    # Of a large component every vector goes to each of its shared caps.
+    apart = shared.join(near.where(~few), "cls", "left_semi").select("cls", "cap")
+    own = apart.groupBy("cls").agg(F.collect_list("cap").alias("caps"))
+    met = settle(whole.unionByName(apart.join(own, "cls")), "cells")
+    # Vectors that share no cap go no further; equal ones are one before they are shuffled.
+    found = good.groupBy("cls").agg(
+        F.first("label").alias("label"), F.first("embedding").alias("vector"), F.count("*").alias("copies")
     )
-    code = ProductCode.for_size(distinct.count(), caps)
-    listed = distinct.select("cls", "vector").mapInArrow(_listed(code), "cls long, caps array<long>")
-    listed = settle(distinct.join(listed, "cls"), "caps")
-    each = listed.select("label", F.size("vector").alias("dim"), "cls", F.explode("caps").alias("cap"))
     key = ["label", "dim", "cap"]
-    crowd = each.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    listed = found.join(met.select("cls").distinct(), "cls", "left_semi").withColumn("dim", F.size("vector"))
+    listed = settle(listed, "vectors")
+    crowd = listed.select("cls", "label", "dim").join(met.select("cls", "cap"), "cls")
+    crowd = settle(crowd.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "crowd")
     pieces = F.ceil(F.col("n") / piece).cast("int")
     place = F.pmod(F.xxhash64("cls"), pieces).cast("int")
     # Piece i goes to the cells (i, j) and (j, i) of every piece j.
@@ -230,7 +358,7 @@ def embedding_components(
         lambda j: F.struct(F.least("piece", j).alias("left"), F.greatest("piece", j).alias("right")),
     )
     placed = (
-        listed.withColumn("dim", F.size("vector")).withColumn("cap", F.explode("caps"))
+        listed.join(met, "cls")
         .join(crowd, key)
         .withColumn("pieces", pieces).withColumn("piece", place)
         .withColumn("cell", F.explode(cells))
@@ -239,6 +367,8 @@ def embedding_components(
     # Cells are many and mostly small, so several go into a group.
     groups = group_count(crowd, piece)
     placed = placed.withColumn("grp", F.pmod(F.xxhash64(*key, "left", "right"), F.lit(groups)))
+    # A group is much work for few bytes, by which Spark would put several into one task.
+    placed = placed.repartition(min(groups, MOST_TASKS), "grp")
     found = settle(
         placed.groupBy("grp").applyInArrow(_compared(cosine), "a long, b long, n long"), "links"
     )

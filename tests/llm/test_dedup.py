@@ -182,6 +182,49 @@ def test_embedding_components(spark, piece):
     assert caps.embedding_components(df.limit(0)).collect() == []
 
 
+def crowd_and_near_copies(n, dim):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=dim)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=dim)], 0) for i in range(n)]
+    rows += [(n + i, [float(np.float32(x)) for x in base + rng.normal(size=dim) * 0.03 * (i % 5)], i % 2) for i in range(150)]
+    return rows + [(5, rows[5][1], 0), (None, rows[6][1], 0), (n + 500, rows[n][1], 0), (n + 501, rows[n][1], None)]
+
+
+@pytest.mark.parametrize("most", [16, 2])
+@pytest.mark.parametrize("dim", [8, 64])
+def test_embedding_components_of_large_ones_cap_by_cap(spark, monkeypatch, dim, most):
+    monkeypatch.setattr(caps, "MOST_PIECES", most)
+    rows = crowd_and_near_copies(300, dim)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = Counter(map(tuple, caps.embedding_components(df, piece=20).collect()))
+    assert got == Counter(vectors_brute(rows, 0.98))
+
+
+def test_vectors_near_no_other_are_not_sent(spark, monkeypatch):
+    rows = crowd_and_near_copies(1500, 64)
+    counted, sent = caps.group_count, []
+    monkeypatch.setattr(caps, "group_count", lambda c, p: sent.append(c.agg({"n": "sum"}).first()[0]) or counted(c, p))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert Counter(map(tuple, caps.embedding_components(df).collect())) == Counter(vectors_brute(rows, 0.98))
+    # 150 near copies and a few that share a cap by chance, once each; not each vector for each of its caps.
+    assert 100 < sent[0] < 500
+
+
+def test_nearest_directions_are_shared():
+    rng = np.random.default_rng(7)
+    for dim, vectors in ((64, 600_000), (24, 50_000), (300, 10_000)):
+        a, z = rng.normal(size=(2, 3000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        z -= (z * a).sum(axis=1, keepdims=True) * a
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        code = caps.NearestCode.for_size(vectors, dim)
+        (_, x), (_, y) = code.caps_of(a), code.caps_of(b)
+        each = caps.CODES * caps.NEAREST
+        assert len(x) == len(y) == 3000 * each
+        shared = [len(np.intersect1d(p, q)) for p, q in zip(x.reshape(-1, each), y.reshape(-1, each), strict=True)]
+        assert np.mean(np.array(shared) > 0) >= 0.999
+
+
 def test_groups_of_a_large_cap_stay_small(spark, monkeypatch):
     crowd = spark.createDataFrame([(1, 100_000), (2, 2)], "cap int, n long")
     assert caps.group_count(crowd, 1024) == -(-(100_000 * 98 + 2) // caps.GROUP_ROWS)
