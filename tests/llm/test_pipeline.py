@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from liftline.llm import pieces, quality
+from liftline.llm import jaccard, pieces, quality
 from liftline.llm import queries as Q
 from liftline.llm.shared import prepare, table
 from tests.llm import brute
@@ -115,3 +115,23 @@ def test_entry_points_have_all():
     for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(entry_points.oracle_sql()) <= names
+
+
+def test_near_stage_links_a_large_group_of_copies_once(spark, monkeypatch):
+    docs, n = table(spark, SF_DIR, "documents"), 600
+    texts = [[f"w{j}" if (j * 7 + i) % 300 else f"x{i}" for j in range(300)] for i in range(n)]
+    rows = [(10 + i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)]
+    rows += [(5000 + i, " ".join(f"q{i}w{j}" for j in range(50)), "en", "a", 0) for i in range(3)]
+    links, settled = [], jaccard.settle
+
+    def settle(found, name):
+        found = settled(found, name)
+        if name == "links":
+            links.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "settle", settle)
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, docs.schema).repartition(4), SF_DIR)
+    assert sorted(r.doc_id for r in kept.collect()) == [10, 5000, 5001, 5002]
+    # Copies are more than a chunk holds; a link for each of them and each other chunk grows with the square.
+    assert len(links) > 1 and max(links) <= n
